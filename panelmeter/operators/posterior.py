@@ -188,7 +188,7 @@ def success_rate(responses: DataFrame, curves: DataFrame,
     bank_c = F.array(*[F.lit(float(x)) for x in whole["bank_c"]])
     sums = (sums.withColumn("n_administered", F.coalesce("n_administered", F.lit(0)))
             .withColumn("passed", F.coalesce("passed", F.lit(0.0)))
-            .withColumn("n_bank", F.lit(whole["n_bank"])).withColumn("bank_c", bank_c)
+            .withColumn("n_bank", F.lit(whole["n_bank"]).cast("bigint")).withColumn("bank_c", bank_c)
             .selectExpr("rater", "passed", "n_administered", "n_bank", f"slice(v, 1, {n}) AS ll",
                         f"IF(v IS NULL, bank_c, zip_with(bank_c, slice(v, {n + 1}, {3 * n}), "
                         "(x, y) -> x - y)) AS c"))

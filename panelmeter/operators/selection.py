@@ -100,7 +100,7 @@ def _best_items(raters: DataFrame, items: DataFrame, administered: DataFrame, k:
     scored = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(
         _block_scorer(score, k), f"rater {kind}, bank_ord bigint, gain double")
     order = Window.partitionBy("rater").orderBy(F.desc("gain"), "bank_ord")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
     return top.join(placed.select("bank_ord", "item"), "bank_ord").select(
         "rater", "rank", "item", "gain")
 

@@ -102,7 +102,7 @@ def window_steps(kept: DataFrame) -> DataFrame:
     last_start = F.floor((F.col("n_kept") - WINDOW_STEPS - 1) / WINDOW_STRIDE)
     last = F.least(F.floor(F.col("seq") / WINDOW_STRIDE), last_start)
     return (kept.where((F.col("n_kept") > WINDOW_STEPS) & (first <= last))
-            .select("*", F.explode(F.sequence(first, last)).cast("int").alias("widx"))
+            .select("*", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("widx"))
             .withColumn("step", (F.col("seq") - F.col("widx") * WINDOW_STRIDE).cast("int"))
             .drop("n_kept"))
 
@@ -121,7 +121,8 @@ def nearest_agents(anchor: DataFrame, agents: DataFrame, k: int = MAX_AGENTS,
     dist = F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey"))
     order = Window.partitionBy("scene", "widx").orderBy("dist", "first_pos")
     return (at.withColumn("dist", dist).where(F.col("dist") < within)
-            .withColumn("slot", F.row_number().over(order) - 1).where(F.col("slot") < k)
+            .withColumn("slot", F.row_number().over(order).cast("bigint") - 1)
+            .where(F.col("slot") < k)
             .select("scene", "widx", "id", "slot", "dist"))
 
 

@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # lets a join on (block, key) reuse a partitioning by block alone
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # keyed state for streams that correct earlier outcomes
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # vector sums per key stay hash-based instead of sorting after 128 keys
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
