@@ -124,9 +124,9 @@ def fit_theta(panel: DataFrame, b: DataFrame, tol: float = 1e-10,
     The prior weight is that of the joint fit, 0.01 mean(theta^2) against the
     mean loss; nothing is re-centred, the given b is the scale.
     """
-    size = (panel.join(b.select("item"), "item", "left_semi")
-            .agg(F.count("*").alias("s"), F.countDistinct("rater").alias("j")).first())
-    ridge = 2 * PRIOR_THETA * size["s"] / max(size["j"], 1)
+    # S cells that take part, J raters of the panel
+    s = panel.join(b.select("item"), "item", "left_semi").count()
+    ridge = 2 * PRIOR_THETA * s / max(panel.select("rater").distinct().count(), 1)
     return newton_theta(_frozen_cells(panel, b), ["rater"], ridge, tol=tol, max_steps=max_steps)
 
 
@@ -184,7 +184,7 @@ def _fold_root(expected: pd.Series, passes: pd.Series, centre: pd.Series,
 
 
 def fold_theta(panel: DataFrame, types: DataFrame, b: DataFrame,
-               groups: Sequence[str] = ()) -> DataFrame:
+               groups: Sequence[str] = (), n_raters: int | None = None) -> DataFrame:
     """Ability per (rater, held-out type) from the cells of all other types.
 
     b has (groups..., item, b); groups (such as a model name) are solved side by
@@ -196,6 +196,7 @@ def fold_theta(panel: DataFrame, types: DataFrame, b: DataFrame,
     passes at a few points around it; a fold is the rater's total minus one
     type. No cell is repeated per fold and nothing is gathered per rater. Folds
     whose root leaves the window are solved by Newton on their own cells.
+    n_raters is the size of the panel in the prior, counted if not given.
     Returns groups, rater, item_type, theta.
     """
     groups = list(groups)
@@ -205,34 +206,29 @@ def fold_theta(panel: DataFrame, types: DataFrame, b: DataFrame,
              .join(b.select(*groups, "item", F.col("b").cast("double").alias("b")), "item"))
     cells = typed.select(*groups, "rater", "item_type", "b", F.lit(1.0).alias("a"),
                          F.lit(1.0).alias("n"), F.col("y").cast("double").alias("s"))
-    return _fold_theta_cells(cells, groups)
+    if n_raters is None:
+        n_raters = panel.select("rater").distinct().count()
+    return _fold_theta_cells(cells, groups, n_raters)
 
 
-def _fold_theta_cells(cells: DataFrame, groups: list[str]) -> DataFrame:
+def _fold_theta_cells(cells: DataFrame, groups: list[str], n_raters: int) -> DataFrame:
     """cells: groups, rater, item_type, b, a = 1, n, s."""
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     key = [*groups, "rater"]
-    # S cells and J raters per group: a few rows
-    size = cells.groupBy(*groups).agg(F.sum("n").alias("_cells_all"),
-                                      F.countDistinct("rater").alias("_raters"))
+    # S cells per group: a few rows
     per_type = cells.groupBy(*groups, "item_type").agg(F.sum("n").alias("_cells_type"))
-    if groups:
-        per_type = per_type.join(size, groups)
-        rows = size.collect()
-        full_ridge = F.lit(None).cast("double")
-        for r in rows:
-            same = F.lit(True)
-            for g in groups:
-                same = same & (F.col(g) == F.lit(r[g]))
-            full_ridge = F.when(same, F.lit(2 * PRIOR_THETA * r["_cells_all"] / r["_raters"])
-                                ).otherwise(full_ridge)
-    else:
-        r = size.first()
-        full_ridge = F.lit(2 * PRIOR_THETA * (r["_cells_all"] or 0) / max(r["_raters"], 1))
-        per_type = per_type.withColumn("_cells_all", F.lit(r["_cells_all"])).withColumn("_raters", F.lit(r["_raters"]))
-    ridge = per_type.select(*groups, "item_type",
-                            (2 * PRIOR_THETA * (F.col("_cells_all") - F.col("_cells_type")) / F.col("_raters"))
-                            .alias("_ridge"))
+    size = [r.asDict() for r in per_type.groupBy(*groups)
+            .agg(F.sum("_cells_type").alias("_s")).collect()]
+    total = F.lit(0.0)
+    for r in size:
+        same = F.lit(True)
+        for g in groups:
+            same = same & (F.col(g) == F.lit(r[g]))
+        total = F.when(same, F.lit(float(r["_s"] or 0))).otherwise(total)
+    weight = 2 * PRIOR_THETA / max(n_raters, 1)
+    full_ridge = F.lit(weight) * total
+    ridge = per_type.select(*groups, "item_type", (
+        F.lit(weight) * (total - F.col("_cells_type"))).alias("_ridge"))
 
     # the window only has to be near the root, so two steps are enough
     centre = newton_theta(cells, key, full_ridge, max_steps=2, persist=False).select(

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -176,32 +177,50 @@ def calibrate_many(panel: DataFrame, *, model: str, tol: float, max_sweeps: int,
         n = {r["fit_id"]: r["n"] for r in
              items.groupBy("fit_id").agg(F.count("*").alias("n")).collect()}
         sizes = {f: (s.get(f, 0), j[f], n[f]) for f in fit_ids if f in j and f in n}
-    fits = _fit_table(spark, panel, single, sizes)
 
+    # Stored theta and b are on a scale that is off by `move`, the shifts so far.
+    # Both are off by the same amount, so theta - b and every cell are unaffected;
+    # only the priors and the final tables need it.
+    move = {f: 0.0 for f in sizes}
+    fit_type = raters.schema["fit_id"].dataType.simpleString()
     sweeps, delta = 0, float("inf")
     while sweeps < max_sweeps and delta >= tol:
-        theta_old = raters
-        raters, seen = _theta_step(cells, items, raters, fits, layout, single)
-        d_theta = seen["step"] or 0.0
-        items, seen_b = _item_step(cells, items, raters, fits, layout, two_pl, single)
-        delta = max(d_theta, seen_b["step"] or 0.0)
-        raters, items, c = _shift(spark, panel, raters, items, seen, seen_b, single)
-        delta = max(delta, c)
+        fits = _fit_table(spark, fit_type, sizes, move)
+        raters, seen_r = _theta_step(cells, items, raters, fits, layout, single)
+        items, seen_i = _item_step(cells, items, raters, fits, layout, two_pl, single)
+        if single:
+            means = {"all": (seen_i["mean"], seen_r["mean"])}
+        else:
+            means = {r["fit_id"]: (r["b"], r["t"]) for r in
+                     raters.groupBy("fit_id").agg(F.avg("theta").alias("t"))
+                     .join(items.groupBy("fit_id").agg(F.avg("b").alias("b")), "fit_id")
+                     .collect()}
+        shifts = {f: _best_shift(b + move[f], t + move[f]) for f, (b, t) in means.items()}
+        move = {f: move[f] + c for f, c in shifts.items()}
+        delta = max(seen_r["step"] or 0.0, seen_i["step"] or 0.0,
+                    *[abs(c) for c in shifts.values()])
         sweeps += 1
     cells.unpersist()
+    fits = _fit_table(spark, fit_type, sizes, move)
+    at = F.broadcast(fits.select("fit_id", "move"))
+    raters = raters.join(at, "fit_id").selectExpr("fit_id", "rater", "theta + move AS theta")
+    items = items.join(at, "fit_id").selectExpr("fit_id", "item", "b + move AS b", "loga")
     meta = (raters.groupBy("fit_id").agg(F.avg("theta").alias("theta_mean"))
             .join(items.groupBy("fit_id").agg(F.avg("b").alias("b_mean")), "fit_id")
             .join(fits.select("fit_id", "n_obs", "n_raters", "n_items"), "fit_id"))
     return Fit(items, raters, meta, sweeps, delta)
 
 
-def _fit_table(spark, panel, single, sizes) -> DataFrame:
-    rows = [(f, s, j, n, 2 * PRIOR_THETA * s / j, 2 * PRIOR_B * s / n, 2 * PRIOR_LOGA * s / n)
-            for f, (s, j, n) in sizes.items()]
-    kind = "string" if isinstance(rows[0][0], str) else "bigint"
+def _fit_table(spark, fit_type, sizes, move) -> DataFrame:
+    """Scalars of each fit: sizes, prior weights on the summed scale, scale offset."""
+    rows = [(f, s, j, n, 2 * PRIOR_THETA * s / j, 2 * PRIOR_B * s / n, 2 * PRIOR_LOGA * s / n,
+             move[f]) for f, (s, j, n) in sizes.items()]
+    names = ["fit_id", "n_obs", "n_raters", "n_items", "ridge_theta", "ridge_b", "ridge_loga",
+             "move"]
     return spark.createDataFrame(
-        rows, f"fit_id {kind}, n_obs bigint, n_raters bigint, n_items bigint, "
-              "ridge_theta double, ridge_b double, ridge_loga double")
+        pd.DataFrame(rows, columns=names),
+        f"fit_id {fit_type}, n_obs bigint, n_raters bigint, n_items bigint, "
+        "ridge_theta double, ridge_b double, ridge_loga double, move double")
 
 
 def _joined(cells, items, raters, layout, single):
@@ -222,7 +241,7 @@ def _theta_step(cells, items, raters, fits, layout, single):
                                          F.expr("sum(a * a * p * (1 - p))").alias("h")))
     new = (raters.join(sums, [*keys, "rater"], "left").join(F.broadcast(fits), "fit_id")
            .selectExpr("fit_id", "rater", "theta", _capped_sql(
-               "(coalesce(g, 0D) - ridge_theta * theta) / (coalesce(h, 0D) + ridge_theta)",
+               "(coalesce(g, 0D) - ridge_theta * (theta + move)) / (coalesce(h, 0D) + ridge_theta)",
                STEP_CAP) + " AS _step")
            .selectExpr("fit_id", "rater", "theta + _step AS theta", "_step"))
     return _written(new, "raters", step=F.expr("max(abs(_step))"), mean=F.expr("avg(theta)"))
@@ -239,7 +258,7 @@ def _item_step(cells, items, raters, fits, layout, two_pl, single):
     sums = terms.groupBy(*keys, "item").agg(
         *[F.expr(f"sum({term})").alias(name) for name, term in aggs.items()])
     new = items.join(sums, [*keys, "item"], "left").join(F.broadcast(fits), "fit_id")
-    shown = ["fit_id", "item", "b", "loga", "coalesce(gb, 0D) - ridge_b * b AS gb",
+    shown = ["fit_id", "item", "b", "loga", "coalesce(gb, 0D) - ridge_b * (b + move) AS gb",
              "coalesce(hbb, 0D) + ridge_b AS hbb"]
     if two_pl:      # 2x2 scoring step on (b, loga)
         shown += ["coalesce(gl, 0D) - ridge_loga * loga AS gl",
@@ -259,24 +278,6 @@ def _best_shift(mean_b: float, mean_theta: float) -> float:
     return -(PRIOR_B * mean_b + PRIOR_THETA * mean_theta) / (PRIOR_B + PRIOR_THETA)
 
 
-def _shift(spark, panel, raters, items, seen_r, seen_i, single):
-    """Move theta and b of each fit together; the likelihood does not change."""
-    if single:
-        c = _best_shift(seen_i["mean"], seen_r["mean"])
-        move, biggest = (lambda df: df.withColumn("_c", F.lit(c))), abs(c)
-    else:
-        means = (raters.groupBy("fit_id").agg(F.avg("theta").alias("t"))
-                 .join(items.groupBy("fit_id").agg(F.avg("b").alias("b")), "fit_id").collect())
-        shifts = [(r["fit_id"], _best_shift(r["b"], r["t"])) for r in means]
-        kind = raters.schema["fit_id"].dataType.simpleString()
-        table = spark.createDataFrame(shifts, f"fit_id {kind}, _c double")
-        move, biggest = ((lambda df: df.join(F.broadcast(table), "fit_id")),
-                         max(abs(c) for _, c in shifts))
-    raters = move(raters).select("fit_id", "rater", (F.col("theta") + F.col("_c")).alias("theta"))
-    items = move(items).select("fit_id", "item", (F.col("b") + F.col("_c")).alias("b"), "loga")
-    return raters, items, biggest
-
-
 def calibrate(panel: DataFrame, *, model: str, tol: float, max_sweeps: int, **kw) -> Fit:
     """One fit over the whole panel; raw scale, apply an identification policy after."""
     return calibrate_many(panel, model=model, tol=tol, max_sweeps=max_sweeps, **kw)
@@ -284,12 +285,23 @@ def calibrate(panel: DataFrame, *, model: str, tol: float, max_sweeps: int, **kw
 
 def calibrate_panel(panel: DataFrame, items: DataFrame | None, raters: DataFrame | None, *,
                     model: str, tol: float, max_sweeps: int, **kw) -> Fit:
-    """Calibrate on chosen items and raters only."""
+    """Calibrate on chosen items and raters only.
+
+    Chosen items and raters without a cell stay in the fit, at the prior.
+    """
+    if items is None and raters is None:
+        return calibrate(panel, model=model, tol=tol, max_sweeps=max_sweeps, **kw)
+    one = F.lit("all").alias("fit_id")
+    members = {}
     if items is not None:
-        panel = panel.join(items.select("item"), "item", "left_semi")
+        members["items_in_fit"] = items.select(one, "item")
     if raters is not None:
-        panel = panel.join(raters.select("rater"), "rater", "left_semi")
-    return calibrate(panel, model=model, tol=tol, max_sweeps=max_sweeps, **kw)
+        members["raters_in_fit"] = raters.select(one, "rater")
+        # without a choice of items, those the raters have answered
+        if items is None:
+            seen = panel.join(raters.select("rater"), "rater", "left_semi")
+            members["items_in_fit"] = seen.select("item").distinct().select(one, "item")
+    return calibrate_many(panel, model=model, tol=tol, max_sweeps=max_sweeps, **members, **kw)
 
 
 # Identification. The likelihood only fixes theta - b, so a scale must be chosen

@@ -137,7 +137,7 @@ def _count_cdf(k, mean, var, third):
     return np.where(var > 1e-9, np.clip(smooth, 0, 1), (k[:, None] + 0.5 >= mean) * 1.0)
 
 
-@F.pandas_udf("lo double, hi double")
+@F.pandas_udf(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
 def _rate_interval(post: pd.Series, mean: pd.Series, var: pd.Series, third: pd.Series,
                    passed: pd.Series, rest: pd.Series, bank: pd.Series) -> pd.DataFrame:
     """Quantiles of (passed + count)/bank under the posterior mixture, by bisection."""
