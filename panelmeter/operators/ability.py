@@ -248,11 +248,13 @@ def _fold_theta_cells(cells: DataFrame, groups: list[str], n_raters: int) -> Dat
     solved = rest.select(*key, "item_type", "_ridge",
                          _fold_root("_e", "_s", "_c", "_ridge").alias("theta"))
     spark = cells.sparkSession
+    # NaN leaves Python as NULL
+    unsolved = F.col("theta").isNull() | F.isnan("theta")
     seen, path = Observation(), scratch_path(spark, "folds")
-    solved.observe(seen, F.count_if(F.isnan("theta")).alias("open")).write.parquet(path)
+    solved.observe(seen, F.count_if(unsolved).alias("open")).write.parquet(path)
     solved = spark.read.schema(solved.schema).parquet(path)
     if seen.get["open"]:
-        left = solved.where(F.isnan("theta")).select(
+        left = solved.where(unsolved).select(
             *key, F.col("item_type").alias("_fold"), "_ridge")
         own = (cells.join(left, key).where(F.col("item_type") != F.col("_fold"))
                .select(*key, "_fold", "b", "a", "n", "s", "_ridge"))
@@ -260,8 +262,7 @@ def _fold_theta_cells(cells: DataFrame, groups: list[str], n_raters: int) -> Dat
             *key, F.col("_fold").alias("item_type"), F.col("theta").alias("_exact"))
         # a fold without a single training cell keeps the prior mode, 0
         solved = (solved.join(exact, [*key, "item_type"], "left")
-                  .withColumn("theta", F.when(F.isnan("theta"),
-                                              F.coalesce("_exact", F.lit(0.0)))
+                  .withColumn("theta", F.when(unsolved, F.coalesce("_exact", F.lit(0.0)))
                               .otherwise(F.col("theta"))))
     cells.unpersist()
     return solved.select(*key, "item_type", "theta")
@@ -269,8 +270,9 @@ def _fold_theta_cells(cells: DataFrame, groups: list[str], n_raters: int) -> Dat
 
 def newton_theta_with_ridge(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """newton_theta where the prior weight is a column, constant within a key."""
-    keyed = [*keys, "_ridge"]
-    return newton_theta(cells, keyed, F.col("_ridge")).drop("_ridge")
+    keyed = [*keys, "_own_ridge"]
+    cells = cells.withColumnRenamed("_ridge", "_own_ridge")
+    return newton_theta(cells, keyed, F.col("_own_ridge")).drop("_own_ridge")
 
 
 # --- ability from a short log ---------------------------------------------------

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,7 +112,9 @@ def log(spark):
     rows = [(f"r{k % 4}", f"i{(k * 7) % 5}", (k * k) % 3 % 2, k) for k in range(120)]
     df = spark.createDataFrame(rows, "rater string, item string, y int, ord bigint")
     path = scratch_path(spark, "log")
-    df.repartitionByRange(3, "ord").write.parquet(path)
+    for k in range(3):                   # three files in time order
+        df.where(F.floor(F.col("ord") / 40) == k).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
     stream = (lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
               .parquet(path))
     return df, stream
@@ -148,11 +151,12 @@ def test_stream_equals_batch(spark, log):
 
 def test_late_records_are_dropped(spark):
     rows = [("s", 100 + k, 1.0) for k in range(20)]
-    late = [("s", 5, 9.0), ("s", 200, 1.0)]
+    late = [("s", 5, 9.0)]
     path = scratch_path(spark, "late")
     schema = "scene string, sec int, v double"
-    for k, part in enumerate((rows, late, [("s", 400, 1.0)])):
+    for k, part in enumerate((rows, [("s", 200, 1.0)], late, [("s", 400, 1.0)])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("latestFirst", False).parquet(path)
               .withColumn("ts", F.timestamp_seconds("sec")))
