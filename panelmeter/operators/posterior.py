@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import GRID_SIZE, ability_grid, ability_prior, difficulty_nodes
 from ..functions.grid import GRID_LOW, GRID_STEP, LIKELIHOOD_FLOOR, prior_column
 from ..functions.logistic import SIG_BOUND
-from ..session import parallelism
+from ..session import cut_lineage, parallelism
 
 INTERVAL = (0.025, 0.975)     # fixed value: 95 % interval
 CURVE_CHUNK = 256             # items whose node table is in memory at once
@@ -63,6 +63,19 @@ def _with_log_curves(curves: DataFrame) -> DataFrame:
         F.expr(f"transform(m, x -> ln(1 - x + {floor}))").alias("ll_fail"))
 
 
+def _item_vectors(curves: DataFrame, moments: bool = False) -> DataFrame:
+    """(item, v_pass, v_fail): what one response adds, as vectors made once per item.
+
+    The log-likelihood at every grid point, with moments followed by the three
+    cumulants of the outcome. Written once, so no response row repeats the work.
+    """
+    logs = _with_log_curves(curves)
+    more = f", {', '.join(_cumulants())}" if moments else ""
+    both = logs.selectExpr("item", f"concat(ll_pass{more}) AS p", f"concat(ll_fail{more}) AS f")
+    return cut_lineage(both.select("item", array_to_vector("p").alias("v_pass"),
+                                   array_to_vector("f").alias("v_fail")), "itemvectors")
+
+
 def last_outcome(responses: DataFrame, order: str = "step") -> DataFrame:
     """The last outcome per (rater, item), as a mapping from item to outcome keeps it."""
     return responses.groupBy("rater", "item").agg(F.max_by("y", order).alias("y"))
@@ -86,11 +99,10 @@ def theta_posterior(responses: DataFrame, curves: DataFrame,
     Log-likelihoods add up, so each rater is one vector sum with partial sums on
     the map side: nothing is gathered per rater, however long its log.
     """
-    logs = _with_log_curves(curves).drop("m")
-    each = responses.join(logs, "item").select(
-        "rater", F.expr("IF(y = 1, ll_pass, ll_fail)").alias("ll"))
+    each = responses.join(_item_vectors(curves), "item").select(
+        "rater", F.expr("IF(y = 1, v_pass, v_fail)").alias("v"))
     sums = each.groupBy("rater").agg(
-        Summarizer.sum(array_to_vector("ll")).alias("v"), F.count("*").alias("n_administered"))
+        Summarizer.sum(F.col("v")).alias("v"), F.count("*").alias("n_administered"))
     sums = sums.select("rater", vector_to_array("v").alias("ll"), "n_administered")
     if raters is not None:
         sums = raters.select("rater").join(sums, "rater", "left")
@@ -173,19 +185,18 @@ def success_rate(responses: DataFrame, curves: DataFrame,
     interval inverts the mixture of these counts.
     Returns rater, post, n_administered, n_bank, sr_mean, sr_se, sr_lo, sr_hi.
     """
-    items = _with_log_curves(curves).selectExpr(
-        "item", "ll_pass", "ll_fail", f"concat({', '.join(_cumulants())}) AS c")
-    whole = items.agg(vector_to_array(Summarizer.sum(array_to_vector("c"))).alias("bank_c"),
+    items = _item_vectors(curves, moments=True)
+    whole = items.agg(vector_to_array(Summarizer.sum(F.col("v_pass"))).alias("bank_c"),
                       F.count("*").alias("n_bank")).first()
     each = responses.join(items, "item").selectExpr(
-        "rater", "y", "concat(IF(y = 1, ll_pass, ll_fail), c) AS v")
+        "rater", "y", "IF(y = 1, v_pass, v_fail) AS v")
     sums = each.groupBy("rater").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"),
+        vector_to_array(Summarizer.sum(F.col("v"))).alias("v"),
         F.sum(F.col("y").cast("double")).alias("passed"), F.count("*").alias("n_administered"))
     if raters is not None:
         sums = raters.select("rater").join(sums, "rater", "left")
     n = GRID_SIZE
-    bank_c = F.array(*[F.lit(float(x)) for x in whole["bank_c"]])
+    bank_c = F.array(*[F.lit(float(x)) for x in whole["bank_c"][n:]])
     sums = (sums.withColumn("n_administered", F.coalesce("n_administered", F.lit(0)))
             .withColumn("passed", F.coalesce("passed", F.lit(0.0)))
             .withColumn("n_bank", F.lit(whole["n_bank"]).cast("bigint")).withColumn("bank_c", bank_c)
