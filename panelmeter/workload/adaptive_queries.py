@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import difficulty_nodes
 from ..functions.grid import GRID_LOW, GRID_SIZE, GRID_STEP
 from ..operators import posterior as B, selection, tracks
-from ..operators.regression import apply_standardise, standardise
+from ..operators.regression import standardise
 from ..session import cut_lineage, scratch_path
 from ..sources import read_commands, read_frames, write_windows
 from ..streaming import (drain, event_windows, latest_per_key, next_item_writer, outcome_changes,
@@ -58,7 +58,7 @@ SELECT item, {rsql('sum(m)')} AS total, {rsql('sum(m * t)')} AS tilt, {rsql('sum
 FROM curves JOIN grid USING (g) GROUP BY 1""")
 def b3(spark, sf):
     c = B.item_curves(plain_bank(spark, sf))
-    t = f"transform(m, (v, g) -> {{}} )"
+    t = "transform(m, (v, g) -> {})"
     step = f"({GRID_LOW}D + {GRID_STEP}D * g)"
 
     def total(inner):
@@ -79,9 +79,6 @@ def b4(spark, sf):
         rd(F.expr("aggregate(transform(post, q -> q * q), 0D, (a, x) -> a + x)")).alias("sq"))
 
 
-_MODE = "first(t ORDER BY round(q, 12) DESC, g)"
-
-
 @register("b5_posterior_mode", f"""WITH {PANEL}, {BANK}, {_CURVES}, {_post_sql('panel')}
 SELECT rater, {rsql('arg_min(t, (-q, g))')} AS theta,
   {rsql('sqrt(sum(q * t * t) - sum(q * t) ** 2)')} AS theta_sd FROM post GROUP BY 1""")

@@ -8,8 +8,8 @@ from ..functions import binary_entropy, sig
 from ..operators import panel as P
 from ..operators.rank import dense_index, macro_auroc, auroc, spearman
 from ..session import scratch_path
-from ..sources import (bundle_runs, materialise, read_commands, read_features, read_frames,
-                       read_item_types, read_panel, read_predictions, write_run, write_windows)
+from ..sources import (bundle_runs, materialise, read_features, read_item_types, read_panel,
+                       read_predictions, write_run)
 from .base import (PANEL, RATE, SIZE, TYPES, auroc_sql, items, panel, rank_sql, raters, rate_score,
                    rd, register, rsql, sig_sql, size_score, types)
 
