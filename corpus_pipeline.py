@@ -1,19 +1,55 @@
-"""A corpus from raw documents to token files, as stages over the documents table."""
+"""A corpus from raw documents to token files, as stages over the documents table.
+
+Stages in order: toxic documents go; one document of each near-duplicate class stays;
+documents that hold a benchmark item go; sources are mixed to their target weights, a
+document's taken words standing as its text, once per pass; the mix is written as
+token-ID files and read back, one row per document.
+
+Every stage works on all that the one before kept, and `run` writes each stage's rows
+to the shared folder and reads them again, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmeter.llm import neardup
+from panelmeter.llm import decontaminate, mixing, neardup, tokens, toxicity
+from panelmeter.llm.tables import cut_lineage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, decontaminate.benchmark(spark, sf_dir))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokens.encoded(docs)
+
 
 STAGES = [
-    ("minhash_near_dedup", lambda spark, docs, sf: neardup.drop_near_duplicates(docs)),
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("mix_sources", mix_sources),
+    ("token_files", write_token_files),
 ]
+# The learned and hashed stages are beyond SQL; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -101,7 +101,8 @@ def _windows(data, limits, separates):
 def words(column: pa.Array, alphabet: Alphabet = PLAIN, prefixes: tuple[int, ...] = ()):
     """(row, hash, [hash of the first p bytes for each p in prefixes]) of every word in order.
 
-    A prefix as long as its word gives the word's own hash.
+    A negative p stands for the last -p bytes. A part as long as its word gives the
+    word's own hash.
     """
     data, limits = buffers(column)
     rows, hashes, heads = [], [], [[] for _ in prefixes]
@@ -126,7 +127,11 @@ def words(column: pa.Array, alphabet: Alphabet = PLAIN, prefixes: tuple[int, ...
         rows.append(np.searchsorted(limits, start + at, "right") - 1)
         hashes.append(mix((sums[end] - sums[start]) * back))
         for p, out in zip(prefixes, heads):
-            out.append(mix((sums[np.minimum(end, start + p)] - sums[start]) * back))
+            if p > 0:
+                out.append(mix((sums[np.minimum(end, start + p)] - sums[start]) * back))
+            else:
+                low = np.maximum(start, end + p)
+                out.append(mix((sums[end] - sums[low]) * down[low]))
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return join(rows, np.int64), join(hashes, U), [join(x, U) for x in heads]
 
