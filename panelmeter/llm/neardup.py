@@ -10,7 +10,8 @@ similarity, and the work per text is its number of shingles plus about K ln K.
 Texts that agree in a whole band of the signature share a bucket. Nothing emits
 all pairs of a bucket: its smallest member is compared with the others, on whole
 texts, and members are then set aside by the triangle inequality of the Jaccard
-distance. What is left in a bucket with several classes is compared pair by pair.
+distance, and by the share of their shingles that no other member has. What is left
+in a bucket with several classes is compared pair by pair where both bounds allow it.
 
 Inputs in general: null texts are empty; texts without a word are copies of each
 other; a row without doc_id is a document like any other and comes last among
@@ -30,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words as W
 from .graph import components
-from .tables import any_row, cut_lineage
+from .tables import any_row, at, cut_lineage, pick, shielded
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -40,6 +41,8 @@ U = np.uint64
 #: members of one hub that one task compares with a copy of it
 PER_SALT = 128
 HUB_ROUNDS = 2
+#: shingle sets are counted in so many hash parts to bound how much two of them share
+PARTS = 64
 
 
 # --- signatures ---------------------------------------------------------------------
@@ -151,18 +154,18 @@ def digests(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(limits), pa.array(keys[has].ravel()))],
                     names=["doc_id", "h1", "h2", "keys"])
 
-    return (docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return (pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
             .withColumn("row_id", F.monotonically_increasing_id()))
 
 
-def with_word_hash(docs: DataFrame) -> DataFrame:
+def with_word_hash(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs with h1 and h2 added under the names _h1 and _h2."""
     schema = StructType(docs.schema.fields + [StructField("_h1", LongType()), StructField("_h2", LongType())])
-    at = docs.columns.index("text")
+    place = docs.columns.index(text)
 
     def run(it):
         for batch in it:
-            column = batch.column(at)
+            column = batch.column(place)
             for a, b in W.batches(column):
                 row, word, _ = W.words(column.slice(a, b - a))
                 h1, h2 = W.fingerprints(row, word, b - a)
@@ -246,6 +249,51 @@ def _several(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket")
 
 
+def _bounded(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """rows with n, a unit's shingles, and parts: how many of them some other unit of rows has
+    too, by hash part. Rows that this alone keeps from any link in their bucket are left out.
+
+    Two sets of similarity t share t / (1 + t) (n + m) shingles or more, and never more than
+    the sum over parts of the smaller count.
+    """
+    wanted = texts.join(rows.select("unit").distinct(), "unit").select("unit", "text")
+
+    def sets(it, emit):
+        for batch in it:
+            for a, b in W.batches(batch.column("text")):
+                part = batch.slice(a, b - a)
+                row, word, _ = W.words(part.column("text"))
+                r, v, _ = W.distinct(*W.shingles(row, word, WORDS), b - a)
+                yield emit(part.column("unit"), r, v)
+
+    def single(unit, r, v):
+        return pa.RecordBatch.from_arrays([unit.take(pa.array(r)), pa.array(v.view(np.int64))],
+                                          names=["unit", "shingle"])
+
+    def counted(unit, r, v):
+        n = len(unit)
+        own = np.bincount(r * PARTS + (v % U(PARTS)).astype(np.int64), minlength=n * PARTS).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [unit, pa.array(np.bincount(r, minlength=n)),
+             pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PARTS, pa.int32()), pa.array(own))],
+            names=["unit", "n", "parts"])
+
+    alone = (wanted.mapInArrow(lambda it: sets(it, single), "unit long, shingle long")
+             .groupBy("shingle").agg(F.count("*").alias("c"), F.min("unit").alias("unit")).filter("c = 1")
+             .groupBy("unit", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(
+                 F.count("*").cast("int").alias("c"))
+             .groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("alone")))
+    alone = cut_lineage(alone, "alone")
+    sizes = wanted.mapInArrow(lambda it: sets(it, counted), "unit long, n long, parts array<int>").join(
+        alone, "unit", "left").select("unit", "n", F.transform("parts", lambda c, i: c - F.coalesce(
+            F.element_at("alone", i), F.lit(0))).alias("parts"))
+    told = rows.join(cut_lineage(sizes, "sizes"), "unit")
+    least = told.groupBy("bucket").agg(F.min("n").alias("least"))
+    return told.join(least, "bucket").filter(
+        F.aggregate("parts", F.lit(0), lambda x, c: x + c)
+        >= similarity / (1 + similarity) * (F.col("n") + F.col("least")) - 1e-6).drop("least")
+
+
 def links(docs: DataFrame, units: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(links a, b, sim; labels node, label) of units (unit, doc_id, h1, h2, keys) of docs.
 
@@ -254,7 +302,7 @@ def links(docs: DataFrame, units: DataFrame, similarity: float = SIMILARITY) ->
     spark = docs.sparkSession
     rows = cut_lineage(_shared_buckets(units), "buckets")
     wanted = units.join(rows.select("unit").distinct(), "unit").select("unit", "doc_id", "h1", "h2")
-    seen = with_word_hash(docs.select(F.col("doc_id").cast("long"), "text"))
+    seen = with_word_hash(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"))
     texts = cut_lineage(
         seen.join(wanted, (seen["_h1"] == wanted["h1"]) & (seen["_h2"] == wanted["h2"])
                   & seen["doc_id"].eqNullSafe(wanted["doc_id"])).select("unit", "text")
@@ -265,13 +313,23 @@ def links(docs: DataFrame, units: DataFrame, similarity: float = SIMILARITY) ->
         if not any_row(rows):
             break
         if step < HUB_ROUNDS:
-            hubs = cut_lineage(rows.groupBy("bucket").agg(F.min("unit").alias("hub")), "hubs")
+            # first one hub for many bands, so few comparisons; then another one in every bucket
+            order = F.col("unit") if step == 0 else F.xxhash64("bucket", "unit")
+            hubs = cut_lineage(rows.groupBy("bucket").agg(F.min_by("unit", order).alias("hub")), "hubs")
             tied = rows.join(hubs, "bucket").filter("unit <> hub")
             pairs = tied.select(F.col("hub").alias("a"), F.col("unit").alias("b"))
         else:
-            other = rows.select("bucket", F.col("unit").alias("b"), F.col("label").alias("m"))
-            pairs = rows.join(other, "bucket").filter("unit < b AND label <> m").select(
-                F.col("unit").alias("a"), "b")
+            # a pair of several common buckets comes from the smallest of them
+            common = rows.groupBy("unit").agg(F.collect_list("bucket").alias("all"))
+            rows = cut_lineage(rows.join(common, "unit"), "rest")
+            other = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("unit", "label", "n", "parts", "all")])
+            share = similarity / (1 + similarity)
+            pairs = rows.join(other, "bucket").filter(
+                (F.col("unit") < F.col("unit2")) & (F.col("label") != F.col("label2"))
+                & (F.aggregate(F.zip_with("parts", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, c: x + c)
+                   >= share * (F.col("n") + F.col("n2")) - 1e-6)
+                & (F.array_min(F.array_intersect("all", "all2")) == F.col("bucket"))).select(
+                F.col("unit").alias("a"), F.col("unit2").alias("b"))
         sims = cut_lineage(similarities(cut_lineage(pairs.distinct(), "pairs"), texts), "sims")
         found = found.unionByName(sims.filter(F.col("sim") >= similarity))
         labels = components(found)
@@ -285,8 +343,11 @@ def links(docs: DataFrame, units: DataFrame, similarity: float = SIMILARITY) ->
         between = told.groupBy("bucket").agg(F.max(
             ((F.col("sim") < similarity) & (F.col("sim") >= near)).cast("int")).alias("between"))
         left = told.join(between, "bucket").filter(
-            (F.col("sim") < similarity) | (F.col("between") == 1)).select("bucket", "unit")
+            (F.col("sim") < similarity) | (F.col("between") == 1)).drop("hub", "sim", "between")
         rows = cut_lineage(_several(left, labels), "buckets")
+        if step == 0:
+            rows = cut_lineage(_several(cut_lineage(_bounded(rows, texts, similarity), "bounded"), labels),
+                               "buckets")
     return found, labels
 
 
@@ -323,10 +384,11 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     same = Window.partitionBy("doc_id", "h1", "h2")
     stays = cut_lineage(classes.withColumn("same", F.count("*").over(same)).filter("kept").select(
         F.col("doc_id").alias("_id"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2"), "same"), "stays")
-    seen = with_word_hash(docs)
+    safe = shielded(docs)
+    seen = with_word_hash(safe, at(docs, "text"))
     rows = seen.join(stays, (seen["_h1"] == stays["_k1"]) & (seen["_h2"] == stays["_k2"])
-                     & seen["doc_id"].cast("long").eqNullSafe(stays["_id"]))
+                     & seen[at(docs, "doc_id")].cast("long").eqNullSafe(stays["_id"]))
     if any_row(stays.filter("same > 1")):      # rows that repeat both id and words
         rows = rows.filter("same = 1").unionByName(
             rows.filter("same > 1").dropDuplicates(["_id", "_k1", "_k2"]))
-    return rows.select(*docs.columns)
+    return rows.select(*safe.columns).toDF(*docs.columns)

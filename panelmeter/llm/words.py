@@ -187,7 +187,7 @@ def fingerprints(row: np.ndarray, word: np.ndarray, n_rows: int) -> tuple[np.nda
     return out[0], out[1]
 
 
-def batches(column: pa.Array, most: int = 4 << 20):
+def batches(column: pa.Array, most: int = 2 << 20):
     """(start, stop) row spans holding about most bytes each, at least one row."""
     _, limits = buffers(column)
     at = 0
