@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import cut_lineage
+from .tables import cut_lineage, pick, shielded
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -116,7 +116,7 @@ class ItemBlock:
 
 def item_blocks(items: DataFrame, most: int = ITEMS_PER_BLOCK):
     """Blocks of at most about `most` items, brought to the driver one at a time."""
-    rows = cut_lineage(items.select(F.col("item_id").cast("long"), "text"), "items")
+    rows = cut_lineage(pick(items, "item_id", "text").select(F.col("item_id").cast("long"), "text"), "items")
     n = max(1, -(-rows.count() // most))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
@@ -128,7 +128,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, containment: float = C
                        most: int = ITEMS_PER_BLOCK) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) of documents that hold an item."""
     schema = "doc_id long, item_id long, shared long, item_shingles long"
-    source = docs.select(F.col("doc_id").cast("long"), "text")
+    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
 
     def finder(block: ItemBlock):
         def run(it):
@@ -153,20 +153,20 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, containment: float = C
 def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
                       most: int = ITEMS_PER_BLOCK) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    at = docs.columns.index("text")
+    names, place, docs = docs.columns, docs.columns.index("text"), shielded(docs)
 
     def keeper(block: ItemBlock):
         def run(it):
             for batch in it:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for r, *_ in block.hits(batch.column(at), containment):
+                for r, *_ in block.hits(batch.column(place), containment):
                     clean[r] = False
                 yield batch.filter(pa.array(clean))
         return run
 
     for block in item_blocks(items, most):
         docs = docs.mapInArrow(keeper(block), docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def benchmark(spark: SparkSession, sf: str) -> DataFrame:

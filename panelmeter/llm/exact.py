@@ -23,16 +23,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import SPACE, any_row, cut_lineage
+from .tables import SPACE, any_row, cut_lineage, pick
 
 CHUNK = 1 << 16
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1812433253)
 PER_SALT = 256
 #: longer white-space runs, or one white-space sign other than a space
+MARK = ["h1", "h2", "n"]
 NOT_PLAIN = re.compile(r"[\t-\r][\t-\r ]*| [\t-\r ]+")
 
 
@@ -107,7 +108,7 @@ def digests(docs: DataFrame, hashed=fingerprint) -> DataFrame:
                 [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())],
                 names=["doc_id", "h1", "h2", "n", "text_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, h1 long, h2 long, n long, text_sha256 string").withColumn(
         "row_id", F.monotonically_increasing_id())
 
@@ -118,8 +119,11 @@ def _same(left: bytes, right: bytes) -> bool:
         left[i:i + CHUNK] == right[i:i + CHUNK] for i in range(0, len(left), CHUNK))
 
 
-FIRST = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_id")).alias("first")
-MARK = ["h1", "h2", "n"]
+def _first() -> Column:
+    """The row with the smallest doc_id, one without only among such."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_id")).alias("first")
+
+
 
 
 def differing(docs: DataFrame, groups: DataFrame, hashed=fingerprint) -> DataFrame:
@@ -138,7 +142,7 @@ def differing(docs: DataFrame, groups: DataFrame, hashed=fingerprint) -> DataFra
 
     salts = F.ceil(F.col("size") / PER_SALT).cast("int")
     first = F.col("doc_id").eqNullSafe(F.col("first_id"))
-    rows = (docs.select(F.col("doc_id").cast("long"), "text")
+    rows = (pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
             .mapInArrow(prints, "doc_id long, h1 long, h2 long, n long, body binary")
             .join(groups, MARK).withColumn("ahead", first)
             .withColumn("salt", F.explode(F.when(first, F.sequence(F.lit(0), salts - 1)).otherwise(
@@ -167,7 +171,7 @@ def differing(docs: DataFrame, groups: DataFrame, hashed=fingerprint) -> DataFra
 def exact_duplicates(docs: DataFrame, hashed=fingerprint) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     every = cut_lineage(digests(docs, hashed), "digests")
-    groups = every.groupBy(*MARK).agg(FIRST, F.count("*").alias("size")).filter("size > 1").select(
+    groups = every.groupBy(*MARK).agg(_first(), F.count("*").alias("size")).filter("size > 1").select(
         *MARK, "size", F.col("first.doc_id").alias("first_id"))
     mixed = cut_lineage(differing(docs, cut_lineage(groups, "groups"), hashed), "mixed")
     if any_row(mixed):
@@ -175,7 +179,7 @@ def exact_duplicates(docs: DataFrame, hashed=fingerprint) -> DataFrame:
             "part", F.when(F.col("part"), F.col("text_sha256")).otherwise(""))
     else:
         marked = every.withColumn("part", F.lit(""))
-    kept = cut_lineage(marked.groupBy(*MARK, "part").agg(FIRST, F.count("*").alias("group_size")), "kept")
+    kept = cut_lineage(marked.groupBy(*MARK, "part").agg(_first(), F.count("*").alias("group_size")), "kept")
     return marked.join(kept, [*MARK, "part"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("first.row_id")).alias("kept"), "text_sha256")

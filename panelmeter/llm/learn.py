@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import bucket
+from .tables import bucket, pick
 
 #: hashed terms fall into this many buckets
 BUCKETS = 1 << 22
@@ -40,11 +40,11 @@ def as_buckets(parts: list[tuple[np.ndarray, np.ndarray]], n_rows: int) -> tuple
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
                     held: int, most: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, y) of at most `most` labelled rows outside the held-out fold."""
-    chosen = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y"))
+    chosen = (pick(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y"))
               .filter(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & (bucket(F.col("_id"), folds) != held))
               .orderBy(F.xxhash64("_id"), "_id", "y").limit(most))
     # at most `most` pairs of numbers, so the broadcast has a fixed bound
-    return docs.select(F.col("doc_id").cast("long"), "text").join(
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
@@ -84,7 +84,8 @@ def look_up(known: np.ndarray, row: np.ndarray, term: np.ndarray) -> tuple[np.nd
     return row[ok], at[ok]
 
 
-def fit(sample: DataFrame, features: Features, train: Callable[[Sample], dict[str, np.ndarray]]) -> dict:
+def fit(sample: DataFrame, features: Features, train: Callable[[Sample], dict[str, np.ndarray]],
+        least: int = LEAST_DOCS) -> dict:
     """Train on the bounded sample in one task, in order of the doc_ids; returns its arrays."""
     table = feature_table(sample, features).repartition(1).sortWithinPartitions("doc_id", "y", "terms")
 
@@ -95,7 +96,7 @@ def fit(sample: DataFrame, features: Features, train: Callable[[Sample], dict[st
             sizes.append(batch.column("terms").value_lengths().to_numpy())
             terms.append(batch.column("terms").flatten().to_numpy())
         limits = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
-        model = train(Sample(np.concatenate(y), limits, np.concatenate(terms)))
+        model = train(Sample(np.concatenate(y), limits, np.concatenate(terms), least))
         for name, value in model.items():
             value = np.asarray(value)
             yield pa.RecordBatch.from_arrays(
@@ -103,14 +104,16 @@ def fit(sample: DataFrame, features: Features, train: Callable[[Sample], dict[st
                  pa.array([value.tobytes()])], names=["name", "kind", "shape", "data"])
 
     rows = table.mapInArrow(run, "name string, kind string, shape array<long>, data binary").collect()
+    if not rows:                                # no task runs over a table without rows
+        return train(Sample(np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32), least))
     return {r.name: np.frombuffer(bytes(r.data), dtype=r.kind).reshape(r.shape) for r in rows}
 
 
 def scored(docs: DataFrame, features: Features, score: Callable[[dict, np.ndarray, np.ndarray, int], np.ndarray],
-           model: dict, column: str = "score") -> DataFrame:
+           model: dict, column: str = "score", text: str = "text") -> DataFrame:
     """docs with a score of every whole text; score(model, row, place, n_rows)."""
     from pyspark.sql.types import DoubleType, StructField, StructType
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
     schema = StructType(docs.schema.fields + [StructField(column, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -134,3 +137,20 @@ def prior(y: np.ndarray) -> float:
     """Log-odds of label 1, pulled to 1 : 3; that is what a sample without rows gives."""
     p = (y.sum() + 0.5) / (len(y) + 2)
     return float(np.log(p / (1 - p)))
+
+
+def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope (not below 0) and offset of the log-odds by Newton steps on smoothed targets."""
+    up, down = y.sum(), len(y) - y.sum()
+    goal = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        p = sigmoid(a * margin + b)
+        d, h = p - goal, p * (1 - p) + 1e-9
+        g = np.array([d @ margin, d.sum()]) + 1e-6 * np.array([a, b])
+        hess = np.array([[h @ (margin * margin), h @ margin], [h @ margin, h.sum()]]) + 1e-6 * np.eye(2)
+        da, db = np.linalg.solve(hess, g)
+        a, b = a - da, b - db
+        if abs(da) + abs(db) < 1e-9:
+            break
+    return max(float(a), 0.0), float(b)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import SPACE, any_row, cut_lineage
+from .tables import SPACE, any_row, at, cut_lineage, pick, shielded
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)          # 150 percent, as a fraction
@@ -116,7 +116,7 @@ def place_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST,
                     block: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, place (of its source), size, source_size, target,
     base and the running counts that place it in its shard: start, blocks, extra, turn."""
-    sized = cut_lineage(docs.select(
+    sized = cut_lineage(pick(docs, "doc_id", "source", "text").select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -160,9 +160,9 @@ def chosen_before(block_no: Column) -> Column:
 
 def taken_before(word_no: Column, block: int = BLOCK_WORDS) -> Column:
     """How many of a shard's first words the remaining seats take."""
-    at = F.floor(word_no / block)
-    picked = chosen_before(at + 1) - chosen_before(at)
-    return chosen_before(at) * block + (word_no - at * block) * picked
+    no = F.floor(word_no / block)
+    picked = chosen_before(no + 1) - chosen_before(no)
+    return chosen_before(no) * block + (word_no - no * block) * picked
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -188,23 +188,24 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     plan = cut_lineage(plan.select(
         F.col("doc_id").alias("_id"), "digest", "start", "size", "blocks", "base", "extra", "turn",
         "picked", "passes", F.row_number().over(again).alias("copy")), "plan")
-    keyed = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    match = (F.col("_digest") == F.col("digest")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    safe, text, own = shielded(docs), at(docs, "text"), at(docs, "doc_id")
+    keyed = safe.withColumn("_digest", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    match = (F.col("_digest") == F.col("digest")) & keyed[own].cast("long").eqNullSafe(F.col("_id"))
     if any_row(plan.filter("copy > 1")):       # rows that repeat both id and text
         keyed = keyed.withColumn("_copy", F.row_number().over(
-            Window.partitionBy("doc_id", "_digest").orderBy("doc_id")))
+            Window.partitionBy(own, "_digest").orderBy(own)))
         match = match & (F.col("_copy") == F.col("copy"))
     rows = keyed.join(plan.filter("passes > 0"), match)
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
     whole = (F.col("_pass") <= F.col("base")) | (F.col("picked") == F.col("size"))
-    parts = F.regexp_extract_all("text", F.lit(f"{WORD}+{SPACE}*"), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(f"{WORD}+{SPACE}*"), F.lit(0))
 
     def stays(_, i):
-        at = F.floor((F.col("start") + i) / BLOCK_WORDS)
-        return chosen_before(at + 1) > chosen_before(at)
+        block = F.floor((F.col("start") + i) / BLOCK_WORDS)
+        return chosen_before(block + 1) > chosen_before(block)
 
     cut = F.rtrim(F.array_join(F.filter(parts, stays), ""))
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    rows = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(cut))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn(at(docs, "n_chars"), F.length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*safe.columns).toDF(*docs.columns)

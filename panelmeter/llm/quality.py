@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import words as W
-from .tables import bucket
+from .tables import bucket, pick
 
 FOLDS, HELD = 4, 2
 LIMIT = 0.7
@@ -96,23 +96,6 @@ def margins(weight, ratio, row, at, n_rows) -> np.ndarray:
     return np.bincount(row, _unit_rows(ratio, row, at, n_rows) * weight[at], n_rows) + weight[-1]
 
 
-def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope (not below 0) and offset of the log-odds by Newton steps on smoothed targets."""
-    up, down = y.sum(), len(y) - y.sum()
-    goal = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        p = learn.sigmoid(a * margin + b)
-        d, h = p - goal, p * (1 - p) + 1e-9
-        g = np.array([d @ margin, d.sum()]) + 1e-6 * np.array([a, b])
-        hess = np.array([[h @ (margin * margin), h @ margin], [h @ margin, h.sum()]]) + 1e-6 * np.eye(2)
-        da, db = np.linalg.solve(hess, g)
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-9:
-            break
-    return max(float(a), 0.0), float(b)
-
-
 def train(sample: learn.Sample) -> dict[str, np.ndarray]:
     y, n = sample.y, len(sample.known)
     if not len(y) or y.min() == y.max() or min(y.sum(), len(y) - y.sum()) < 4:
@@ -139,7 +122,7 @@ def train(sample: learn.Sample) -> dict[str, np.ndarray]:
         margin[other] = margins(weight, ratio, row, at, len(other))
     ratio, weight = learned(np.arange(len(y)))
     return {"known": sample.known, "ratio": ratio.astype(np.float32), "weight": weight,
-            "line": np.array(platt(margin, y))}
+            "line": np.array(learn.platt(margin, y))}
 
 
 def probability(model, row, at, n_rows) -> np.ndarray:
@@ -155,6 +138,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = learn.TRAIN_ROWS
 def judge(docs: DataFrame, labels: DataFrame, most: int = learn.TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     model = fit_quality(docs, labels, most)
-    return learn.scored(docs.select("doc_id", "text"), ngrams, probability, model).select(
+    return learn.scored(pick(docs, "doc_id", "text"), ngrams, probability, model).select(
         "doc_id", (bucket(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score",
         (F.col("score") >= LIMIT).cast("int").alias("predicted"))

@@ -8,7 +8,7 @@ in which two states become one when the frequencies of ending and of every next
 differ by no more than Hoeffding's bound allows, in them and in what follows (red and
 blue states). A format's common beginning stays literal; other signs stand for their
 class, spread evenly over it. A candidate is reported as kind `format` when the best
-automaton makes it LEAST_BITS bits a sign likelier than the model of ordinary strings,
+automaton makes it LEAST_BITS bits a sign likelier than every model of ordinary strings,
 and it overlaps no fixed span.
 
 Null texts are empty. Positions count code points; ends are exclusive. Rows are
@@ -27,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import pick
+
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")     # the same spans as HEX of 16 or more
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-LEAST_BITS = 1.0
+LEAST_BITS = 0.75
 ALPHA = 0.05
-PER_FORMAT = 60
+PER_FORMAT = 200
 SEED = 23
 
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -58,13 +60,18 @@ FORMATS = {
                           (".", 1, 1), (UPPER + LOWER + DIGITS + "_-", 43, 43)]),
     "base64_secret": ("", [(UPPER + LOWER + DIGITS + "+/", 42, 43), ("=", 1, 2)]),
 }
-# Ordinary strings of token signs.
-ORDINARY = """the information internationalisation 2024-01-31 2023-12-05 1234567890 0800-555-123 www.example.com
-index.html mail.example.org version-1.2.3 user_name_field read-only well-known state-of-the-art und/oder
-Geschwindigkeitsbegrenzung responsabilidad anticonstitutionnellement example.com/path/to/page.html report_final_2.txt
-192.168.10.20 +49-30-123456 10/12/2024 9780306406157 4929348385146306 lorem-ipsum-dolor-sit-amet photo_0001.jpeg
-background-color module.function_name this-is-a-slug-with-words 2024-01-01T00 chapter-12.section-3 aaaaaaaaaaaaaaaa
-the-and-that-with words.and.more.words December2024 January-2023 Section12 README.md setup.cfg a/b/c/d/e/f""".split()
+# Labelled ordinary strings of token signs, by kind.
+ORDINARY = {
+    "word": "the information internationalisation geschwindigkeitsbegrenzung responsabilidad "
+            "anticonstitutionnellement lorem ipsum dolor library garden mountain weather".split(),
+    "number": "1234567890 9780306406157 4929348385146306 20240131 0049301234567 31415926535897932384".split(),
+    "date": "2024-01-31 2023-12-05 1999-07-14 2024-01-31 2011-11-11 10-12-2024".split(),
+    "name": "Information December Section Report Geschwindigkeit Library Mountain Garden".split(),
+    "path": "www.example.com index.html mail.example.org example.com/path/to/page.html a/b/c/d/e/f "
+            "setup.cfg module.function_name report_final_2.txt photo_0001.jpeg".split(),
+    "phrase": "read-only well-known state-of-the-art lorem-ipsum-dolor-sit-amet background-color user_name_field "
+              "this-is-a-slug-with-words the-and-that-with chapter-12.section-3".split(),
+}
 
 
 def labelled_credentials(per_format: int = PER_FORMAT, seed: int = SEED) -> list[tuple[str, str]]:
@@ -178,20 +185,22 @@ class Automaton:
 
 
 class Formats:
-    """Automata of all labelled formats beside a model of ordinary strings."""
+    """Automata of all labelled formats, beside those of ordinary kinds and one of single signs."""
 
-    def __init__(self, credentials: list[tuple[str, str]], ordinary: list[str] = ORDINARY, alpha: float = ALPHA):
+    def __init__(self, credentials: list[tuple[str, str]], ordinary: dict[str, list[str]] = ORDINARY,
+                 alpha: float = ALPHA):
         by = defaultdict(list)
         for name, text in credentials:
             by[name].append(text)
         self.automata = {name: Automaton(words, alpha) for name, words in by.items()}
-        signs = Counter(CLASS_OF[c] for word in ordinary for c in word)
+        self.ordinary = [Automaton(words, alpha) for words in ordinary.values()]
+        signs = Counter(CLASS_OF[c] for words in ordinary.values() for word in words for c in word)
         whole = sum(signs.values()) + len(SPREAD)
         self.plain = {k: math.log2((signs[k] + 1) / whole / n) for k, n in SPREAD.items()}
 
     def gain(self, text: str) -> float:
-        """Bits a sign by which the best format beats the model of ordinary strings."""
-        plain = sum(self.plain[CLASS_OF[c]] for c in text)
+        """Bits a sign by which the best format beats the best model of ordinary strings."""
+        plain = max(sum(self.plain[CLASS_OF[c]] for c in text), *(a.bits(text) for a in self.ordinary))
         best = max((a.bits(text) for a in self.automata.values()), default=-math.inf)
         return (best - plain) / len(text)
 
@@ -252,6 +261,6 @@ def find_secrets(docs: DataFrame, credentials: list[tuple[str, str]] | None = No
                 [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts],
                  pa.array(hashed, pa.string()), pa.array(spans, pa.string())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, "
              "base_sha256 string, spans string")

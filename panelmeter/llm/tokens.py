@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shared_folder
+from .tables import pick, shared_folder
 
 END = 1
 WORD_CACHE = 400_000
@@ -131,7 +131,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end:
     path = vocabulary or vocabulary_file()
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (docs.select(F.col("doc_id").cast("long"), "text")
+    rows = (pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
             .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
             .withColumn("shard", F.spark_partition_id()))

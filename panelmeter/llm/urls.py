@@ -18,6 +18,8 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import pick
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 GRAMS = (2, 3, 4, 5)
@@ -107,7 +109,7 @@ def fit_urls(examples: DataFrame) -> LogisticRegressionModel:
 def judge(pages: DataFrame, examples: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the model's probability of block)."""
     from pyspark.ml.functions import vector_to_array
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    rows = pick(pages, "page_id", "url").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     out = fit_urls(examples).transform(_featured(rows)).withColumn(
         "score", vector_to_array("probability")[1]).withColumn("fit", rule(rules))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(

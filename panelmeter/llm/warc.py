@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import pick
+
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
@@ -85,7 +87,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     url, body = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: {HTML_TYPE}{CRLF}Content-Length: "),
                     octets(body).cast("string"), F.lit(CRLF + CRLF))
-    return pages.select(
+    return pick(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"),
         record_id("response", F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, F.md5(body.cast("binary"))
                   ).alias("record_id"),
@@ -213,7 +215,7 @@ WITH source AS (
 named AS (
   SELECT *, {_id_sql("'response'", "coalesce(page_id::VARCHAR, '')", "target_uri", "md5(payload)")} AS refers_to,
          'sha256:' || sha256(payload) AS source_digest FROM source),
-both AS (
+derived AS (
   SELECT page_id, refers_to, target_uri, source_digest, 'conversion' AS record_type,
          {_id_sql("'conversion'", "refers_to")} AS record_id, NULL::VARCHAR AS concurrent_to,
          'text/plain; charset=utf-8' AS content_type, {_TEXT} AS block FROM named
@@ -226,4 +228,4 @@ both AS (
          || 'source-Content-Length: ' || strlen(payload)::VARCHAR || {_quoted(CRLF)} FROM named)
 SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, '{DATE}' AS "date", content_type,
        source_digest, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length, block
-FROM both"""
+FROM derived"""
