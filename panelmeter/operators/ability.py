@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 
 from ..functions import logit, sig, sig_sql
 from ..functions.logistic import SIG_BOUND
-from ..session import parallelism, scratch_path
+from ..session import cut_lineage, parallelism, scratch_path
 from .calibrate import BROADCAST_ROWS, PRIOR_THETA
 
 THETA_CLIP = 6.0            # fixed value: ability is reported on [-6, 6]
 PROBIT_LOGIT = 2.9          # fixed value: matches a probit curve to a logistic one
 KEY_SALTS = 32              # partitions one key may be spread over
 SMALL_LOG = 4_096           # responses of one rater that may be gathered in one row
+CELLS_PER_SALT = 65_536     # cells of one long log that one task sums
 
 # Leave-one-type-out ability: the curve of expected passes is tabulated at these
 # many Chebyshev points in a window around the rater's full-panel ability. The
@@ -296,14 +297,46 @@ def _map_of_log(b: pd.Series, a: pd.Series, y: pd.Series, steps: pd.Series) -> p
     return pd.Series(np.clip(t, -THETA_CLIP, THETA_CLIP))
 
 
+def _stepped(cells: DataFrame, size: DataFrame, it: int) -> DataFrame:
+    """(rater, theta, n_obs): `it` plain Newton steps from 0, no log gathered in one place.
+
+    A rater's cells are dealt over n_obs / CELLS_PER_SALT salts once; each step sends
+    its ability to the salts and sums gradient and curvature back.
+    """
+    salts = F.ceil(F.col("n_obs") / CELLS_PER_SALT).cast("int")
+    sized = cut_lineage(size.select("rater", "n_obs", salts.alias("salts")), "longlogs")
+    placed = cut_lineage(cells.join(sized, "rater").withColumn("salt", F.pmod(
+        F.xxhash64("b", "a", "y", F.monotonically_increasing_id()), F.col("salts")).cast("int"))
+        .select("rater", "salt", "b", "a", "y"), "longcells")
+    state = sized.withColumn("theta", F.lit(0.0))
+    z = F.col("a") * (F.col("theta") - F.col("b"))
+    p = sig(F.least(F.greatest(z, F.lit(-float(SIG_BOUND))), F.lit(float(SIG_BOUND))))
+    for _ in range(it):
+        sent = state.select("rater", "theta", F.explode(
+            F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        sums = (placed.join(sent, ["rater", "salt"]).groupBy("rater", "salt").agg(
+            F.sum(F.col("a") * (F.col("y") - p)).alias("g"),
+            F.sum(F.col("a") * F.col("a") * p * (1 - p)).alias("h"))
+            .groupBy("rater").agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
+        step = (F.col("g") - F.col("theta")) / (F.col("h") + 1)
+        seen = Observation()
+        state = cut_lineage(state.join(sums, "rater").withColumn("_step", step).select(
+            "rater", "n_obs", "salts", (F.col("theta") + F.col("_step")).alias("theta"),
+            "_step").observe(seen, F.max(F.abs("_step")).alias("step")), "longtheta")
+        if (seen.get["step"] or 0.0) < 1e-15:          # further steps change nothing
+            break
+    return state.select("rater", F.greatest(F.least("theta", F.lit(THETA_CLIP)), F.lit(-THETA_CLIP))
+                        .alias("theta"), F.col("n_obs").cast("bigint").alias("n_obs"))
+
+
 def map_theta(responses: DataFrame, bank: DataFrame, it: int,
               raters: DataFrame | None = None, small_log: int = SMALL_LOG) -> DataFrame:
     """(rater, theta, n_obs): MAP ability under N(0,1), `it` Newton steps.
 
     responses (rater, item, y); bank (item, b, a), a = 1 for a 1PL bank. Raters
     listed in `raters` without a usable response get 0. A log of up to
-    `small_log` responses is solved in one row; longer ones by distributed
-    Newton to the same fixed point, so a rater of any size is handled whole.
+    `small_log` responses is solved in one row, longer ones take the same `it`
+    steps as salted aggregations: where the log is held changes no result.
     """
     known = responses.join(bank.select("item", "b", "a"), "item").select(
         "rater", "b", "a", F.col("y").cast("double").alias("y"))
@@ -312,10 +345,8 @@ def map_theta(responses: DataFrame, bank: DataFrame, it: int,
     if long_logs.limit(1).count():
         short = known.join(long_logs, "rater", "left_anti")
         rest = known.join(long_logs.select("rater"), "rater", "left_semi").select(
-            "rater", "b", "a", F.lit(1.0).alias("n"), F.col("y").alias("s"))
-        big = newton_theta(rest, ["rater"], 1.0).select(
-            "rater", F.greatest(F.least("theta", F.lit(THETA_CLIP)), F.lit(-THETA_CLIP))
-            .alias("theta"), F.col("n_obs").cast("bigint").alias("n_obs"))
+            "rater", "b", "a", "y")
+        big = _stepped(rest, long_logs, it)
     else:
         short, big = known, None
     logs = short.groupBy("rater").agg(

@@ -129,7 +129,7 @@ def calibrate_many(panel: DataFrame, *, model: str, tol: float, max_sweeps: int,
     starts from a fit with one fit_id, for refits that leave little out.
     """
     if model not in ("1pl", "2pl"):
-        raise ValueError(f"model must be '1pl' or '2pl', got {model!r}")
+        raise ValueError(f"unknown model {model!r}: one of 1pl, 2pl")
     spark = panel.sparkSession
     two_pl = model == "2pl"
     cells = panel.select("item", "rater", F.col("y").cast("double").alias("y"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .rank import text_index
 
 MIN_OBSERVED = 8                 # fixed value: fewest responses a kept item has
-ORDERED_DIGEST_LIMIT = 1_000_000  # ids that may be joined into one string
 
 
 def exclude_raters(panel: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -67,15 +66,14 @@ def min_observed(panel: DataFrame, k: int = MIN_OBSERVED) -> DataFrame:
     return panel.join(enough.select("item"), "item", "left_semi")
 
 
-def fingerprint(items: DataFrame, ordered: bool | None = None) -> DataFrame:
+def fingerprint(items: DataFrame, ordered: bool = True) -> DataFrame:
     """One row (n_items, digest) that changes with the ids or their order.
 
-    Up to a million ids this is the SHA-1 of the ids joined by commas in order.
-    A larger universe gets an order-sensitive sum of hashes instead, which needs
-    no single long string. The count that decides is taken first.
+    ordered=True is the SHA-1 of the ids joined by commas in order, which needs one
+    string of all ids; ordered=False is an order-sensitive sum of hashes for
+    universes too large for that. The caller says which: a digest never changes its
+    kind with the number of ids.
     """
-    if ordered is None:
-        ordered = items.count() <= ORDERED_DIGEST_LIMIT
     if ordered:
         digest = F.sha1(F.expr(
             "listagg(cast(item as string), ',') within group (order by item_ord)").cast("binary"))

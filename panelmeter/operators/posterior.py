@@ -81,6 +81,15 @@ def last_outcome(responses: DataFrame, order: str = "step") -> DataFrame:
     return responses.groupBy("rater", "item").agg(F.max_by("y", order).alias("y"))
 
 
+def settled(responses: DataFrame, order: str | None = None) -> DataFrame:
+    """One outcome per (rater, item): the last by `order`, or by a column `step` if there is one.
+
+    Responses without either are taken to be one per rater and item already.
+    """
+    order = order or ("step" if "step" in responses.columns else None)
+    return last_outcome(responses, order) if order else responses
+
+
 def posterior_from_loglik(sums: DataFrame, ll: str = "ll", keep=("rater",)) -> DataFrame:
     """Normalise summed log-likelihoods times the prior; NULL sums give the prior."""
     flat = f"array_repeat(0D, {GRID_SIZE})"
@@ -93,13 +102,15 @@ def posterior_from_loglik(sums: DataFrame, ll: str = "ll", keep=("rater",)) -> D
 
 
 def theta_posterior(responses: DataFrame, curves: DataFrame,
-                    raters: DataFrame | None = None) -> DataFrame:
+                    raters: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """(rater, post, n_administered). Raters without a usable response get the prior.
 
+    Of repeated outcomes the last counts, see `settled`.
+
     Log-likelihoods add up, so each rater is one vector sum with partial sums on
     the map side: nothing is gathered per rater, however long its log.
     """
-    each = responses.join(_item_vectors(curves), "item").select(
+    each = settled(responses, order).join(_item_vectors(curves), "item").select(
         "rater", F.expr("IF(y = 1, v_pass, v_fail)").alias("v"))
     sums = each.groupBy("rater").agg(
         Summarizer.sum(F.col("v")).alias("v"), F.count("*").alias("n_administered"))
@@ -175,9 +186,11 @@ def _cumulants(m: str = "m") -> list[str]:
 
 
 def success_rate(responses: DataFrame, curves: DataFrame,
-                 raters: DataFrame | None = None) -> DataFrame:
+                 raters: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Posterior and success rate over the bank, all raters in one job.
 
+    Of repeated outcomes the last counts, see `settled`.
+
     Observed outcomes count as they are, the others follow their curves. Per
     grid point the number of passes among unanswered items is a sum of
     independent outcomes, so its moments are bank totals minus the totals of the
@@ -188,7 +201,7 @@ def success_rate(responses: DataFrame, curves: DataFrame,
     items = _item_vectors(curves, moments=True)
     whole = items.agg(vector_to_array(Summarizer.sum(F.col("v_pass"))).alias("bank_c"),
                       F.count("*").alias("n_bank")).first()
-    each = responses.join(items, "item").selectExpr(
+    each = settled(responses, order).join(items, "item").selectExpr(
         "rater", "y", "IF(y = 1, v_pass, v_fail) AS v")
     sums = each.groupBy("rater").agg(
         vector_to_array(Summarizer.sum(F.col("v"))).alias("v"),
@@ -221,12 +234,12 @@ def success_rate(responses: DataFrame, curves: DataFrame,
 
 
 def estimate_raters(responses: DataFrame, curves: DataFrame,
-                    raters: DataFrame | None = None) -> DataFrame:
+                    raters: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Ability and success rate of every rater; items outside the bank are ignored.
 
     theta_sd belongs to theta and sr_se to the success rate; they are two columns.
     """
-    return posterior_mode(success_rate(responses, curves, raters)).select(
+    return posterior_mode(success_rate(responses, curves, raters, order)).select(
         "rater", "theta", "theta_sd", "sr_mean", "sr_lo", "sr_hi", "sr_se",
         "n_administered", "n_bank")
 

@@ -31,6 +31,7 @@ from .rank import running_before, value_buckets
 REPLICATES = 10_000           # fixed value: replicates of a reported interval
 LEVELS = (0.025, 0.975)
 CUBIC_CLUSTERS = 64
+CONSTANT = 1e-9             # a side with a smaller sum of squares counts as constant
 REPLICATES_PER_PASS = 200
 
 
@@ -155,7 +156,7 @@ def _cubic(base, clusters, n, y, predictors, replicates, seed) -> DataFrame:
             out = {"rep": pdf["rep"].to_numpy()}
             for j, x in enumerate(predictors):
                 xy, xx = got[1 + 2 * j], got[2 + 2 * j]
-                ok = (xx > 1e-9) & (got[0] > 1e-9)
+                ok = (xx > CONSTANT) & (got[0] > CONSTANT)
                 out[x] = np.where(ok, xy / np.sqrt(np.where(ok, xx * got[0], 1.0)), np.nan)
             yield pd.DataFrame(out)
 
@@ -187,7 +188,7 @@ def _ranked(base, clusters, n, y, predictors, replicates, seed) -> DataFrame:
             moment(y, y).alias("_yy"), *[moment(x, y).alias(f"_xy_{x}") for x in predictors],
             *[moment(x, x).alias(f"_xx_{x}") for x in predictors])
         part = cut_lineage(sums.select("rep", *[
-            F.when((F.col("_yy") > 0) & (F.col(f"_xx_{x}") > 0),
+            F.when((F.col("_yy") > CONSTANT) & (F.col(f"_xx_{x}") > CONSTANT),
                    F.col(f"_xy_{x}") / F.sqrt(F.col(f"_xx_{x}") * F.col("_yy"))).alias(x)
             for x in predictors]), "reps")
         out = part if out is None else out.unionByName(part)

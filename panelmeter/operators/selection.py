@@ -131,7 +131,18 @@ def next_item_shrunk(thetas: DataFrame, predicted: DataFrame, administered: Data
                        administered, k, _shrunk_score)
 
 
-def residual_variance(predicted: DataFrame, groups=("fold",)) -> DataFrame:
-    """Variance of prediction residuals within the training side of each fold."""
-    return predicted.groupBy(*groups).agg(
-        F.var_pop(F.col("b") - F.col("b_tilde")).alias("s2"), F.count("*").alias("n_items"))
+def residual_variance(predicted: DataFrame, fold: str = "fold") -> DataFrame:
+    """(fold, s2, n_items): variance of residuals on the training side of each fold.
+
+    A fold leaves out the items of its own value, so its training side is the whole
+    less that group: moments are summed once per group and never per fold. They are
+    taken about the overall mean, which keeps the subtraction exact enough. NULL where
+    nothing is left to train on.
+    """
+    d = F.col("b") - F.col("b_tilde")
+    middle = predicted.agg(F.coalesce(F.avg(d), F.lit(0.0)).alias("m")).first()["m"]
+    each = predicted.groupBy(fold).agg(
+        F.count(d).alias("n"), F.sum(d - middle).alias("s"), F.sum((d - middle) ** 2).alias("ss"))
+    whole = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "s", "ss")]).first()
+    n, s, ss = (F.lit(whole[c]) - F.col(c) for c in ("n", "s", "ss"))
+    return each.select(fold, F.when(n > 0, ss / n - (s / n) ** 2).alias("s2"), n.alias("n_items"))

@@ -35,12 +35,15 @@ def downsample(frames: DataFrame, lengths: DataFrame | None = None,
     """Every n-th frame among the first nf files of a scene.
 
     Position is the rank of the file within its scene, not its number. lengths
-    (scene, nf) caps the files of a scene; without it all are used.
+    (scene, nf) caps the files of a scene; without it all are used. Frames marked
+    in a column `bad` count for positions and the cap and are dropped afterwards.
     """
     placed = dense_index(frames.withColumnRenamed("frame", "_f"), "_f", "file_pos", ["scene"])
     if lengths is not None:
         placed = (placed.join(lengths.select("scene", "nf"), "scene")
                   .where(F.col("file_pos") < F.col("nf")).drop("nf"))
+    if "bad" in frames.columns:
+        placed = placed.where(~F.col("bad")).drop("bad")
     return placed.where(F.col("file_pos") % every == 0).withColumnRenamed("_f", "frame")
 
 

@@ -44,12 +44,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of
-    this machine is used instead.
+    Where that setting is absent and everything runs in one process (tests, a
+    laptop), a temporary folder of this machine is used instead. On a cluster no
+    local folder is seen by all executors, so its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -24,22 +24,32 @@ FRAME_SCHEMA = T.StructType([
 def read_frames(spark: SparkSession, root: str,
                 scene_pattern: str = r"/([^/]+)/anno/[^/]+$",
                 frame_pattern: str = r"/0*(\d+)\.json(?:\.gz)?$") -> DataFrame:
-    """One JSON document per file to (scene, frame, boxes); bad files are dropped.
+    """One JSON document per file to (scene, frame, boxes, bad).
 
-    Frames are many small files, so the scan packs them by size; write the
-    result to parquet once and work from that table.
+    Files that cannot be read or parsed keep their row, with bad set and no boxes:
+    a frame's position counts all files of its scene, so they are dropped only
+    after positions are given (see tracks.downsample). The listing reads no
+    content. Frames are many small files, so the scan packs them by size; write
+    the result to parquet once and work from that table.
     """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+             .select(F.regexp_extract("path", scene_pattern, 1).alias("scene"),
+                     F.regexp_extract("path", frame_pattern, 1).cast("int").alias("frame"))
+             .where(F.col("frame").isNotNull()))
     raw = (spark.read.schema(FRAME_SCHEMA)
            .option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_bad")
-           .option("recursiveFileLookup", True)
+           .option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
            .json(root))
     path = F.input_file_name()
-    return (raw.select(F.regexp_extract(path, scene_pattern, 1).alias("scene"),
+    parsed = (raw.select(F.regexp_extract(path, scene_pattern, 1).alias("scene"),
                        F.regexp_extract(path, frame_pattern, 1).cast("int").alias("frame"),
                        F.coalesce("bounding_boxes", F.array().cast(T.ArrayType(BOX_TYPE)))
                        .alias("boxes"), "_bad")
-            .where(F.col("_bad").isNull()).drop("_bad"))
+              .where(F.col("_bad").isNull()).drop("_bad").withColumn("_read", F.lit(True)))
+    none = F.array().cast(T.ArrayType(BOX_TYPE))
+    return files.join(parsed, ["scene", "frame"], "left").select(
+        "scene", "frame", F.coalesce("boxes", none).alias("boxes"), F.col("_read").isNull().alias("bad"))
 
 
 def read_commands(spark: SparkSession, path: str) -> DataFrame:

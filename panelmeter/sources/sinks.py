@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rank import spearman
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 
 # Fixed names of the bundled runs, in order.
 RUN_NAMES = ("d64_s0", "d64_s1", "d64_s2", "d96_s0", "d96_s1", "d96_s2")
@@ -41,7 +41,9 @@ def write_windows(windows: DataFrame, path: str, error: str = "error",
     """
     bucket = F.pmod(F.xxhash64("scene"), F.lit(buckets)).cast("int")
     good, bad = f"{path}/windows", f"{path}/errors"
+    windows = cut_lineage(windows, "windows")          # both writes read the same rows
     (windows.where(F.col(error).isNull()).drop(error).withColumn("scene_bucket", bucket)
+     .repartition(buckets, "scene_bucket")             # a file per bucket, not per task and bucket
      .write.mode("overwrite").partitionBy("scene_bucket").option("compression", "zstd").parquet(good))
     (windows.where(F.col(error).isNotNull()).select("scene", error).distinct()
      .write.mode("overwrite").parquet(bad))
@@ -49,19 +51,25 @@ def write_windows(windows: DataFrame, path: str, error: str = "error",
 
 
 def write_run(predictions: DataFrame, run: str, path: str) -> None:
-    """Append one run's out-of-fold table (item, item_type, reference, b_tilde)."""
+    """Write one run's out-of-fold table (item, item_type, reference, b_tilde).
+
+    A run written again replaces itself; other runs stay.
+    """
     (predictions.select("item", "item_type", "reference", "b_tilde")
      .withColumn("run", F.lit(run))
-     .write.mode("append").partitionBy("run").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run")
+     .parquet(path))
 
 
 def bundle_runs(runs: Sequence[DataFrame], names: Sequence[str] = RUN_NAMES
                 ) -> tuple[DataFrame, DataFrame]:
     """Put runs side by side under names, each with its rank correlation.
 
-    Runs beyond the number of names are left out. Types and reference come from
-    the first run; a run that scores another set of items is refused when read.
+    Every run needs a name: more runs than names are refused. Types and reference
+    come from the first run; a run that scores another set of items is refused too.
     """
+    if len(runs) > len(names):
+        raise ValueError(f"{len(runs)} runs for {len(names)} names")
     pairs = list(zip(names, runs))
     base = runs[0].select("item", "item_type", "reference")
     scored = None

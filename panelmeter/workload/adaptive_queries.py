@@ -113,7 +113,40 @@ def b10(spark, sf):
                       rd("sr_se").alias("sr_se"), "n_administered", "n_bank")
 
 
-@register("b10_rater_intervals")
+def _interval_sql(steps: int = 40) -> str:
+    """bz (rater, level, high): the smallest count whose mixed distribution reaches the level,
+    by the same bisection as a chain of tables."""
+    x = "greatest(least((mid + 0.5::DOUBLE - s) / sd, 40::DOUBLE), -40::DOUBLE)"
+    t = "(1 / (1 + 0.3275911::DOUBLE * abs(x) / sqrt(2::DOUBLE)))"
+    poly = ("((((1.061405429::DOUBLE * {t} - 1.453152027::DOUBLE) * {t} + 1.421413741::DOUBLE) * {t} "
+            "- 0.284496736::DOUBLE) * {t} + 0.254829592::DOUBLE) * {t}").format(t=t)
+    erf = f"sign(x) * (1 - {poly} * exp(-x * x / 2))"
+    smooth = f"0.5 * (1 + {erf}) + k3 / sd ** 3 * (1 - x * x) * exp(-0.5 * x * x) / sqrt(2 * pi()) / 6"
+    cdf = f"CASE WHEN v > 1e-9 THEN greatest(least({smooth}, 1), 0) WHEN mid + 0.5 >= s THEN 1 ELSE 0 END"
+    out = [f"""t3 AS (SELECT g, sum(m) AS s, sum(m * (1 - m)) AS v, sum(m * (1 - m) * (1 - 2 * m)) AS k3 FROM curves GROUP BY 1),
+a3 AS (SELECT rater, g, sum(m) AS s, sum(m * (1 - m)) AS v, sum(m * (1 - m) * (1 - 2 * m)) AS k3 FROM early JOIN curves USING (item) GROUP BY 1, 2),
+cm AS MATERIALIZED (SELECT rater, q, t3.s - a3.s AS s, greatest(t3.v - a3.v, 0) AS v, t3.k3 - a3.k3 AS k3,
+  sqrt(greatest(t3.v - a3.v, 1e-300)) AS sd FROM post JOIN a3 USING (rater, g) JOIN t3 USING (g)),
+b0 AS MATERIALIZED (SELECT rater, level, -1::DOUBLE AS low, (nb - n)::DOUBLE AS high
+  FROM rs, (VALUES ({B.INTERVAL[0]}::DOUBLE), ({B.INTERVAL[1]}::DOUBLE)) l(level))"""]
+    for k in range(1, steps + 1):
+        out.append(f"""b{k} AS MATERIALIZED (SELECT rater, level, CASE WHEN ok THEN low ELSE mid END AS low,
+  CASE WHEN ok THEN mid ELSE high END AS high FROM (
+    SELECT rater, level, any_value(low) AS low, any_value(high) AS high, any_value(mid) AS mid, sum(q * {cdf}) >= level AS ok
+    FROM (SELECT *, {x} AS x FROM (SELECT *, floor((low + high) / 2) AS mid FROM b{k - 1} WHERE high - low > 1) JOIN cm USING (rater))
+    GROUP BY 1, 2)
+  UNION ALL SELECT rater, level, low, high FROM b{k - 1} WHERE high - low <= 1)""")
+    return ",\n".join(out)
+
+
+_BISECTIONS = 16          # halves any bank of up to 2^16 unanswered items
+
+
+@register("b10_rater_intervals", f"""WITH {PANEL}, {BANK}, {_EARLY}, {_CURVES}, {_post_sql('early')}, {_RATE_SQL},
+{_interval_sql(_BISECTIONS)}
+SELECT rater, {rsql('(any_value(obs) + min(high)) / any_value(nb)')} AS sr_lo,
+  {rsql('(any_value(obs) + any_value(e1)) / any_value(nb)')} AS sr_mean,
+  {rsql('(any_value(obs) + max(high)) / any_value(nb)')} AS sr_hi FROM b{_BISECTIONS} JOIN rs USING (rater) GROUP BY 1""")
 def b10_intervals(spark, sf):
     out = B.estimate_raters(_early(spark, sf), _curves(spark, sf))
     return out.select("rater", rd("sr_lo").alias("sr_lo"), rd("sr_mean").alias("sr_mean"),
@@ -182,9 +215,10 @@ def b12(spark, sf):
         "rater", "rank", "item", rd("gain", 8).alias("gain"))
 
 
-@register("b13_residual_variance", f"""WITH {PANEL}, {RATE}, {SIZE}, {TYPES}
-SELECT item_type AS fold, {rsql('var_pop(r.b - z.b)')} AS s2, count(*) AS n_items
-FROM rate_score r JOIN size_score z USING (item) JOIN types USING (item) GROUP BY 1""")
+@register("b13_residual_variance", f"""WITH {PANEL}, {RATE}, {SIZE}, {TYPES},
+d AS MATERIALIZED (SELECT item_type, r.b - z.b AS d FROM rate_score r JOIN size_score z USING (item) JOIN types USING (item))
+SELECT f.fold, {rsql('var_pop(d)')} AS s2, count(*) AS n_items
+FROM (SELECT DISTINCT item_type AS fold FROM d) f JOIN d ON item_type <> f.fold GROUP BY 1""")
 def b13(spark, sf):
     from .base import types
     both = (rate_score(panel(spark, sf)).join(

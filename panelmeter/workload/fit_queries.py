@@ -18,15 +18,9 @@ from .base import (BANK, PANEL, RATE, SIZE, TYPES, auroc_sql, panel, plain_bank,
 
 SWEEPS = 8          # both engines take exactly these sweeps from zero
 
-_fits: dict = {}
-
 
 def _fit(spark, sf, model):
-    """One fit per input folder and session; several queries describe the same fit."""
-    key = (spark.sparkContext.applicationId, sf, model)
-    if key not in _fits:
-        _fits[key] = C.calibrate(panel(spark, sf), model=model, tol=0.0, max_sweeps=SWEEPS)
-    return _fits[key]
+    return C.calibrate(panel(spark, sf), model=model, tol=0.0, max_sweeps=SWEEPS)
 
 
 # --- the same sweeps in SQL -------------------------------------------------------
@@ -92,16 +86,12 @@ FIT1, FIT2 = f"WITH {ONE_FIT},\n{sweeps_sql('1pl')}", f"WITH {ONE_FIT},\n{sweeps
 
 @register("c1_calibrate_1pl", f"{FIT1} SELECT item, {rsql('b')} AS b FROM iz")
 def c1(spark, sf):
-    fit = C.calibrate(panel(spark, sf), model="1pl", tol=0.0, max_sweeps=SWEEPS)
-    _fits[(spark.sparkContext.applicationId, sf, "1pl")] = fit
-    return fit.items.select("item", rd("b").alias("b"))
+    return _fit(spark, sf, "1pl").items.select("item", rd("b").alias("b"))
 
 
 @register("c2_calibrate_2pl", f"{FIT2} SELECT item, {rsql('b')} AS b, {rsql('exp(loga)')} AS a FROM iz")
 def c2(spark, sf):
-    fit = C.calibrate(panel(spark, sf), model="2pl", tol=0.0, max_sweeps=SWEEPS)
-    _fits[(spark.sparkContext.applicationId, sf, "2pl")] = fit
-    return fit.items.select("item", rd("b").alias("b"), rd(F.exp("loga")).alias("a"))
+    return _fit(spark, sf, "2pl").items.select("item", rd("b").alias("b"), rd(F.exp("loga")).alias("a"))
 
 
 @register("c5_center_b", f"{FIT1} SELECT item, {rsql('b - m')} AS b FROM iz JOIN mz USING (fit_id)")

@@ -150,6 +150,24 @@ def test_precision_by_step_carries_over_blocks(spark, bank, curves, monkeypatch)
     assert n["n_items"] == 3 and n["n_logged"] == 5
 
 
+def test_repeated_outcomes_count_once(spark):
+    bank = spark.createDataFrame([("a", 0.0, 1.0, 0.0), ("b", 1.0, 1.0, 0.0)], "item string, b double, a double, s double")
+    curves = B.item_curves(bank)
+    log = spark.createDataFrame([("r", "a", 1, 1), ("r", "a", 2, 0)], "rater string, item string, step int, y int")
+    last = log.where("step = 2").drop("step")
+    twice, once = (B.estimate_raters(x, curves).first().asDict() for x in (log, last))
+    assert twice == pytest.approx(once) and twice["n_administered"] == 1
+    assert B.estimate_raters(log.withColumnRenamed("step", "at"), curves, order="at").first().asDict() == pytest.approx(once)
+
+
+def test_residual_variance_is_of_the_other_folds(spark):
+    rows = [("x", 1.0, 0.0), ("x", 2.0, 0.0), ("y", 5.0, 1.0), ("z", 1.0, 1.0)]
+    got = S.residual_variance(spark.createDataFrame(rows, "fold string, b double, b_tilde double")).collect()
+    for r in got:
+        d = [b - t for f, b, t in rows if f != r["fold"]]
+        assert r["n_items"] == len(d) and r["s2"] == pytest.approx(np.var(d))
+
+
 def test_last_outcome(spark):
     log = spark.createDataFrame([("r", "a", 1, 0), ("r", "a", 2, 1)],
                                 "rater string, item string, step int, y int")

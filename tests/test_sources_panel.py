@@ -60,16 +60,44 @@ def test_selection_and_reshape(spark, cells, cells_pdf, types):
         "r0": True, "nobody": False}
 
 
-def test_frames_skip_corrupt_files(spark, tmp_path):
+def test_frames_keep_their_place_beside_bad_files(spark, tmp_path):
+    from panelmeter.operators.tracks import downsample
     d = tmp_path / "route_1" / "anno"
     d.mkdir(parents=True)
-    for k in range(3):
-        with gzip.open(d / f"{k:05d}.json.gz", "wt") as f:
-            f.write("{broken" if k == 1 else json.dumps(
-                {"bounding_boxes": [{"class": "vehicle", "id": "7", "location": [1, 2, 0]}]}))
-    got = read_frames(spark, str(tmp_path)).orderBy("frame").collect()
-    assert [(r["scene"], r["frame"], len(r["boxes"])) for r in got] == [
-        ("route_1", 0, 1), ("route_1", 2, 1)]
+    box = {"class": "vehicle", "id": "7", "location": [1, 2, 0]}
+    for k in range(12):
+        text = gzip.compress((("{broken" if k == 2 else json.dumps({"bounding_boxes": [box] * 50}))).encode())
+        (d / f"{k:05d}.json.gz").write_bytes(text[:len(text) // 2] if k == 5 else text)   # 5 is cut off
+    got = read_frames(spark, str(tmp_path))
+    assert [(r["frame"], r["bad"], len(r["boxes"])) for r in got.orderBy("frame").collect()] == [
+        (k, k in (2, 5), 0 if k in (2, 5) else 50) for k in range(12)]
+    assert [r["frame"] for r in downsample(got).orderBy("frame").collect()] == [0, 10]
+    short = spark.createDataFrame([("route_1", 9)], "scene string, nf int")
+    assert [r["frame"] for r in downsample(got, short, 4).orderBy("frame").collect()] == [0, 4, 8]
+
+
+def test_runs_need_names_and_replace_themselves(spark, tmp_path):
+    run = spark.createDataFrame([("a", "t", 1.0, 0.5), ("b", "t", 2.0, 0.7)],
+                                "item string, item_type string, reference double, b_tilde double")
+    with pytest.raises(ValueError, match="8 runs"):
+        bundle_runs([run] * 8)
+    for _ in range(2):
+        for name in ("x", "y"):
+            write_run(run, name, str(tmp_path / "runs"))
+    assert spark.read.parquet(str(tmp_path / "runs")).groupBy("run").count().collect()[0]["count"] == 2
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    from panelmeter.session import shared_folder
+
+    def session(master, named):
+        return Some(conf=Some(get=lambda *_: named), sparkContext=Some(master=master, applicationId=f"t-{master}"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("local-cluster[2,1,1024]", None))
+    assert shared_folder(session("spark://h:1", "hdfs://h/x/")) == "hdfs://h/x"
+    assert shared_folder(session("local[2]", None)).startswith("/tmp/")
 
 
 def test_materialise_is_keyed_by_fingerprint(spark, tmp_path):
