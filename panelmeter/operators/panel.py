@@ -144,9 +144,14 @@ def failure_rate(panel: DataFrame) -> DataFrame:
 
 
 def panel_summary(panel: DataFrame, types: DataFrame) -> DataFrame:
-    """Counts and pass rate per rater, per item type and overall, in one pass."""
+    """Counts and pass rate per rater, per item type and overall, in one pass.
+
+    n_missing is set for raters: typed items of the panel that the rater has no cell for.
+    """
     typed = panel.join(types.select("item", "item_type"), "item")
+    items = typed.agg(F.count_distinct("item").alias("n")).first()["n"]
     grouped = typed.groupingSets([["rater"], ["item_type"], []], "rater", "item_type")
     return grouped.agg(F.grouping_id().alias("level"), F.count("*").alias("n_obs"),
                        F.sum(F.col("y").cast("bigint")).alias("n_pass"),
-                       F.avg("y").alias("pass_rate"))
+                       F.avg("y").alias("pass_rate")).withColumn(
+        "n_missing", F.when(F.col("level") == 1, F.lit(items) - F.col("n_obs")))

@@ -227,7 +227,8 @@ def b13(spark, sf):
     return selection.residual_variance(both).select("fold", rd("s2").alias("s2"), "n_items")
 
 
-_STEPS = f"""lg AS (SELECT rater, item, y, row_number() OVER (PARTITION BY rater ORDER BY item) AS step FROM early),
+_STEPS = f"""lg AS (SELECT rater, item, y, row_number() OVER (PARTITION BY rater ORDER BY shipped, item) AS step
+  FROM panel JOIN (SELECT l_partkey AS item, l_suppkey AS rater, min(l_shipdate) AS shipped FROM lineitem GROUP BY 1, 2) USING (item, rater)),
 rn AS (SELECT rater, step, g, t, q0,
   sum(CASE WHEN y = 1 THEN ln(m + 1e-12) ELSE ln(1 - m + 1e-12) END) OVER w AS l,
   sum(a * a * p * (1 - p)) OVER w AS info FROM (
@@ -239,18 +240,23 @@ st AS MATERIALIZED (SELECT rater, step, arg_max(t, (round(l + ln(q0), 9), -g)) A
 
 
 def _log(spark, sf):
-    order = Window.partitionBy("rater").orderBy("item")
-    return _early(spark, sf).withColumn("step", F.row_number().over(order))
+    """The whole log of every rater, in the order of the first ship date of a part."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    shipped = lines.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("rater")).agg(
+        F.min("l_shipdate").alias("shipped"))
+    order = Window.partitionBy("rater").orderBy("shipped", "item")
+    return panel(spark, sf).join(shipped, ["item", "rater"]).withColumn(
+        "step", F.row_number().over(order)).drop("shipped")
 
 
-@register("b14_precision_by_step", f"""WITH {PANEL}, {BANK}, {_EARLY}, {_CURVES}, {_STEPS}
+@register("b14_precision_by_step", f"""WITH {PANEL}, {BANK}, {_CURVES}, {_STEPS}
 SELECT rater, step, {rsql('theta', 4)} AS theta, {rsql('se', 4)} AS se FROM st""")
 def b14(spark, sf):
     out = B.precision_by_step(_log(spark, sf), plain_bank(spark, sf))
     return out.select("rater", "step", rd("theta", 4).alias("theta"), rd("se", 4).alias("se"))
 
 
-@register("b14_rollouts_to_precision", f"""WITH {PANEL}, {BANK}, {_EARLY}, {_CURVES}, {_STEPS}
+@register("b14_rollouts_to_precision", f"""WITH {PANEL}, {BANK}, {_CURVES}, {_STEPS}
 SELECT rater, min(CASE WHEN se < 0.35 THEN step END) AS n_items, max(step) AS n_logged FROM st GROUP BY 1""")
 def b14_items(spark, sf):
     return B.rollouts_to_precision(B.precision_by_step(_log(spark, sf), plain_bank(spark, sf)))
@@ -437,21 +443,32 @@ def t8_sequence(spark, sf):
                                  "sequence").select("scene", "widx", "slot")
 
 
-@register("t9_pack_windows", f"""{_TRACK}, {_WA}, {_WE}
-SELECT scene, widx, 48 AS n_slots, coalesce(n_masked, 0) AS n_masked, {rsql('coalesce(v, 0)', 1)} AS agent_sum, {rsql('e', 1)} AS ego_sum
-FROM (SELECT scene, widx, sum(speed) AS e FROM we GROUP BY 1, 2)
-LEFT JOIN (SELECT scene, widx, count(*) FILTER (mask) AS n_masked, sum(speed) AS v FROM wa GROUP BY 1, 2) USING (scene, widx)""")
-def t9(spark, sf):
+def _packed(spark, sf):
     w = _windows(spark, sf)
     cmd = tracks.window_command(w["anchors"], _commands(spark, sf))
-    packed = tracks.pack_windows(w["agents"], w["ego"], cmd)
-    flat = "aggregate(flatten(transform({}, s -> transform(s, v -> cast(v[4] AS double)))), 0D, (a, x) -> a + x)"
-    return packed.select(
-        "scene", "widx", F.size("agents").alias("n_slots"),
-        F.expr("size(filter(flatten(mask), x -> x))").cast("bigint").alias("n_masked"),
-        rd(F.expr(flat.format("agents")), 1).alias("agent_sum"),
-        rd(F.expr("aggregate(transform(ego, v -> cast(v[4] AS double)), 0D, (a, x) -> a + x)"), 1)
-        .alias("ego_sum"))
+    return tracks.pack_windows(w["agents"], w["ego"], cmd)
+
+
+_ROUND_P = ", ".join(f"{rsql(f'coalesce(({c})::FLOAT, 0)', DIGITS)} AS {c}" for c in tracks.AGENT_CHANNELS)
+
+
+@register("t9_pack_windows", f"""{_TRACK}, {_WA}, {_WE},
+every AS (SELECT scene, widx, s::INTEGER AS slot, k::INTEGER AS step FROM (SELECT DISTINCT scene, widx FROM we),
+  (SELECT unnest(range({tracks.MAX_AGENTS})) AS s), (SELECT unnest(range({tracks.WINDOW_STEPS})) AS k))
+SELECT scene, widx, slot, step, coalesce(mask, false) AS mask, {_ROUND_P} FROM every LEFT JOIN wa USING (scene, widx, slot, step)""")
+def t9(spark, sf):
+    slots = _packed(spark, sf).select("scene", "widx", F.posexplode(F.arrays_zip("agents", "mask")).alias("slot", "a"))
+    steps = slots.select("scene", "widx", "slot", F.posexplode(F.arrays_zip(
+        F.col("a.agents").alias("v"), F.col("a.mask").alias("m"))).alias("step", "e"))
+    return steps.select("scene", "widx", "slot", "step", F.col("e.m").alias("mask"), *[
+        rd(F.col("e.v")[k], DIGITS).alias(c) for k, c in enumerate(tracks.AGENT_CHANNELS)])
+
+
+@register("t9_pack_ego", f"{_TRACK}, {_WE} SELECT scene, widx, step, {_ROUND_E} FROM we")
+def t9_ego(spark, sf):
+    steps = _packed(spark, sf).select("scene", "widx", F.posexplode("ego").alias("step", "v"))
+    return steps.select("scene", "widx", "step", *[
+        rd(F.col("v")[k], DIGITS).alias(c) for k, c in enumerate(tracks.EGO_CHANNELS)])
 
 
 @register("w3_first_windows", f"WITH {_BOXES}, {_EGO} SELECT scene, widx FROM anch WHERE widx < 4")

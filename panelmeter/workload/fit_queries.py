@@ -439,11 +439,12 @@ def m11(spark, sf):
 
 
 @register("m12_noise_ceiling", f"""{_HALVES}, r AS (SELECT avg(rho) AS r, count(*) AS n FROM sh)
-SELECT {rsql('r', 4)} AS split_half, {rsql('2 * r / (1 + r)', 4)} AS reliability, n AS n_splits FROM r""")
+SELECT {rsql('r', 4)} AS split_half, {rsql('2 * r / (1 + r)', 4)} AS reliability,
+  {rsql('sqrt(2 * r / (1 + r))', 4)} AS ceiling, n AS n_splits FROM r""")
 def m12(spark, sf):
     return noise_ceiling(panel(spark, sf), _splits(spark, sf), tol=0.0, max_sweeps=SWEEPS).select(
         rd("split_half", 4).alias("split_half"), rd("reliability", 4).alias("reliability"),
-        "n_splits")
+        rd("ceiling", 4).alias("ceiling"), "n_splits")
 
 
 @register("c15_calibrate_many", f"""WITH {PANEL}, {TYPES},

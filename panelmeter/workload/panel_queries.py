@@ -15,21 +15,20 @@ from .base import (PANEL, RATE, SIZE, TYPES, auroc_sql, items, panel, rank_sql,
 
 
 def _brand_cells(spark, sf):
-    """Supplier x brand outcomes; pairs with fewer than 20 lines count as not observed."""
+    """Supplier x brand outcomes; pairs without a line are not observed."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     brand = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand")
     return (lines.join(brand, lines.l_partkey == brand.p_partkey)
             .groupBy(F.col("p_brand").alias("item"),
                      F.concat(F.lit("S"), F.col("l_suppkey")).alias("rater"))
-            .agg(F.count("*").alias("n"),
-                 (F.avg((F.col("l_linestatus") == "O").cast("double")) >= 0.5).cast("int")
-                 .alias("y")).where(F.col("n") >= 20).select("item", "rater", "y"))
+            .agg((F.avg((F.col("l_linestatus") == "O").cast("double")) >= 0.5).cast("int")
+                 .alias("y")))
 
 
 BRAND_CELLS = """brand_cells AS (
   SELECT p_brand AS item, 'S' || l_suppkey AS rater,
          (avg(CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0 END) >= 0.5)::INTEGER AS y
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(*) >= 20)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 
 @register("s1_read_panel", f"""WITH {BRAND_CELLS}
@@ -110,7 +109,9 @@ def s10(spark, sf):
 @register("s7_materialise", f"""WITH {PANEL}
 SELECT item, {rsql('1 - avg(y)')} AS fail_rate, count(*) AS n_obs FROM panel GROUP BY 1""")
 def s7(spark, sf):
-    mark = P.fingerprint(items(spark, sf)).first()["digest"]
+    # of the cells, so that a changed outcome is another table
+    mark = panel(spark, sf).agg(F.sum(F.xxhash64("item", "rater", "y").cast("decimal(38,0)")).cast("string")
+                                .alias("mark")).first()["mark"]
     table = materialise(spark, lambda: P.failure_rate(panel(spark, sf)), "failure_rate", mark,
                         recompute=True)
     again = materialise(spark, lambda: table, "failure_rate", mark)
@@ -272,12 +273,13 @@ def m1(spark, sf):
 
 @register("m15_panel_summary", f"""WITH {PANEL}, {TYPES}
 SELECT rater::VARCHAR AS rater, item_type, grouping(rater, item_type)::BIGINT AS level, count(*) AS n_obs,
-  sum(y)::BIGINT AS n_pass, {rsql('avg(y)')} AS pass_rate
+  sum(y)::BIGINT AS n_pass, {rsql('avg(y)')} AS pass_rate,
+  CASE WHEN grouping(rater, item_type) = 1 THEN (SELECT count(DISTINCT item) FROM panel JOIN types USING (item)) - count(*) ELSE 0 END AS n_missing
 FROM panel JOIN types USING (item) GROUP BY GROUPING SETS ((rater), (item_type), ())""")
 def m15(spark, sf):
     out = P.panel_summary(panel(spark, sf), types(spark, sf))
     return out.select(F.col("rater").cast("string").alias("rater"), "item_type", F.col("level").cast("bigint").alias("level"), "n_obs",
-                      "n_pass", rd("pass_rate").alias("pass_rate"))
+                      "n_pass", rd("pass_rate").alias("pass_rate"), F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
 
 
 @register("m2_spearman", f"""WITH {PANEL}, {SIZE}, {TYPES},
