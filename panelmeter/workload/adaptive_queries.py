@@ -9,7 +9,7 @@ from ..functions import difficulty_nodes
 from ..functions.grid import GRID_LOW, GRID_SIZE, GRID_STEP
 from ..operators import posterior as B, selection, tracks
 from ..operators.regression import standardise
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, parallelism, scratch_path
 from ..sources import read_commands, read_frames, write_windows
 from ..streaming import (drain, event_windows, latest_per_key, next_item_writer, outcome_changes,
                          running_pass_rate, track_ability)
@@ -537,10 +537,20 @@ def _responses(df):
                      F.col("event_id").alias("ord"), "ts")
 
 
+_ARRIVALS = 3
+
+
 def _stream(spark, sf):
+    """The events as a source that arrives in order of time, a third of the files a batch."""
     source = spark.read.parquet(f"{sf}/events.parquet")
-    return _responses(spark.readStream.schema(source.schema)
-                      .option("pathGlobFilter", "events.parquet").parquet(sf))
+    stamp = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = source.select(stamp.alias("t")).approxQuantile(
+        "t", [k / _ARRIVALS for k in range(1, _ARRIVALS)], 0.01)
+    part = sum((F.when(stamp > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    path, files = scratch_path(spark, "arrivals"), parallelism(spark)
+    for k in range(_ARRIVALS):
+        source.where(part == k).repartition(files).write.mode("append").parquet(path)
+    return _responses(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(path))
 
 
 def _event_curves(spark, sf):
@@ -549,10 +559,16 @@ def _event_curves(spark, sf):
     return cut_lineage(B.item_curves(bank), "curves")
 
 
-@register("x1_track_ability", f"""WITH {_RESP}, {_EV_BANK}, {_CURVES}, {_post_sql('resp')}
+@register("x1_track_ability", f"""WITH {_RESP}, {_EV_BANK}, {_CURVES},
+last AS (SELECT rater, item, arg_max(y, ord) AS y FROM resp GROUP BY 1, 2), {_post_sql('last')}
 SELECT rater, {rsql('sum(q * t)')} AS mean, {rsql('arg_min(t, (-q, g))')} AS theta FROM post GROUP BY 1""")
 def x1(spark, sf):
-    posts = drain(track_ability(_stream(spark, sf), _event_curves(spark, sf)), "update", "track")
+    # the last outcome of an item counts: signed changes go to a table, whose stream is summed
+    changes = cut_lineage(drain(outcome_changes(_stream(spark, sf)), "append", "changes")
+                          .repartition(_ARRIVALS, "batch"), "changes")
+    path = changes.inputFiles()[0].rpartition("/")[0]
+    signed = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    posts = drain(track_ability(signed, _event_curves(spark, sf)), "update", "track")
     done = B.posterior_mode(latest_per_key(posts, ["rater"]))
     step = f"({GRID_LOW}D + {GRID_STEP}D * g)"
     return done.select("rater", rd(F.expr(
