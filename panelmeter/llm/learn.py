@@ -140,17 +140,32 @@ def prior(y: np.ndarray) -> float:
 
 
 def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope (not below 0) and offset of the log-odds by Newton steps on smoothed targets."""
+    """Slope (not below 0) and offset of the log-odds by Newton steps on smoothed targets.
+
+    Margins are put to unit spread first, and a step that does not lower the loss is halved.
+    """
+    spread = float(np.abs(margin).mean()) or 1.0
+    margin = margin / spread
     up, down = y.sum(), len(y) - y.sum()
     goal = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    a, b = 1.0, 0.0
+
+    def loss(a, b):
+        z = a * margin + b
+        return float((np.logaddexp(0, z) - goal * z).sum())
+
+    a, b = 0.0, float(np.log((up + 1) / (down + 1)))
     for _ in range(steps):
         p = sigmoid(a * margin + b)
         d, h = p - goal, p * (1 - p) + 1e-9
         g = np.array([d @ margin, d.sum()]) + 1e-6 * np.array([a, b])
         hess = np.array([[h @ (margin * margin), h @ margin], [h @ margin, h.sum()]]) + 1e-6 * np.eye(2)
         da, db = np.linalg.solve(hess, g)
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-9:
+        size, now = 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * da, b - size * db) > now:
+            size /= 2
+        a, b = a - size * da, b - size * db
+        if size * (abs(da) + abs(db)) < 1e-9:
             break
-    return max(float(a), 0.0), float(b)
+    if a <= 0:                                  # the margin says nothing: the share alone
+        return 0.0, float(np.log((up + 1) / (down + 1)))
+    return float(a) / spread, float(b)

@@ -28,7 +28,9 @@ from .tables import bucket, pick, shielded
 
 FOLDS, HELD = 5, 0
 LIMIT = 0.5
-FACTORS, EPOCHS, BATCH = 4, 5, 128
+FACTORS, BATCH = 4, 128
+#: passes over the sample, more where it is small
+EPOCHS, LEAST_STEPS = 5, 400
 STEP_WEIGHT, STEP_FACTOR = 2.0, 0.1
 SHRINK_WEIGHT, SHRINK_FACTOR = 1e-6, 1e-6
 LEAST_DOCS = 10
@@ -61,7 +63,8 @@ def train(sample: learn.Sample) -> dict[str, np.ndarray]:
     own, rest = every[:len(every) - len(every) // 5], every[len(every) - len(every) // 5:]
     weight, factor, bias = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)), learn.prior(sample.y)
     seen_w, seen_v, seen_b = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
-    for _ in range(EPOCHS if n else 0):
+    passes = max(EPOCHS, -(-LEAST_STEPS // max(1, -(-len(own) // BATCH))))
+    for _ in range(passes if n else 0):
         order = own[rng.permutation(len(own))]
         for k in range(0, len(order), BATCH):
             rows = order[k:k + BATCH]
