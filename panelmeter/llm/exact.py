@@ -144,7 +144,7 @@ def differing(docs: DataFrame, groups: DataFrame, hashed=fingerprint) -> DataFra
     first = F.col("doc_id").eqNullSafe(F.col("first_id"))
     rows = (pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
             .mapInArrow(prints, "doc_id long, h1 long, h2 long, n long, body binary")
-            .join(groups, MARK).withColumn("ahead", first)
+            .join(groups.hint("merge"), MARK).withColumn("ahead", first)   # one plan at every size
             .withColumn("salt", F.explode(F.when(first, F.sequence(F.lit(0), salts - 1)).otherwise(
                 F.array(F.pmod(F.xxhash64("doc_id"), salts).cast("int")))))
             .select(*MARK, "salt", "ahead", "body")
