@@ -131,6 +131,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, containment: float = C
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
 
     def finder(block: ItemBlock):
+        @W.frugal
         def run(it):
             for batch in it:
                 ids = batch.column("doc_id")
@@ -156,6 +157,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CO
     names, place, docs = docs.columns, docs.columns.index("text"), shielded(docs)
 
     def keeper(block: ItemBlock):
+        @W.frugal
         def run(it):
             for batch in it:
                 clean = np.ones(batch.num_rows, dtype=bool)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import SPACE, any_row, cut_lineage, pick
+from .words import frugal
 
 CHUNK = 1 << 16
 PRIMES = (2147483647, 2147483629)
@@ -84,6 +85,7 @@ def combine_fingerprints(parts: DataFrame, key: str, order: str) -> DataFrame:
     rows = parts.withColumn("_behind", F.coalesce(behind, F.lit(0)))
     cols = [c for c in rows.columns]
 
+    @frugal
     def run(it):
         for batch in it:
             t = batch.to_pydict()
@@ -97,6 +99,7 @@ def combine_fingerprints(parts: DataFrame, key: str, order: str) -> DataFrame:
 
 def digests(docs: DataFrame, hashed=fingerprint) -> DataFrame:
     """doc_id, row_id, h1, h2, n (bytes) and text_sha256 of every row."""
+    @frugal
     def run(it):
         for batch in it:
             out = [[], [], [], []]
@@ -132,6 +135,7 @@ def differing(docs: DataFrame, groups: DataFrame, hashed=fingerprint) -> DataFra
     groups: h1, h2, n, size, first_id. A group's rows are dealt over size / PER_SALT
     salts, each with a copy of the first text.
     """
+    @frugal
     def prints(it):
         for batch in it:
             rows = [(i, d) for i, d in enumerate(map(normalised, batch.column("text").to_pylist()))]
@@ -150,6 +154,7 @@ def differing(docs: DataFrame, groups: DataFrame, hashed=fingerprint) -> DataFra
             .select(*MARK, "salt", "ahead", "body")
             .repartition(*MARK, "salt").sortWithinPartitions(*MARK, "salt", F.col("ahead").desc()))
 
+    @frugal
     def run(it):
         at, head = None, None
         for batch in it:

@@ -50,6 +50,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 def feature_table(sample: DataFrame, features: Features) -> DataFrame:
     """(doc_id, y, terms) of a sample."""
+    @W.frugal
     def run(it):
         for batch in it:
             for a, b in W.batches(batch.column("text")):
@@ -89,6 +90,7 @@ def fit(sample: DataFrame, features: Features, train: Callable[[Sample], dict[st
     """Train on the bounded sample in one task, in order of the doc_ids; returns its arrays."""
     table = feature_table(sample, features).repartition(1).sortWithinPartitions("doc_id", "y", "terms")
 
+    @W.frugal
     def run(it):
         y, sizes, terms = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for batch in it:
@@ -117,6 +119,7 @@ def scored(docs: DataFrame, features: Features, score: Callable[[dict, np.ndarra
     schema = StructType(docs.schema.fields + [StructField(column, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @W.frugal
     def run(it):
         own = shared.value
         for batch in it:

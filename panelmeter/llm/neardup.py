@@ -145,6 +145,7 @@ def digests(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """
     schema = "doc_id long, h1 long, h2 long, keys array<long>"
 
+    @W.frugal
     def run(it):
         for batch in it:
             for a, b, h1, h2, has, keys in _digest(batch.column("text"), bands, rows):
@@ -163,6 +164,7 @@ def with_word_hash(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = StructType(docs.schema.fields + [StructField("_h1", LongType()), StructField("_h2", LongType())])
     place = docs.columns.index(text)
 
+    @W.frugal
     def run(it):
         for batch in it:
             column = batch.column(place)
@@ -213,6 +215,7 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = (left.unionByName(right).repartition("a", "salt")
             .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()))
 
+    @W.frugal
     def run(it):
         head, own = None, None
         for batch in it:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import pick
+from .words import frugal
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -246,6 +247,7 @@ def find_secrets(docs: DataFrame, credentials: list[tuple[str, str]] | None = No
     formats = Formats(labelled_credentials() if credentials is None else credentials)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"]
 
+    @frugal
     def run(it):
         for batch in it:
             counts, hashed, spans = [[], [], [], []], [], []

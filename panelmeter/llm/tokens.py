@@ -14,8 +14,8 @@ documents in order. A task writes under a name of its own and renames, and the s
 rows give the same bytes, so a task that runs twice leaves one good file. The
 driver only adds up one count per shard.
 
-Words repeat, so a task encodes each different white-space-separated word once per
-WORD_CACHE words; the vocabulary this is written for never joins across white
+Words repeat, so a Python worker remembers up to WORD_CACHE white-space-separated words
+that came again, and encodes only the others; the vocabulary this is written for never joins across white
 space, which `plain_spaces` decides from its pre-tokenizer. Other vocabularies are
 given whole texts. Null and empty texts hold the end id alone.
 """
@@ -23,9 +23,11 @@ given whole texts. Null and empty texts hold the end id alone.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import pick, shared_folder
+from .words import frugal
 
 END = 1
-WORD_CACHE = 400_000
-LONG_WORD = 64
+WORD_CACHE = 200_000
+SEEN = 1 << 23
+TEXTS_AT_ONCE = 200
 #: signs that Python takes for white space and a tokenizer may not
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -61,62 +65,86 @@ def plain_spaces(spec: dict) -> bool:
             and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in marks))
 
 
+class _Known(dict):
+    """Places of remembered words; others are looked up among those of the current texts."""
+    fresh: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        return self.fresh[word]
+
+
 class Encoder:
-    """Ids of texts, each different word encoded once while it is remembered."""
+    """Ids of texts; a word that comes again is remembered, up to WORD_CACHE of them.
+
+    Most different words come once, so a word is stored at its second sight only; a bit
+    table of fixed size tells whether its hash was seen.
+    """
 
     def __init__(self, path: str, special_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")      # a task has one core
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             self.by_word = plain_spaces(json.load(f))
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = special_as_text
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        self.seen = bytearray(SEEN)
         self.forget()
 
     def forget(self):
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=self.kind)
-        self.limits = np.zeros(1 << 14, dtype=np.int64)
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]):
-        n, used = len(self.place), int(self.limits[len(self.place)])
-        for word, ids in zip(words, self._library(words)):
-            if used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * (used + len(ids)))
-            if n + 2 > len(self.limits):
-                self.limits = np.resize(self.limits, 2 * (n + 2))
-            self.ids[used:used + len(ids)] = ids
-            used += len(ids)
-            self.place[word] = n
-            n += 1
-            self.limits[n] = used
+        self.place = _Known()
+        self.ids, self.sizes = np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many belong to each text."""
+        flat, sizes = [], []
+        for k in range(0, len(texts), 2000):
+            for e in self.lib.encode_batch(texts[k:k + 2000], add_special_tokens=False):
+                own = e.ids
+                sizes.append(len(own))
+                flat.extend(own)
+        return np.array(flat, dtype=self.kind), np.array(sizes, dtype=np.int64)
+
+    def _remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray):
+        keep = np.zeros(len(words), dtype=bool)
+        for i, word in enumerate(words):
+            slot = hash(word) % SEEN
+            keep[i] = self.seen[slot]
+            self.seen[slot] = 1
+        if len(self.place) + int(keep.sum()) > WORD_CACHE:
+            self.forget()
+        n = len(self.place)
+        self.place.update((words[i], n + k) for k, i in enumerate(np.flatnonzero(keep)))
+        self.ids = np.concatenate([self.ids, ids[np.repeat(keep, sizes)]])
+        self.sizes = np.concatenate([self.sizes, sizes[keep]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array(ids, dtype=self.kind) for ids in self._library(texts)]
-        if len(self.place) > WORD_CACHE:
-            self.forget()
-        split = [ASCII_SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
-        fresh = set().union(*split) - self.place.keys() - {""}
-        self._learn([w for w in fresh if len(w) <= LONG_WORD])
-        out = []
-        for text, words in zip(texts, split):
-            words = [w for w in words if w] if "" in words else words
-            try:
-                at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            except KeyError:                      # a very long word is not worth remembering
-                out.append(np.array(self._library([text])[0], dtype=self.kind))
-                continue
-            size = self.limits[at + 1] - self.limits[at]
-            total = int(size.sum())
+            flat, sizes = self._library(texts)
+            return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
+        split = [[w for w in ASCII_SPACE.split(t) if w] if ODD_SPACE.search(t) else t.split() for t in texts]
+        fresh = list(set().union(*split) - self.place.keys())
+        ids, sizes = self._library(fresh)
+        n = len(self.place)
+        self.place.fresh = {w: n + i for i, w in enumerate(fresh)}
+        every, length = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        start, out = np.cumsum(length) - length, []
+        for words in split:
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            size = length[at]
             first = np.cumsum(size) - size
-            out.append(self.ids[np.repeat(self.limits[at] - first, size) + np.arange(total)])
+            out.append(every[np.repeat(start[at] - first, size) + np.arange(int(size.sum()))])
+        self.place.fresh = {}
+        self._remember(fresh, ids, sizes)
         return out
 
 
+@cache
+def encoder_of(path: str, special_as_text: bool) -> Encoder:
+    """The encoder of this Python worker: the tasks it runs share what it remembers."""
+    return Encoder(path, special_as_text)
+
+
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in folder and not folder.startswith("file:"):
         folder = "file://" + folder
@@ -136,8 +164,9 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end:
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
             .withColumn("shard", F.spark_partition_id()))
 
+    @frugal
     def run(it):
-        encoder, store, shard = Encoder(path, special_as_text), None, None
+        encoder, store, shard = encoder_of(path, special_as_text), None, None
         sizes, ids, nulls, total, first, last = [], [], [], 0, None, None
         for batch in it:
             if not batch.num_rows:
@@ -149,9 +178,9 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end:
                 name = f"{root}/shard-{shard:05d}"
                 mark = uuid.uuid4().hex
                 out = store.open_output_stream(f"{name}.bin.{mark}")
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for k in range(0, len(texts), 500):
-                for found in encoder.encode(texts[k:k + 500]):
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                texts = [t or "" for t in batch.column("text").slice(k, TEXTS_AT_ONCE).to_pylist()]
+                for found in encoder.encode(texts):
                     out.write(found.tobytes())
                     out.write(np.array([end], dtype=encoder.kind).tobytes())
                     sizes.append(len(found) + 1)
@@ -225,6 +254,7 @@ def read_ids(spark, folder: str) -> DataFrame:
     shards = [(s["shard"], s["base"]) for s in manifest["shards"]]
     table = spark.createDataFrame(shards, "shard int, base long").repartition(max(1, len(shards)))
 
+    @frugal
     def run(it):
         for batch in it:
             for shard, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "base"))):

@@ -10,7 +10,9 @@ Null texts count as empty.
 
 from __future__ import annotations
 
-from functools import cache
+import ctypes
+from contextlib import suppress
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +189,21 @@ def fingerprints(row: np.ndarray, word: np.ndarray, n_rows: int) -> tuple[np.nda
     return out[0], out[1]
 
 
-def batches(column: pa.Array, most: int = 2 << 20):
+def frugal(run):
+    """run, a function from Arrow batches to Arrow batches, that gives freed memory back to the
+    system when its task ends: Python workers stay on beside those of later stages."""
+    @wraps(run)
+    def inner(it):
+        try:
+            yield from run(it)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):           # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+    return inner
+
+
+def batches(column: pa.Array, most: int = 1 << 20):
     """(start, stop) row spans holding about most bytes each, at least one row."""
     _, limits = buffers(column)
     at = 0
