@@ -15,7 +15,7 @@ rows give the same bytes, so a task that runs twice leaves one good file. The
 driver only adds up one count per shard.
 
 Words repeat, so a Python worker remembers up to WORD_CACHE white-space-separated words
-that came again, and encodes only the others; the vocabulary this is written for never joins across white
+and encodes only the others; the vocabulary this is written for never joins across white
 space, which `plain_spaces` decides from its pre-tokenizer. Other vocabularies are
 given whole texts. Null and empty texts hold the end id alone.
 """
@@ -39,8 +39,8 @@ from .tables import pick, shared_folder
 from .words import frugal
 
 END = 1
-WORD_CACHE = 200_000
-SEEN = 1 << 23
+WORD_CACHE = 2_000_000
+MERGE_AT = 50_000
 TEXTS_AT_ONCE = 200
 #: signs that Python takes for white space and a tokenizer may not
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -65,19 +65,13 @@ def plain_spaces(spec: dict) -> bool:
             and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in marks))
 
 
-class _Known(dict):
-    """Places of remembered words; others are looked up among those of the current texts."""
-    fresh: dict[str, int] = {}
-
-    def __missing__(self, word: str) -> int:
-        return self.fresh[word]
-
-
 class Encoder:
-    """Ids of texts; a word that comes again is remembered, up to WORD_CACHE of them.
+    """Ids of texts; every different word is encoded once while it is remembered.
 
-    Most different words come once, so a word is stored at its second sight only; a bit
-    table of fixed size tells whether its hash was seen.
+    Words are known by a 64-bit keyed hash, so a word takes about 40 bytes: sorted
+    hashes, a place and its ids in flat arrays. The newest words wait in a short
+    table of their own that is merged when it is full. Two of WORD_CACHE words share
+    a hash with a probability near 1e-7.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -88,12 +82,13 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = special_as_text
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
-        self.seen = bytearray(SEEN)
         self.forget()
 
     def forget(self):
-        self.place = _Known()
-        self.ids, self.sizes = np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
+        self.n, self.used = 0, 0
+        self.ids = np.zeros(1 << 16, dtype=self.kind)
+        self.start = np.zeros(1 << 14, dtype=np.int64)
+        self.tables = [(np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in range(2)]
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many belong to each text."""
@@ -105,37 +100,58 @@ class Encoder:
                 flat.extend(own)
         return np.array(flat, dtype=self.kind), np.array(sizes, dtype=np.int64)
 
-    def _remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray):
-        keep = np.zeros(len(words), dtype=bool)
-        for i, word in enumerate(words):
-            slot = hash(word) % SEEN
-            keep[i] = self.seen[slot]
-            self.seen[slot] = 1
-        if len(self.place) + int(keep.sum()) > WORD_CACHE:
-            self.forget()
-        n = len(self.place)
-        self.place.update((words[i], n + k) for k, i in enumerate(np.flatnonzero(keep)))
-        self.ids = np.concatenate([self.ids, ids[np.repeat(keep, sizes)]])
-        self.sizes = np.concatenate([self.sizes, sizes[keep]])
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of hashed words, -1 for unknown ones."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        for known, place in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = place[at[hit]]
+        return out
+
+    def _learn(self, words: list[str], keys: np.ndarray) -> np.ndarray:
+        ids, sizes = self._library(words)
+        n, used = self.n, self.used
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (used + len(ids)))
+        if n + len(words) + 1 > len(self.start):
+            self.start = np.resize(self.start, 2 * (n + len(words) + 1))
+        self.ids[used:used + len(ids)] = ids
+        self.start[n:n + len(words) + 1] = used + np.concatenate([[0], np.cumsum(sizes)])
+        self.n, self.used = n + len(words), used + len(ids)
+        place = np.arange(n, self.n, dtype=np.int32)
+        old, new = self.tables
+        new = self._merged(new, keys, place)
+        self.tables = [self._merged(old, *new), (keys[:0], place[:0])] if len(new[0]) > MERGE_AT else [old, new]
+        return place
+
+    @staticmethod
+    def _merged(table, keys, place):
+        every, places = np.concatenate([table[0], keys]), np.concatenate([table[1], place])
+        order = np.argsort(every, kind="stable")
+        return every[order], places[order]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             flat, sizes = self._library(texts)
             return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
+        if self.n > WORD_CACHE:
+            self.forget()
         split = [[w for w in ASCII_SPACE.split(t) if w] if ODD_SPACE.search(t) else t.split() for t in texts]
-        fresh = list(set().union(*split) - self.place.keys())
-        ids, sizes = self._library(fresh)
-        n = len(self.place)
-        self.place.fresh = {w: n + i for i, w in enumerate(fresh)}
-        every, length = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-        start, out = np.cumsum(length) - length, []
-        for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            size = length[at]
+        words = list(set().union(*split))
+        keys = np.fromiter(map(hash, words), np.int64, len(words))
+        place = self._find(keys)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            place[fresh] = self._learn([words[i] for i in fresh], keys[fresh])
+        of, out = dict(zip(words, place.tolist())), []
+        for row in split:
+            at = np.fromiter(map(of.__getitem__, row), np.int64, len(row))
+            begin = self.start[at]
+            size = self.start[at + 1] - begin
             first = np.cumsum(size) - size
-            out.append(every[np.repeat(start[at] - first, size) + np.arange(int(size.sum()))])
-        self.place.fresh = {}
-        self._remember(fresh, ids, sizes)
+            out.append(self.ids[np.repeat(begin - first, size) + np.arange(int(size.sum()))])
         return out
 
 

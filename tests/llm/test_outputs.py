@@ -43,7 +43,7 @@ def test_words_are_encoded_as_in_whole_texts():
     texts = ["can't we'll <|endoftext|> END", "a<|startoftext|>b", "x\x1cy \u0085 z\u00a0w", "ΑΣ ΑΣ.", "e\u0301 \u0301x", "q" * 500,
              "12 34,5 !!\t\n", "", "日本語 テキスト"]
     encoder = tokens.Encoder(tokens.vocabulary_file())
-    old, tokens.WORD_CACHE = tokens.WORD_CACHE, 3
+    old, tokens.WORD_CACHE = tokens.WORD_CACHE, 3          # forgets all the time
     try:
         for _ in range(2):
             assert [list(x) + [tokens.END] for x in encoder.encode(texts)] == plain_ids(texts)
