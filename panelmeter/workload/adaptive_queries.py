@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import difficulty_nodes
 from ..functions.grid import GRID_LOW, GRID_SIZE, GRID_STEP
-from ..operators import posterior as B, selection, tracks
+from ..operators import metrics, posterior as B, selection, tracks
 from ..operators.regression import standardise
 from ..session import cut_lineage, parallelism, scratch_path
 from ..sources import read_commands, read_frames, write_windows
@@ -153,6 +153,21 @@ def b10_intervals(spark, sf):
                       rd("sr_hi").alias("sr_hi"))
 
 
+@register("m21_coverage", f"""WITH {PANEL}, {BANK}, {_EARLY}, {_CURVES}, {_post_sql('early')}, {_RATE_SQL},
+{_interval_sql(_BISECTIONS)},
+iv AS (SELECT rater, (any_value(obs) + min(high)) / any_value(nb) AS lo, (any_value(obs) + max(high)) / any_value(nb) AS hi
+  FROM b{_BISECTIONS} JOIN rs USING (rater) GROUP BY 1),
+tr AS (SELECT rater, avg(y) AS r FROM panel GROUP BY 1)
+SELECT {rsql('avg(CASE WHEN r BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END)')} AS coverage, count(*) AS n_raters
+FROM iv JOIN tr USING (rater)""")
+def m21(spark, sf):
+    """How often the estimator's own interval holds the rate over all answered items."""
+    est = B.estimate_raters(_early(spark, sf), _curves(spark, sf)).select(
+        "rater", F.col("sr_lo").alias("lo"), F.col("sr_hi").alias("hi"))
+    truth = panel(spark, sf).groupBy("rater").agg(F.avg("y").alias("true_sr"))
+    return metrics.coverage(est, truth).select(rd("coverage").alias("coverage"), "n_raters")
+
+
 _H = "(-(greatest(least({0}, 1 - 1e-12), 1e-12) * ln(greatest(least({0}, 1 - 1e-12), 1e-12)) + (1 - greatest(least({0}, 1 - 1e-12), 1e-12)) * ln(1 - greatest(least({0}, 1 - 1e-12), 1e-12))))"
 _EIG = f"""hc AS MATERIALIZED (SELECT item, list(m ORDER BY g) AS m, list({_H.format('m')} ORDER BY g) AS h FROM curves GROUP BY 1),
 pl AS MATERIALIZED (SELECT rater, list(q ORDER BY g) AS q FROM post GROUP BY 1),

@@ -600,20 +600,6 @@ def m19(spark, sf):
         F.col("nt")), 5).alias("ies"))
 
 
-@register("m21_coverage", f"""WITH {PANEL}, {_EARLY},
-e AS (SELECT rater, avg(y) - 1.96::DOUBLE * sqrt(0.25::DOUBLE / count(*)) AS lo,
-  avg(y) + 1.96::DOUBLE * sqrt(0.25::DOUBLE / count(*)) AS hi FROM early GROUP BY 1),
-t AS (SELECT rater, avg(y) AS r FROM panel GROUP BY 1)
-SELECT {rsql('avg(CASE WHEN r BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END)')} AS coverage,
-  count(*) AS n_raters FROM e JOIN t USING (rater)""")
-def m21(spark, sf):
-    half = 1.96 * F.sqrt(F.lit(0.25) / F.count("*"))
-    est = _early(spark, sf).groupBy("rater").agg((F.avg("y") - half).alias("lo"),
-                                                 (F.avg("y") + half).alias("hi"))
-    truth = panel(spark, sf).groupBy("rater").agg(F.avg("y").alias("true_sr"))
-    return metrics.coverage(est, truth).select(rd("coverage").alias("coverage"), "n_raters")
-
-
 # --- regression on features ---------------------------------------------------------
 
 def _logistic_rate(spark, sf):
