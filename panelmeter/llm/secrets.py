@@ -1,15 +1,20 @@
 """Secrets in whole texts: three fixed kinds, and credentials by learned formats.
 
 The fixed kinds are regular expressions, leftmost and without overlap, of which
-matches that are too short are dropped. On top, every other candidate, a run of 16 or
-more token signs with a digit in it, is scored by probabilistic automata, one per
-labelled format. An automaton is inferred from labelled credentials: their prefix tree,
+matches that are too short are dropped. What they leave of every run of token signs is
+searched for credentials by probabilistic automata, one per labelled format. A candidate
+is any 16 or more signs of a run that begin at its start, after a mark or at a format's
+common beginning, and end at its end or before a mark. An automaton is inferred from labelled credentials: their prefix tree,
 in which two states become one when the frequencies of ending and of every next sign
 differ by no more than Hoeffding's bound allows, in them and in what follows (red and
 blue states). A format's common beginning stays literal; other signs stand for their
-class, spread evenly over it. A candidate is reported as kind `format` when the best
-automaton makes it LEAST_BITS bits a sign likelier than every model of ordinary strings,
-and it overlaps no fixed span.
+class, spread evenly over it, and a sign the format never had costs bits but rules
+nothing out. A candidate counts when the best automaton makes it LEAST_BITS bits a sign
+likelier than the models of ordinary strings, of which each part between marks may take
+another; its score is the bits above that. Cutting next to a mark that the format itself
+may hold costs INNER_BITS, so a credential with such marks stays whole; marks that trail
+a run are cut free. Of the candidates that count those without overlap with the highest
+sum of scores are reported as kind `format`.
 
 Null texts are empty. Positions count code points; ends are exclusive. Rows are
 independent, so repeated rows repeat their result; other columns are ignored.
@@ -21,6 +26,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict, deque
 
 import pyarrow as pa
@@ -35,8 +41,13 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")     # the same spans as HEX of 16 or more
+SHORTEST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]+")
 LEAST_BITS = 0.75
+INNER_BITS = 6
+#: visits that a sign is given in a state which never saw it
+UNSEEN = 1e-4
 ALPHA = 0.05
 PER_FORMAT = 200
 SEED = 23
@@ -70,10 +81,16 @@ ORDINARY = {
     "name": "Information December Section Report Geschwindigkeit Library Mountain Garden".split(),
     "path": "www.example.com index.html mail.example.org example.com/path/to/page.html a/b/c/d/e/f "
             "setup.cfg module.function_name report_final_2.txt photo_0001.jpeg".split(),
+    "constant": "INFORMATION INTERNATIONALISATION HTTP_ACCEPT_LANGUAGE MAX_BUFFER_SIZE CHAPTER SECTION "
+                "UNIVERSAL-DECLARATION GESCHWINDIGKEIT LIBRARY MOUNTAIN DEFAULT_CONFIGURATION_PATH".split(),
+    "rule": "---------------- ================ ++++++++++++++++ ________________ //////////////// ................ "
+            "-=-=-=-=-=-=-=-= +----------+----------+ ====---- ....".split(),
     "phrase": "read-only well-known state-of-the-art lorem-ipsum-dolor-sit-amet background-color user_name_field "
               "this-is-a-slug-with-words the-and-that-with chapter-12.section-3".split(),
 }
 
+APART = ("constant", "rule")
+
 
 def labelled_credentials(per_format: int = PER_FORMAT, seed: int = SEED) -> list[tuple[str, str]]:
     """(format, credential) rows, drawn from the formats by a seeded rule."""
@@ -162,28 +179,72 @@ class Automaton:
         self.states = red
 
     def _likelihoods(self):
-        """state -> sign -> (log2 probability of one sign of the class, next state); None: ending."""
+        """state -> sign -> (log2 probability of one sign of the class, next state); None: ending.
+
+        A sign that a state never saw leaves the state as it is.
+        """
         out = {}
         for s in self.states:
-            whole = self.visits[s] + 0.5 * (len(self.moves[s]) + 1)
-            out[s] = {sign: (math.log2((n + 0.5) / whole / SPREAD[sign]), to)
-                      for sign, (n, to) in self.moves[s].items()}
+            moves = self.moves[s]
+            whole = self.visits[s] + 0.5 * (len(moves) + 1) + UNSEEN * (len(SPREAD) - len(moves))
+            out[s] = {sign: (math.log2((moves[sign][0] + 0.5 if sign in moves else UNSEEN) / whole / n),
+                             moves[sign][1] if sign in moves else s) for sign, n in SPREAD.items()}
             out[s][None] = (math.log2((self.ends[s] + 0.5) / whole), s)
         return out
 
     def bits(self, text: str) -> float:
-        """log2 likelihood; minus infinity for a text the automaton cannot make."""
+        """log2 likelihood; minus infinity for a text without the common beginning."""
         if not text.startswith(self.start):
             return -math.inf
         at, total = 0, 0.0
         for sign in map(CLASS_OF.__getitem__, text[len(self.start):]):
-            move = self._log[at].get(sign)
-            if move is None:
-                return -math.inf
-            total += move[0]
-            at = move[1]
+            more, at = self._log[at][sign]
+            total += more
         return total + self._log[at][None][0]
 
+    def ways(self, run: str, signs: list[str], value: list[float], begins: list[int], ends: list[int]):
+        """(score, start, end) of the candidates of a run that score above 0.
+
+        value: what each sign costs the other side. Of starts that meet in a state the
+        best long enough one stays beside the later ones, as what follows is the same
+        for all; so the work does not grow with the number of starts.
+        """
+        seen = {sign for s in self.states for sign in self.moves[s]}
+        skip, enter = len(self.start), {}
+        if skip:
+            begins, at = [], run.find(self.start)
+            while at >= 0:
+                begins.append(at)
+                at = run.find(self.start, at + 1)
+        for b in begins:
+            inner = b and (signs[b - 1] in seen or signs[b - 1] not in MARKS)
+            enter[b + skip] = (b, 0, -sum(value[b:b + skip]) - INNER_BITS * bool(inner))
+        if not enter:
+            return
+        ends, live, trail = set(ends), [], len(run.rstrip(MARKS))
+        for p, sign in enumerate(signs):
+            if p in enter:
+                live.append(enter[p])
+            if not live:
+                continue
+            cost, log = value[p], self._log
+            live = [(b, log[s][sign][1], x + log[s][sign][0] - cost) for b, s, x in live]
+            if len(live) > 1:
+                best, young = {}, []
+                for way in live:
+                    if p + 1 - way[0] < SHORTEST:
+                        young.append(way)
+                    elif way[1] not in best or way[2] > best[way[1]][2]:
+                        best[way[1]] = way
+                live = [*best.values(), *young]
+            if p + 1 in ends:
+                after = signs[p + 1] if p + 1 < len(signs) else None
+                inner = INNER_BITS * (after in seen and p + 1 < trail)
+                for b, s, x in live:
+                    x += log[s][None][0] - inner
+                    if x > 0 and p + 1 - b >= SHORTEST:
+                        yield x, b, p + 1
+
 
 class Formats:
     """Automata of all labelled formats, beside those of ordinary kinds and one of single signs."""
@@ -195,10 +256,57 @@ class Formats:
             by[name].append(text)
         self.automata = {name: Automaton(words, alpha) for name, words in by.items()}
         self.ordinary = [Automaton(words, alpha) for words in ordinary.values()]
-        signs = Counter(CLASS_OF[c] for words in ordinary.values() for word in words for c in word)
+        # words all in capitals and rules are kinds of their own: in with the others they would hide mixed tokens
+        signs = Counter(CLASS_OF[c] for name, words in ordinary.items() if name not in APART
+                        for word in words for c in word)
         whole = sum(signs.values()) + len(SPREAD)
         self.plain = {k: math.log2((signs[k] + 1) / whole / n) for k, n in SPREAD.items()}
 
+    def beside(self, run: str, signs: list[str], least: float) -> list[float]:
+        """What each sign must reach: its bits in the best ordinary kind for its part of the run, and `least`.
+
+        Parts are letters and digits, or marks. A kind other than single signs costs its choice.
+        """
+        out, choice = [], math.log2(len(self.ordinary))
+        for m in PART.finditer(run):
+            plain = [self.plain[k] for k in signs[m.start():m.end()]]
+            more = max(a.bits(m[0]) for a in self.ordinary) - choice - sum(plain)
+            out += [x + least + max(more, 0) / len(plain) for x in plain]
+        return out
+
+    def spans(self, run: str, least: float = LEAST_BITS) -> list[tuple[int, int]]:
+        """(start, end) of the credentials in a run of token signs: no overlap, highest sum, then leftmost."""
+        signs = [CLASS_OF[c] for c in run]
+        value = self.beside(run, signs, least)
+        begins = [0] + [i for i in range(1, len(run)) if signs[i - 1] in MARKS]
+        ends = [i for i in range(SHORTEST, len(run)) if signs[i] in MARKS] + [len(run)]
+        found = {}
+        for a in self.automata.values():
+            for x, b, e in a.ways(run, signs, value, begins, ends):
+                found[b, e] = max(x, found.get((b, e), x))
+        # best[i]: highest sum over the spans that end at or before the i-th end
+        stops = sorted({e for _, e in found})
+        by = defaultdict(list)
+        for (b, e), x in found.items():
+            by[e].append((b, x))
+        best, took = [0.0], [None]
+        for i, e in enumerate(stops):
+            top, via = best[i], None
+            for b, x in sorted(by[e]):
+                before = bisect_right(stops, b)
+                if best[before] + x > top:
+                    top, via = best[before] + x, (b, before)
+            best.append(top)
+            took.append(via)
+        out, i = [], len(stops)
+        while i:
+            if took[i] is None:
+                i -= 1
+            else:
+                out.append((took[i][0], stops[i - 1]))
+                i = took[i][1]
+        return out[::-1]
+
     def gain(self, text: str) -> float:
         """Bits a sign by which the best format beats the best model of ordinary strings."""
         plain = max(sum(self.plain[CLASS_OF[c]] for c in text), *(a.bits(text) for a in self.ordinary))
@@ -219,18 +327,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def format_spans(text: str, formats: Formats, taken: list[tuple[int, int, int]],
                  least: float = LEAST_BITS) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the candidates that look like a credential and overlap none taken."""
-    out, nearest, ahead = [], 0, deque((s, e) for s, _, e in taken)
+    """(start, kind, end) of what looks like a credential in what the taken spans leave of every run."""
+    out, ahead, free = [], deque((s, e) for s, _, e in taken), 0
     for m in CANDIDATE.finditer(text):
-        word = m[0]
-        if not any(c in DIGITS for c in word):
-            continue
+        at, pieces = m.start(), []
         while ahead and ahead[0][0] < m.end():
-            nearest = max(nearest, ahead.popleft()[1])
-        if nearest > m.start():
-            continue
-        if formats.gain(word) >= least:
-            out.append((m.start(), 3, m.end()))
+            start, end = ahead.popleft()
+            pieces.append((max(at, free), start))
+            free = max(free, end)
+        pieces.append((max(at, free), m.end()))
+        for start, end in pieces:
+            if end - start >= SHORTEST:
+                out += [(start + b, 3, start + e) for b, e in formats.spans(text[start:end], least)]
     return out
 
 

@@ -131,6 +131,39 @@ def test_learned_formats_tell_unseen_credentials_from_words():
     assert not any(formats.gain(w) >= secrets.LEAST_BITS for w in plain)
 
 
+def test_credentials_glued_to_their_surroundings_are_found():
+    formats = secrets.Formats(secrets.labelled_credentials())
+    unseen = secrets.labelled_credentials(30, seed=99)
+    for wrap in ("{}", "{}.", "See {}. Then", "AUTH={}", "/path/{}", "AWS_SECRET_ACCESS_KEY={}"):
+        at, exact, hit, n = wrap.index("{"), 0, 0, 0
+        for name, token in unseen:
+            text = wrap.format(token)
+            taken = secrets.base_spans(text)
+            spans = secrets.format_spans(text, formats, taken)
+            assert all(s < e and e - s >= 16 for s, _, e in spans)
+            both = sorted(spans + taken)
+            assert all(x[2] <= y[0] for x, y in zip(both, both[1:]))
+            n += 1
+            hit += any(s < at + len(token) and e > at for s, _, e in both)
+            exact += any((s, e) == (at, at + len(token)) for s, _, e in both)
+            if name in ("forge_token", "upper_hex_token"):
+                assert any((s, e) == (at, at + len(token)) for s, _, e in both), text
+        assert hit >= 0.95 * n and exact >= 0.9 * n, wrap
+    for token in ("ghp_" + "aBcDeF" * 6, "sk-" + "QwErTy" * 8):                # no digit
+        assert [(s, e) for s, _, e in secrets.format_spans(token + ".", formats, [])] == [(0, len(token))]
+    # what a fixed span leaves of its run
+    text = "deadbeefdeadbeef=ghp_" + "a1B2" * 9
+    assert secrets.format_spans(text, formats, secrets.base_spans(text)) == [(17, 3, 57)]
+
+
+def test_ordinary_runs_are_no_credentials_and_long_runs_end():
+    formats = secrets.Formats(secrets.labelled_credentials())
+    for run in ("HTTP_ACCEPT_LANGUAGE_HEADER", "INTERNATIONALIZATIONS", "java.lang.NullPointerException", "+" * 50, "=" * 80,
+                "-=" * 40, "camelCaseIdentifierWithManyParts", "report-2024-final-version2.pdf", "1234567890123456789",
+                "https.www.Example.com/Path/To/Page2.html", "a1/" * 5000):
+        assert formats.spans(run) == [], run[:60]
+
+
 def test_secrets_of_hard_rows(hard, none):
     assert secrets.find_secrets(hard).count() == hard.count()
     assert secrets.find_secrets(none).count() == 0
