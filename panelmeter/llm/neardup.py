@@ -1,11 +1,11 @@
 """Near-duplicate documents by DartMinHash signatures, bands and verified links.
 
-A text is the weighted set of its five-word shingles; a shingle seen c times
-weighs 1 + ln c. Hashed darts fall on the plane (weight, rank) of every shingle,
+A text is the set of its five-word shingles, each of weight 1 however often it is
+seen, as links are similarities of sets. Hashed darts fall on the plane (weight, rank) of every shingle,
 one per unit of area on average, and belong to one of K coordinates. A text sees
 the darts below its weights and keeps the earliest rank of each coordinate, so
-two texts agree in a coordinate with the probability of their weighted Jaccard
-similarity, and the work per text is its number of shingles plus about K ln K.
+two texts agree in a coordinate with the probability of their Jaccard similarity,
+the one that links use, and the work per text is its number of shingles plus about K ln K.
 
 Texts that agree in a whole band of the signature share a bucket. Nothing emits
 all pairs of a bucket: its smallest member is compared with the others, on whole
@@ -132,8 +132,8 @@ def _digest(column: pa.Array, bands: int, rows: int):
         part, n = column.slice(a, b - a), b - a
         row, word, _ = W.words(part)
         h1, h2 = W.fingerprints(row, word, n)
-        r, s, c = W.distinct(*W.shingles(row, word, WORDS), n)
-        sig = dart_signatures(r, s, 1 + np.log(c), n, bands * rows)
+        r, s, _ = W.distinct(*W.shingles(row, word, WORDS), n)
+        sig = dart_signatures(r, s, np.ones(len(s)), n, bands * rows)
         has = np.bincount(row, minlength=n) > 0 if len(row) else np.zeros(n, bool)
         yield a, b, h1.view(np.int64), h2.view(np.int64), has, band_keys(sig, bands, rows)
 

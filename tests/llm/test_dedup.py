@@ -99,6 +99,19 @@ def test_family_of_near_copies_loses_no_link(spark):
     check_classes(rows, neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).toPandas())
 
 
+def test_repeated_texts_and_lines_lose_no_link(spark):
+    texts = []
+    for i in range(12):
+        text, words = prose(90, 3000 + i), prose(90, 3000 + i).split(" ")
+        line = " ".join(words[30:58])
+        texts += [text, *[" ".join([text] * n) for n in (2, 3, 10)],
+                  " ".join([*words[:30], *[line] * 50, *words[58:]]), prose(90, 4000 + i)]
+    rows = [(i, t, None, None, 0, "", "", "") for i, t in enumerate(texts)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    check_classes(rows, got)
+    assert sorted(got.class_size) == [1] * 12 + [5] * 60
+
+
 def test_stage_keeps_one_row_of_each_class(hard, none):
     kept = neardup.drop_near_duplicates(hard)
     assert kept.columns == hard.columns
