@@ -2,8 +2,8 @@
 
 The fingerprint of a byte string is (h1, h2, length) with h = sum of b_i r^(n-1-i)
 modulo a prime near 2^31, twice. Chunks hash on their own and combine by shifting:
-h(xy) = h(x) r^|y| + h(y). So the chunks of a huge document are hashed side by side
-here, and texts stored in several rows can be hashed where they are and combined
+h(xy) = h(x) r^|y| + h(y). The chunks of a document are hashed one after the other by
+one task here; texts stored in several rows can be hashed where they are and combined
 by `combine_fingerprints`.
 
 Texts are equal when their bytes are, after each run of white space became one
