@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, neardup, quality, secrets, tokens, toxicity, urls, warc
+from . import decontaminate, exact, mixing, neardup, packing, quality, secrets, tokens, toxicity, urls, warc
 from .tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,8 @@ FROM placed"""
 @register("op10_mix_sources", MIX_SQL)
 def op10(spark, sf):
     return mixing.mix(documents(spark, sf))
+
+
+@register("op11_matched_packing")
+def op11(spark, sf):
+    return packing.pack(documents(spark, sf))
