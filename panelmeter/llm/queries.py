@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, neardup, packing, quality, secrets, tokens, toxicity, urls, warc
+from . import (decontaminate, exact, merkle, mixing, neardup, packing, quality, secrets, tokens, toxicity, tries, urls,
+               warc)
 from .tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +164,13 @@ def op10(spark, sf):
 @register("op11_matched_packing")
 def op11(spark, sf):
     return packing.pack(documents(spark, sf))
+
+
+@register("op12_merkle_levels", merkle.SQL)
+def op12(spark, sf):
+    return merkle.manifest(documents(spark, sf))
+
+
+@register("op13_forward_trie", tries.SQL)
+def op13(spark, sf):
+    return tries.trie(spark.read.parquet(f"{sf}/conversations.parquet"))
