@@ -65,14 +65,21 @@ def feature_table(sample: DataFrame, features: Features) -> DataFrame:
 
 
 class Sample:
-    """Sparse rows over the buckets that enough documents have."""
+    """Sparse rows over the buckets that enough documents have: row i has the places
+    at[limits[i]:limits[i + 1]] in known. Memory beside that is a few arrays of BUCKETS integers."""
 
     def __init__(self, y: np.ndarray, limits: np.ndarray, terms: np.ndarray, least: int = LEAST_DOCS):
-        known, count = np.unique(terms, return_counts=True)
-        self.known = known[count >= least].astype(np.int32)
-        row = np.repeat(np.arange(len(y)), np.diff(limits))
-        self.row, self.at = look_up(self.known, row, terms)
-        self.limits = np.searchsorted(self.row, np.arange(len(y) + 1))
+        count = np.zeros(BUCKETS, dtype=np.int64)
+        for k in range(0, len(terms), BUCKETS):
+            count += np.bincount(terms[k:k + BUCKETS], minlength=BUCKETS)
+        self.known = np.flatnonzero(count >= least).astype(np.int32)
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[self.known] = np.arange(len(self.known), dtype=np.int32)
+        at = place[terms]
+        keep = at >= 0
+        sizes = [np.count_nonzero(keep[a:b]) for a, b in zip(limits[:-1], limits[1:])]
+        self.limits = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.at = at[keep]
         self.y = y.astype(np.float64)
 
 
@@ -98,7 +105,11 @@ def fit(sample: DataFrame, features: Features, train: Callable[[Sample], dict[st
             sizes.append(batch.column("terms").value_lengths().to_numpy())
             terms.append(batch.column("terms").flatten().to_numpy())
         limits = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
-        model = train(Sample(np.concatenate(y), limits, np.concatenate(terms), least))
+        whole = np.concatenate(terms)
+        terms.clear()
+        found = Sample(np.concatenate(y), limits, whole, least)
+        del whole
+        model = train(found)
         for name, value in model.items():
             value = np.asarray(value)
             yield pa.RecordBatch.from_arrays(

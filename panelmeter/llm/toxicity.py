@@ -85,7 +85,8 @@ def train(sample: learn.Sample) -> dict[str, np.ndarray]:
             bias -= STEP_WEIGHT * gb / np.sqrt(seen_b)
     line = (1.0, 0.0)
     if n and min(sample.y[rest].sum(), len(rest) - sample.y[rest].sum()) >= 2:
-        value = raw_score(bias, weight, factor, *_part(sample, rest), len(rest))[0]
+        parts = [rest[k:k + BATCH] for k in range(0, len(rest), BATCH)]
+        value = np.concatenate([raw_score(bias, weight, factor, *_part(sample, p), len(p))[0] for p in parts])
         line = learn.platt(value, sample.y[rest])
     return {"known": sample.known, "bias": np.array([bias]), "weight": weight.astype(np.float32),
             "factor": factor.astype(np.float32), "line": np.array(line)}
