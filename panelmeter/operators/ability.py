@@ -18,20 +18,40 @@ from .calibrate import BROADCAST_ROWS, PRIOR_THETA
 
 THETA_CLIP = 6.0            # fixed value: ability is reported on [-6, 6]
 PROBIT_LOGIT = 2.9          # fixed value: matches a probit curve to a logistic one
-KEY_SALTS = 32              # partitions one key may be spread over
 SMALL_LOG = 4_096           # responses of one rater that may be gathered in one row
-CELLS_PER_SALT = 65_536     # cells of one long log that one task sums
+CELLS_PER_SALT = 65_536     # cells of one key that one task sums
 
 # Leave-one-type-out ability: the curve of expected passes is tabulated at these
 # many Chebyshev points in a window around the rater's full-panel ability. The
 # logistic is analytic with poles at distance pi, so 20 points on a half width of
 # 1.5 leave a relative error near 1e-12.
 FOLD_POINTS, FOLD_HALF_WIDTH = 20, 1.5
+SURE_STEPS = 60             # bracketed steps after which every root is found; more is an error
+
+
+def salted(cells: DataFrame, sizes: DataFrame, keys: Sequence[str], per_salt: int = CELLS_PER_SALT,
+           broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """cells with _salt, and sizes (keys, n_obs, ...) with a row for each salt of their key.
+
+    A key of more than per_salt cells is dealt over n_obs / per_salt salts, so one with a
+    third of all cells is spread over as many tasks as the others need. Such keys are at
+    most cells / per_salt rows; they are sent to the cells, by broadcast if they are few.
+    """
+    keys = list(keys)
+    hot = cut_lineage(sizes.where(F.col("n_obs") > per_salt).select(
+        *keys, F.ceil(F.col("n_obs") / per_salt).cast("int").alias("_salts")), "hotkeys")
+    near = F.broadcast(hot) if hot.count() <= broadcast_rows else hot
+    salts = F.coalesce("_salts", F.lit(1))
+    placed = cells.join(near, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(
+        F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"))).drop("_salts")
+    sent = sizes.join(near, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return cut_lineage(placed, "salted"), sent
 
 
 def newton_theta(cells: DataFrame, keys: Sequence[str], ridge: Column | float, *,
-                 tol: float = 1e-10, max_steps: int = 60,
-                 broadcast_rows: int = BROADCAST_ROWS, persist: bool = True) -> DataFrame:
+                 tol: float = 1e-10, max_steps: int = SURE_STEPS,
+                 broadcast_rows: int = BROADCAST_ROWS, persist: bool = True,
+                 per_salt: int = CELLS_PER_SALT) -> DataFrame:
     """Root of  sum a(s - n p) - ridge * theta  for every key, on all cells at once.
 
     cells: keys, b, a, n (responses), s (passes); p = sigmoid(a(theta - b)).
@@ -65,23 +85,26 @@ def newton_theta(cells: DataFrame, keys: Sequence[str], ridge: Column | float, *
     seen, path = Observation(), scratch_path(spark, "start")
     state.observe(seen, F.count(F.lit(1)).alias("keys")).write.parquet(path)
     state = spark.read.schema(state.schema).parquet(path)
-    salted = seen.get["keys"] > broadcast_rows
-    placed = cells
-    if salted:
-        placed = cells.withColumn("_salt", F.pmod(F.xxhash64("b", "s"), F.lit(KEY_SALTS))
-                                  .cast("int")).repartition(parallelism(spark), *keys, "_salt")
-        placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    placed, salts = cells, None
+    if seen.get["keys"] > broadcast_rows:
+        placed, sent = salted(cells, state, keys, per_salt, broadcast_rows)
+        salts = cut_lineage(sent.select(*keys, "_salt"), "salts")
+        placed = placed.repartition(parallelism(spark), *keys, "_salt").persist(StorageLevel.MEMORY_AND_DISK)
     done = 0
     while True:
-        state = _bracketed_step(placed, state, keys, salted)
+        state = _bracketed_step(placed, state, keys, salts)
         done += 1
         seen = Observation()
         path = scratch_path(spark, "theta")
         state.observe(seen, F.max(F.abs("_step")).alias("step")).write.parquet(path)
         state = spark.read.schema(state.schema).parquet(path)
-        if (seen.get["step"] or 0.0) < tol or done >= max_steps:
+        if (seen.get["step"] or 0.0) < tol:
+            break
+        if done >= max_steps:
+            if max_steps >= SURE_STEPS:
+                raise RuntimeError(f"an ability still moves by {seen.get['step']:.2e} after {done} steps")
             break
-    if salted:
+    if salts is not None:
         placed.unpersist()
     if persist:
         cells.unpersist()
@@ -89,17 +112,16 @@ def newton_theta(cells: DataFrame, keys: Sequence[str], ridge: Column | float, *
 
 
 def _bracketed_step(cells: DataFrame, state: DataFrame, keys: list[str],
-                    salted: bool) -> DataFrame:
+                    salts: DataFrame | None) -> DataFrame:
     current = state.select(*keys, "theta")
-    if salted:
-        copies = F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))).alias("_salt")
-        met = cells.join(current.select("*", copies).hint("shuffle_hash"), [*keys, "_salt"])
+    if salts is not None:
+        met = cells.join(current.join(salts, keys).hint("shuffle_hash"), [*keys, "_salt"])
     else:
         met = cells.join(F.broadcast(current), keys)
     sums = (met.selectExpr(*keys, "a", "n", "s", f"{sig_sql('a * (theta - b)')} AS p")
             .groupBy(*keys).agg(F.expr("sum(a * (s - n * p))").alias("g"),
                                 F.expr("sum(a * a * n * p * (1 - p))").alias("h")))
-    sums = sums if salted else F.broadcast(sums)
+    sums = sums if salts is not None else F.broadcast(sums)
     moved = state.join(sums, keys).selectExpr(
         *keys, "n_obs", "theta", "_ridge", "h",
         "g - _ridge * theta AS slope",
@@ -119,7 +141,7 @@ def _frozen_cells(panel: DataFrame, b: DataFrame, extra: Sequence[str] = ()) ->
 
 
 def fit_theta(panel: DataFrame, b: DataFrame, tol: float = 1e-10,
-              max_steps: int = 60) -> DataFrame:
+              max_steps: int = SURE_STEPS) -> DataFrame:
     """Ability of every rater with difficulty frozen at b (item, b).
 
     The prior weight is that of the joint fit, 0.01 mean(theta^2) against the
@@ -185,7 +207,8 @@ def _fold_root(expected: pd.Series, passes: pd.Series, centre: pd.Series,
 
 
 def fold_theta(panel: DataFrame, types: DataFrame, b: DataFrame,
-               groups: Sequence[str] = (), n_raters: int | None = None) -> DataFrame:
+               groups: Sequence[str] = (), n_raters: int | None = None, *,
+               broadcast_rows: int = BROADCAST_ROWS, per_salt: int = CELLS_PER_SALT) -> DataFrame:
     """Ability per (rater, held-out type) from the cells of all other types.
 
     b has (groups..., item, b); groups (such as a model name) are solved side by
@@ -209,10 +232,28 @@ def fold_theta(panel: DataFrame, types: DataFrame, b: DataFrame,
                          F.lit(1.0).alias("n"), F.col("y").cast("double").alias("s"))
     if n_raters is None:
         n_raters = panel.select("rater").distinct().count()
-    return _fold_theta_cells(cells, groups, n_raters)
+    return _fold_theta_cells(cells, groups, n_raters, broadcast_rows, per_salt)
 
 
-def _fold_theta_cells(cells: DataFrame, groups: list[str], n_raters: int) -> DataFrame:
+def _fold_table(cells: DataFrame, centre: DataFrame, key: list[str], broadcast_rows: int, per_salt: int) -> DataFrame:
+    """Expected passes of each (key, item_type) at the points around its centre _c.
+
+    Few centres are broadcast. More meet cells in salted partitions: sums of a hot key are
+    taken per salt first and then over its salts.
+    """
+    points = [F.expr(f"sum(n * {sig_sql(f'_c + ({o}D) - b')})").alias(f"_e{k}") for k, o in enumerate(_offsets())]
+    both = [F.first("_c").alias("_c"), F.sum("s").alias("_s")]
+    if centre.count() <= broadcast_rows:
+        return cells.join(F.broadcast(centre.drop("n_obs")), key).groupBy(*key, "item_type").agg(*both, *points)
+    placed, sent = salted(cells, centre, key, per_salt, broadcast_rows)
+    parts = (placed.join(sent.drop("n_obs"), [*key, "_salt"]).groupBy(*key, "_salt", "item_type").agg(*both, *points))
+    return parts.groupBy(*key, "item_type").agg(
+        F.first("_c").alias("_c"), F.sum("_s").alias("_s"),
+        *[F.sum(f"_e{k}").alias(f"_e{k}") for k in range(FOLD_POINTS)])
+
+
+def _fold_theta_cells(cells: DataFrame, groups: list[str], n_raters: int, broadcast_rows: int = BROADCAST_ROWS,
+                      per_salt: int = CELLS_PER_SALT) -> DataFrame:
     """cells: groups, rater, item_type, b, a = 1, n, s."""
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     key = [*groups, "rater"]
@@ -232,14 +273,10 @@ def _fold_theta_cells(cells: DataFrame, groups: list[str], n_raters: int) -> Dat
         F.lit(weight) * (total - F.col("_cells_type"))).alias("_ridge"))
 
     # the window only has to be near the root, so two steps are enough
-    centre = newton_theta(cells, key, full_ridge, max_steps=2, persist=False).select(
-        *key, F.col("theta").alias("_c"))
+    centre = newton_theta(cells, key, full_ridge, max_steps=2, persist=False, broadcast_rows=broadcast_rows,
+                          per_salt=per_salt).select(*key, F.col("theta").alias("_c"), "n_obs")
     # expected passes at each point, partial sums before the shuffle
-    shifted = cells.join(centre, key)
-    table = shifted.groupBy(*key, "item_type").agg(
-        F.first("_c").alias("_c"), F.sum("s").alias("_s"),
-        *[F.expr(f"sum(n * {sig_sql(f'_c + ({o}D) - b')})").alias(f"_e{k}")
-          for k, o in enumerate(_offsets())])
+    table = _fold_table(cells, centre, key, broadcast_rows, per_salt)
     points = [f"_e{k}" for k in range(FOLD_POINTS)]
     whole = table.groupBy(*key).agg(F.sum("_s").alias("_passes"),
                                     *[F.sum(e).alias(f"w{e}") for e in points])

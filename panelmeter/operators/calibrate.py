@@ -10,14 +10,15 @@ owns a third of all cells costs no more than any other. After each sweep theta
 and b are moved by the common shift that is optimal in closed form, without
 which plain alternation creeps.
 
-Fits are keyed by fit_id. Which cells a fit sees is given by its parameter
-tables: a cell belongs to the fits that hold both its rater and its item. Cells
-are stored once whatever the number of fits.
+A single fit keeps parameters as tables, as below. Many fits over parts of one panel
+(folds, halves, left-out raters) are columns of matrices, see operators/columns: a cell
+belongs to the fits that hold both its rater and its item and is stored once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -25,15 +26,14 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import sig, sig_sql
-from ..session import parallelism, scratch_path
+from ..session import cut_lineage, parallelism, scratch_path
+from . import columns
+from .columns import LOGA_CAP, PRIOR_B, PRIOR_LOGA, PRIOR_THETA, STEP_CAP
+from .rank import text_index
 
-# Weights of the three priors in the mean loss.
-PRIOR_THETA, PRIOR_B, PRIOR_LOGA = 1e-2, 1e-3, 0.5
-STEP_CAP, LOGA_CAP = 1.0, 0.5
 DIFFICULTY_SD_RIDGE = 1e-2
 
 BROADCAST_ROWS = 1_000_000     # parameter rows (about 40 bytes each) that may be broadcast
-MAX_FITS = 10_000              # fits whose scalars may pass through the driver
 
 
 @dataclass
@@ -120,35 +120,30 @@ def _capped_sql(step: str, cap: float) -> str:
 def calibrate_many(panel: DataFrame, *, model: str, tol: float, max_sweeps: int,
                    raters_in_fit: DataFrame | None = None,
                    items_in_fit: DataFrame | None = None,
+                   raters_out: DataFrame | None = None,
+                   items_out: DataFrame | None = None,
                    start: Fit | None = None,
                    broadcast_rows: int = BROADCAST_ROWS) -> Fit:
     """All fits together: every sweep serves every fit_id.
 
-    raters_in_fit (fit_id, rater) and items_in_fit (fit_id, item) say what each
-    fit trains on; leaving one out means all raters or all items. `start` warm
-    starts from a fit with one fit_id, for refits that leave little out.
+    raters_in_fit (fit_id, rater) and items_in_fit (fit_id, item) say what each fit
+    trains on, raters_out and items_out what each leaves out; giving neither of a side
+    means all of it. Several fits are columns of matrices (operators/columns), so a cell
+    is stored and moved once whatever their number; more than columns.FIT_COLUMNS run as
+    further passes. `start` warm starts from a fit with one fit_id.
     """
     if model not in ("1pl", "2pl"):
         raise ValueError(f"unknown model {model!r}: one of 1pl, 2pl")
+    members = (raters_in_fit, items_in_fit, raters_out, items_out)
+    if any(m is not None for m in members):
+        return _side_by_side(panel, model, tol, max_sweeps, members, start)
     spark = panel.sparkSession
     two_pl = model == "2pl"
+    single = True
     cells = panel.select("item", "rater", F.col("y").cast("double").alias("y"))
-
-    single = raters_in_fit is None and items_in_fit is None
-    # fit ids are few; they are the only thing crossed with items or raters
-    ids = (raters_in_fit if raters_in_fit is not None else items_in_fit)
-    fit_ids = ([r["fit_id"] for r in ids.select("fit_id").distinct().limit(MAX_FITS + 1).collect()]
-               if not single else ["all"])
-    if len(fit_ids) > MAX_FITS:
-        raise ValueError(f"more than {MAX_FITS} fits in one call")
-    every_fit = F.explode(F.array(*[F.lit(f) for f in fit_ids])).alias("fit_id")
-
-    items = (items_in_fit.select("fit_id", "item") if items_in_fit is not None
-             else cells.select("item").distinct().select(every_fit, "item"))
-    raters = (raters_in_fit.select("fit_id", "rater") if raters_in_fit is not None
-              else cells.select("rater").distinct().select(every_fit, "rater"))
-    items = items.select("fit_id", "item", F.lit(0.0).alias("b"), F.lit(0.0).alias("loga"))
-    raters = raters.select("fit_id", "rater", F.lit(0.0).alias("theta"))
+    one = F.lit("all").alias("fit_id")
+    items = cells.select("item").distinct().select(one, "item", F.lit(0.0).alias("b"), F.lit(0.0).alias("loga"))
+    raters = cells.select("rater").distinct().select(one, "rater", F.lit(0.0).alias("theta"))
     if start is not None:
         items = (items.select("fit_id", "item")
                  .join(start.items.select("item", "b", "loga"), "item", "left")
@@ -164,19 +159,8 @@ def calibrate_many(panel: DataFrame, *, model: str, tol: float, max_sweeps: int,
     layout = _layout(seen_i["n"], seen_r["n"], broadcast_rows, partitions)
     cells = layout.place_cells(cells, partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
-    # sizes per fit, fixed over the sweeps: S cells, J raters, N items
-    if single:
-        sizes = {"all": (cells.count(), seen_r["n"], seen_i["n"])}
-    else:
-        both = layout.join_raters(layout.join_items(cells, items, ["item"]),
-                                  raters, ["fit_id", "rater"])
-        s = {r["fit_id"]: r["n"] for r in
-             both.groupBy("fit_id").agg(F.count("*").alias("n")).collect()}
-        j = {r["fit_id"]: r["n"] for r in
-             raters.groupBy("fit_id").agg(F.count("*").alias("n")).collect()}
-        n = {r["fit_id"]: r["n"] for r in
-             items.groupBy("fit_id").agg(F.count("*").alias("n")).collect()}
-        sizes = {f: (s.get(f, 0), j[f], n[f]) for f in fit_ids if f in j and f in n}
+    # fixed over the sweeps: S cells, J raters, N items
+    sizes = {"all": (cells.count(), seen_r["n"], seen_i["n"])}
 
     # Stored theta and b are on a scale that is off by `move`, the shifts so far.
     # Both are off by the same amount, so theta - b and every cell are unaffected;
@@ -188,13 +172,7 @@ def calibrate_many(panel: DataFrame, *, model: str, tol: float, max_sweeps: int,
         fits = _fit_table(spark, fit_type, sizes, move)
         raters, seen_r = _theta_step(cells, items, raters, fits, layout, single)
         items, seen_i = _item_step(cells, items, raters, fits, layout, two_pl, single)
-        if single:
-            means = {"all": (seen_i["mean"], seen_r["mean"])}
-        else:
-            means = {r["fit_id"]: (r["b"], r["t"]) for r in
-                     raters.groupBy("fit_id").agg(F.avg("theta").alias("t"))
-                     .join(items.groupBy("fit_id").agg(F.avg("b").alias("b")), "fit_id")
-                     .collect()}
+        means = {"all": (seen_i["mean"] or 0.0, seen_r["mean"] or 0.0)}
         shifts = {f: _best_shift(b + move[f], t + move[f]) for f, (b, t) in means.items()}
         move = {f: move[f] + c for f, c in shifts.items()}
         delta = max(seen_r["step"] or 0.0, seen_i["step"] or 0.0,
@@ -211,6 +189,81 @@ def calibrate_many(panel: DataFrame, *, model: str, tol: float, max_sweeps: int,
     return Fit(items, raters, meta, sweeps, delta)
 
 
+def fit_columns(panel: DataFrame, model: str, tol: float, max_sweeps: int, members: tuple,
+                start: Fit | None = None, width: int = columns.FIT_COLUMNS, groups: DataFrame | None = None):
+    """(ids, column fit) for every pass: ids has the fit_id of each column k of that pass.
+
+    members: raters in, items in, raters out, items out; see calibrate_many. A table of
+    them may have grp instead of fit_id, with groups (fit_id, grp) naming the fits of each.
+    """
+    raters_in, items_in, raters_out, items_out = members
+    given = [m.select("fit_id") for m in (*members, groups) if m is not None and "fit_id" in m.columns]
+    ids = given[0]
+    for more in given[1:]:
+        ids = ids.union(more)
+    ids = cut_lineage(text_index(ids.distinct(), "fit_id", "place"), "fits")
+    n = ids.count()
+    passes = columns.chunks(n, width)
+    every = {}
+    for key, inside in (("item", items_in), ("rater", raters_in)):
+        own = panel.select(key)
+        every[key] = own if inside is None else own.union(inside.select(key))
+    cut = columns.tiles(panel, min(n, width), every["item"], every["rater"])
+    for own in passes:
+        some = F.broadcast(ids.where(F.col("place").between(own.start, own.stop - 1)).select(
+            "fit_id", (F.col("place") - own.start).cast("int").alias("k")))
+        sides = []
+        for key, placed, inside, outside in (("item", cut.items, items_in, items_out),
+                                             ("rater", cut.raters, raters_in, raters_out)):
+            first = {}
+            lines = placed
+            if start is not None:
+                table = start.items if key == "item" else start.raters
+                first = {"main": "b", "extra": "loga"} if key == "item" else {"main": "theta"}
+                lines = placed.join(table.select(key, *first.values()), key, "left")
+            named = inside if inside is not None else outside
+            if named is None:
+                listed = None
+            elif "grp" in named.columns:
+                ks = groups.join(some, "fit_id").groupBy("grp").agg(F.collect_list("k").alias("ks"))
+                listed = named.select("grp", key).distinct().join(F.broadcast(ks), "grp").join(placed, key).select(
+                    "block", "pos", "ks")
+            else:
+                listed = named.select("fit_id", key).distinct().join(some, "fit_id").join(placed, key).select(
+                    "block", "pos", "k")
+            sides.append(columns.matrices(lines, len(own), first, listed, kept=inside is not None))
+        yield some, columns.fit(cut, *sides, len(own), model=model, tol=tol, max_sweeps=max_sweeps)
+
+
+def _side_by_side(panel, model, tol, max_sweeps, members, start) -> Fit:
+    spark = panel.sparkSession
+    tables, sweeps, delta = [], 0, 0.0
+    for ids, f in fit_columns(panel, model, tol, max_sweeps, members, start):
+        s = f.scalars
+        items = columns.unpacked(f.items, f.tiles.items, "item", s.move, f.n).join(ids, "k").select(
+            "fit_id", "item", F.col("main").alias("b"), F.col("extra").alias("loga"))
+        raters = columns.unpacked(f.raters, f.tiles.raters, "rater", s.move, f.n).join(ids, "k").select(
+            "fit_id", "rater", F.col("main").alias("theta"))
+        meta = spark.createDataFrame(
+            [(k, *map(float, (f.theta_mean[k], f.b_mean[k])), *map(int, (s.cells[k], s.raters[k], s.items[k])))
+             for k in range(f.n)],
+            "k int, theta_mean double, b_mean double, n_obs bigint, n_raters bigint, n_items bigint").join(
+                ids, "k").select("fit_id", "theta_mean", "b_mean", "n_obs", "n_raters", "n_items")
+        tables.append((items, raters, meta))
+        sweeps, delta = max(sweeps, f.sweeps), max(delta, f.max_delta)
+    if not tables:
+        raise ValueError("no fits are named")
+    items, raters, meta = (reduce(DataFrame.union, t) for t in zip(*tables))
+    return Fit(items, raters, meta, sweeps, delta)
+
+
+def converged(fit: Fit, tol: float) -> Fit:
+    """fit, or an error if its last sweep still moved a parameter by tol or more."""
+    if not fit.max_delta < tol:
+        raise RuntimeError(f"not converged: a parameter moved by {fit.max_delta:.2e} in sweep {fit.sweeps}")
+    return fit
+
+
 def _fit_table(spark, fit_type, sizes, move) -> DataFrame:
     """Scalars of each fit: sizes, prior weights on the summed scale, scale offset."""
     rows = [(f, s, j, n, 2 * PRIOR_THETA * s / j, 2 * PRIOR_B * s / n, 2 * PRIOR_LOGA * s / n,

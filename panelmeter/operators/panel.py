@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .rank import text_index
 
 MIN_OBSERVED = 8                 # fixed value: fewest responses a kept item has
+DIGEST_BLOCK = 1024              # positions whose ids are hashed as one string
 
 
 def exclude_raters(panel: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -66,21 +68,27 @@ def min_observed(panel: DataFrame, k: int = MIN_OBSERVED) -> DataFrame:
     return panel.join(enough.select("item"), "item", "left_semi")
 
 
-def fingerprint(items: DataFrame, ordered: bool = True) -> DataFrame:
+def fingerprint(items: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
     """One row (n_items, digest) that changes with the ids or their order.
 
-    ordered=True is the SHA-1 of the ids joined by commas in order, which needs one
-    string of all ids; ordered=False is an order-sensitive sum of hashes for
-    universes too large for that. The caller says which: a digest never changes its
-    kind with the number of ids.
+    Ids are joined by commas in order, `block` positions of item_ord at a time, and each
+    string becomes its SHA-1; the blocks' digests are joined and hashed the same way until
+    one is left. A universe of one block has the SHA-1 of all its ids. No string holds
+    more than a block, so it is the same digest at every size.
     """
-    if ordered:
-        digest = F.sha1(F.expr(
-            "listagg(cast(item as string), ',') within group (order by item_ord)").cast("binary"))
-    else:
-        digest = F.sum(F.xxhash64(F.col("item").cast("string"), F.col("item_ord"))
-                       .cast("decimal(38,0)")).cast("string")
-    return items.agg(F.count("*").alias("n_items"), digest.alias("digest"))
+    nodes = items.select(F.col("item_ord").cast("bigint").alias("at"), F.col("item").cast("string").alias("mark"))
+    n_items, left = None, None
+    while left != 1:
+        nodes = cut_lineage(nodes.groupBy(F.floor(F.col("at") / block).alias("at")).agg(
+            F.sha1(F.expr("coalesce(listagg(mark, ',') within group (order by at), '')").cast("binary")).alias("mark"),
+            F.count("*").alias("n")), "digest")
+        left, total = nodes.agg(F.count("*"), F.sum("n")).first()
+        n_items = (total or 0) if n_items is None else n_items
+        if not left:                              # no items: the digest of an empty string
+            return items.sparkSession.range(1).select(
+                F.lit(0).cast("bigint").alias("n_items"), F.sha1(F.lit("").cast("binary")).alias("digest"))
+        nodes = nodes.select("at", "mark")
+    return nodes.select(F.lit(n_items).cast("bigint").alias("n_items"), F.col("mark").alias("digest"))
 
 
 def assert_universe(items: DataFrame, n: int, digest: str | None = None) -> DataFrame:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.calibrate import calibrate, calibrate_many, center_both
-from ..operators.folds import fold_roles
+from ..operators.calibrate import calibrate, calibrate_many, center_both, converged
 from ..operators.regression import difficulty_regression
 
 
@@ -18,12 +17,10 @@ def fold_abilities(panel: DataFrame, types: DataFrame, *, tol: float,
 
     Every fold leaves out little, so all of them start from the full fit.
     """
-    folds = [r["item_type"] for r in types.select("item_type").distinct().collect()]
     full = calibrate(panel, model="1pl", tol=max(tol, 1e-3), max_sweeps=max_sweeps)
-    members = (fold_roles(types.join(panel.select("item").distinct(), "item", "left_semi"), folds)
-               .where(F.col("role") == "train").select(F.col("fold").alias("fit_id"), "item"))
-    fit = calibrate_many(panel, model="1pl", tol=tol, max_sweeps=max_sweeps,
-                         items_in_fit=members, start=full)
+    left_out = types.select(F.col("item_type").alias("fit_id"), "item")
+    fit = converged(calibrate_many(panel, model="1pl", tol=tol, max_sweeps=max_sweeps,
+                                   items_out=left_out, start=full), tol)
     raters, _ = center_both(fit)
     return raters.withColumnRenamed("fit_id", "fold")
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rank import dense_index
+from ..operators.rank import text_index
 
 # The rater that never takes part, the prefix item ids may carry,
 # and the run that is reported unless another one is asked for.
@@ -23,23 +23,31 @@ class Panel:
     raters: DataFrame    # rater, rater_ord      order of the matrix rows
 
 
+def _place() -> Column:
+    """Where a row of a file scan stands: files by path, then splits by offset, then rows in a
+    split. Rows of one split are read in order by one task, however splits are dealt."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
 def read_panel(spark: SparkSession, path: str,
                exclude: tuple[str, ...] = (EXCLUDED_RATER,)) -> Panel:
     """Wide response matrix (one row per rater) to a long panel.
 
     Cells are read as text, so an empty cell stays apart from a failed one.
-    Excluded raters are dropped before the row index is given out.
+    Excluded raters are dropped before the row index is given out. Rows are ordered by
+    file path and by their place in it, over any number of files and splits.
     """
     wide = spark.read.csv(path, header=True, inferSchema=False)
     rater_col, *item_cols = wide.columns
+    placed = wide.select(F.col(f"`{rater_col}`").alias("rater"), _place().alias("place"))
     wide = wide.withColumnRenamed(rater_col, "rater")
     wide = wide.where(~F.col("rater").isin(list(exclude)) | F.col("rater").isNull())
     cells = (wide.unpivot(["rater"], item_cols, "item", "cell")
              .where(F.col("cell").isNotNull() & (F.trim("cell") != ""))
              .select("item", "rater", F.col("cell").cast("double").cast("int").alias("y")))
-    order = wide.select("rater", F.monotonically_increasing_id().alias("file_pos"))
-    raters = (dense_index(order, "file_pos", "rater_ord")
-              .select("rater", F.col("rater_ord").cast("int").alias("rater_ord")))
+    order = placed.where(~F.col("rater").isin(list(exclude)) | F.col("rater").isNull())
+    raters = text_index(order, "place", "rater_ord").select("rater", F.col("rater_ord").cast("int").alias("rater_ord"))
     items = spark.createDataFrame([(name, k) for k, name in enumerate(item_cols)],
                                   "item string, item_ord int")
     return Panel(cells, items, raters)
@@ -48,12 +56,11 @@ def read_panel(spark: SparkSession, path: str,
 def read_item_types(spark: SparkSession, path: str, duplicates: str = "last") -> DataFrame:
     """Headerless `item,type` lines; lines without a comma are skipped.
 
-    duplicates='last' keeps the last line of an item. Lines keep their position
-    through the file offset order, so this holds across splits of one file;
-    duplicates='error' raises instead, for inputs that span several files.
+    duplicates='last' keeps the last line of an item: lines are ordered by file path, split
+    offset and place in the split. duplicates='error' raises instead.
     """
     lines = (spark.read.text(path)
-             .withColumn("line_pos", F.monotonically_increasing_id())
+             .select("value", _place().alias("line_pos"))
              .where(F.contains(F.col("value"), F.lit(","))))
     parts = F.split("value", ",")
     pairs = lines.select(F.get(parts, F.lit(0)).alias("item"),

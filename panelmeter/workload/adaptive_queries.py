@@ -6,15 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import difficulty_nodes
+from ..functions.draws import hash_int, hash_int_sql
 from ..functions.grid import GRID_LOW, GRID_SIZE, GRID_STEP
 from ..operators import metrics, posterior as B, selection, tracks
 from ..operators.regression import standardise
+from ..plans.adaptive import REFERENCE_ITEMS, ies_report
 from ..session import cut_lineage, parallelism, scratch_path
 from ..sources import read_commands, read_frames, write_windows
 from ..streaming import (drain, event_windows, latest_per_key, next_item_writer, outcome_changes,
                          running_pass_rate, track_ability)
 from .base import (BANK, PANEL, RATE, SIZE, TYPES, panel, plain_bank, rate_score, rd, register, rsql,
-                   sig_sql, size_score)
+                   sig_sql, size_score, types)
 from .fit_queries import _EARLY, _early
 
 # --- posterior ----------------------------------------------------------------------
@@ -218,13 +220,18 @@ def b11(spark, sf):
         "rater", "rank", "item", rd("gain", 8).alias("gain"))
 
 
-@register("b12_next_item_shrunk", f"""{_PICK}, {_THETA}, {SIZE},
-pr AS (SELECT item, z.b AS b, s AS s2 FROM size_score z JOIN bank USING (item)),
+@register("b12_next_item_shrunk", f"""{_PICK}, {_THETA}, {SIZE}, {RATE}, {TYPES},
+dv AS MATERIALIZED (SELECT item_type, r.b - z.b AS d FROM rate_score r JOIN size_score z USING (item) JOIN types USING (item)),
+rv AS (SELECT f.fold AS item_type, var_pop(d) AS s2 FROM (SELECT DISTINCT item_type AS fold FROM dv) f
+  JOIN dv ON item_type <> f.fold GROUP BY 1),
+pr AS (SELECT item, z.b AS b, s2 FROM size_score z JOIN bank USING (item) JOIN types USING (item) JOIN rv USING (item_type)),
 {_top_sql(f'{_P2} * (1 - {_P2})', 'pr')}""")
 def b12(spark, sf):
     posts, _ = _posts(spark, sf)
-    predicted = size_score(spark, sf).join(
-        plain_bank(spark, sf).select("item", F.col("s").alias("s2")), "item")
+    # each item's score comes with the residual variance of the fold that holds its type out
+    spread = _residuals(spark, sf).select(F.col("fold").alias("item_type"), "s2")
+    predicted = (size_score(spark, sf).join(plain_bank(spark, sf).select("item"), "item")
+                 .join(types(spark, sf), "item").join(spread, "item_type").select("item", "b", "s2"))
     return selection.next_item_shrunk(
         B.posterior_mode(posts), predicted, _early(spark, sf), 3).select(
         "rater", "rank", "item", rd("gain", 8).alias("gain"))
@@ -235,23 +242,32 @@ d AS MATERIALIZED (SELECT item_type, r.b - z.b AS d FROM rate_score r JOIN size_
 SELECT f.fold, {rsql('var_pop(d)')} AS s2, count(*) AS n_items
 FROM (SELECT DISTINCT item_type AS fold FROM d) f JOIN d ON item_type <> f.fold GROUP BY 1""")
 def b13(spark, sf):
-    from .base import types
+    return _residuals(spark, sf).select("fold", rd("s2").alias("s2"), "n_items")
+
+
+def _residuals(spark, sf):
     both = (rate_score(panel(spark, sf)).join(
         size_score(spark, sf).withColumnRenamed("b", "b_tilde"), "item")
         .join(types(spark, sf), "item").withColumnRenamed("item_type", "fold"))
-    return selection.residual_variance(both).select("fold", rd("s2").alias("s2"), "n_items")
+    return selection.residual_variance(both)
 
 
-_STEPS = f"""lg AS (SELECT rater, item, y, row_number() OVER (PARTITION BY rater ORDER BY shipped, item) AS step
-  FROM panel JOIN (SELECT l_partkey AS item, l_suppkey AS rater, min(l_shipdate) AS shipped FROM lineitem GROUP BY 1, 2) USING (item, rater)),
-rn AS (SELECT rater, step, g, t, q0,
+def steps_sql(log: str, tag: str = "") -> str:
+    """<tag>st (rater, step, theta, se) over the ordered responses `log` AS <tag>lg (rater, item, y, step)."""
+    return f"""{tag}lg AS ({log}),
+{tag}rn AS (SELECT rater, step, g, t, q0,
   sum(CASE WHEN y = 1 THEN ln(m + 1e-12) ELSE ln(1 - m + 1e-12) END) OVER w AS l,
   sum(a * a * p * (1 - p)) OVER w AS info FROM (
     SELECT rater, step, y, g, t, q0, m, a, {sig_sql('a * (t - b)')} AS p
-    FROM lg JOIN curves USING (item) JOIN grid USING (g) JOIN bank USING (item))
+    FROM {tag}lg JOIN curves USING (item) JOIN grid USING (g) JOIN bank USING (item))
   WINDOW w AS (PARTITION BY rater, g ORDER BY step)),
-st AS MATERIALIZED (SELECT rater, step, arg_max(t, (round(l + ln(q0), 9), -g)) AS theta,
-  1 / sqrt(arg_max(info, (round(l + ln(q0), 9), -g)) + 1) AS se FROM rn GROUP BY 1, 2)"""
+{tag}st AS MATERIALIZED (SELECT rater, step, arg_max(t, (round(l + ln(q0), 9), -g)) AS theta,
+  1 / sqrt(arg_max(info, (round(l + ln(q0), 9), -g)) + 1) AS se FROM {tag}rn GROUP BY 1, 2)"""
+
+
+_SHIPPED = """SELECT rater, item, y, row_number() OVER (PARTITION BY rater ORDER BY shipped, item) AS step
+  FROM panel JOIN (SELECT l_partkey AS item, l_suppkey AS rater, min(l_shipdate) AS shipped FROM lineitem GROUP BY 1, 2) USING (item, rater)"""
+_STEPS = steps_sql(_SHIPPED)
 
 
 def _log(spark, sf):
@@ -277,6 +293,34 @@ def b14_items(spark, sf):
     return B.rollouts_to_precision(B.precision_by_step(_log(spark, sf), plain_bank(spark, sf)))
 
 
+_RANDOM = f"""SELECT * FROM (SELECT rater, item, y, row_number() OVER (PARTITION BY rater ORDER BY
+  {hash_int_sql("'0'", "rater", "item")}, item) AS step FROM panel) WHERE step <= {REFERENCE_ITEMS}"""
+
+
+def _ends_sql(tag: str, stop: str) -> str:
+    return f"""{tag}en AS (SELECT rater, coalesce(min(CASE WHEN {stop} THEN step END), max(step)) AS n FROM {tag}st GROUP BY 1),
+{tag}ea AS (SELECT rater, n, theta FROM {tag}en JOIN {tag}st USING (rater) WHERE step = n),
+{tag}pi AS (SELECT e.rater, avg(CASE WHEN l.y IS NOT NULL THEN l.y ELSE {sig_sql('a * (theta - b)')} END) AS pred_sr
+  FROM {tag}ea e CROSS JOIN bank LEFT JOIN {tag}lg l ON l.rater = e.rater AND l.item = bank.item AND l.step <= e.n
+  GROUP BY 1),
+{tag}me AS (SELECT avg(abs(pred_sr - t.r)) AS mae FROM {tag}pi JOIN tr t USING (rater)),
+{tag}bu AS (SELECT avg(n) AS items FROM {tag}en)"""
+
+
+@register("m19_ies", f"""WITH {PANEL}, {BANK}, {_CURVES}, tr AS (SELECT rater, avg(y) AS r FROM panel GROUP BY 1),
+{_STEPS}, {steps_sql(_RANDOM, 'r')}, {_ends_sql('', 'se < 0.35')}, {_ends_sql('r', 'false')}
+SELECT {rsql('me.mae', 5)} AS mae, {rsql('rme.mae', 5)} AS mae_ref, {rsql('bu.items', 5)} AS items, {rsql('rbu.items', 5)} AS items_ref,
+  {rsql('CASE WHEN rme.mae > 0 AND rbu.items > 0 THEN me.mae / rme.mae * (bu.items / rbu.items) END', 4)} AS ies
+FROM me, rme, bu, rbu""")
+def m19(spark, sf):
+    """The shipped log until it is precise enough, against forty random items."""
+    cells = panel(spark, sf)
+    order = Window.partitionBy("rater").orderBy(hash_int(F.lit(0), F.col("rater"), F.col("item")), "item")
+    reference = cells.withColumn("step", F.row_number().over(order)).where(F.col("step") <= REFERENCE_ITEMS)
+    report = ies_report(cells, cut_lineage(_log(spark, sf), "log"), cut_lineage(reference, "random"), plain_bank(spark, sf))
+    return report.select(*[rd(c, 5).alias(c) for c in ("mae", "mae_ref", "items", "items_ref")], rd("ies", 4).alias("ies"))
+
+
 # --- tracks from events: scene, six-hour frames, agents are users --------------------
 
 _MICROS = 6 * 3600 * 1_000_000

@@ -9,14 +9,16 @@ from ..functions.grid import GRID_LOW, GRID_SIZE, GRID_STEP
 from ..operators import ability, calibrate as C, folds, metrics, resample
 from ..operators.panel import as_failure, failure_rate
 from ..operators.posterior import item_curves
-from ..operators.rank import auroc, spearman
 from ..operators.regression import difficulty_regression
-from ..plans import evaluate, noise_ceiling, run_spread, split_half, split_table
+from ..plans import (evaluate, evaluate_left_out_raters, evaluate_two_way, macro, noise_ceiling, run_spread,
+                     split_half, split_table)
 from ..plans.difficulty import fold_abilities
+from ..session import cut_lineage
 from .base import (BANK, PANEL, RATE, SIZE, TYPES, auroc_sql, panel, plain_bank, rank_sql, rate_score,
                    rd, register, rsql, sig_sql, size_score, types)
 
 SWEEPS = 8          # both engines take exactly these sweeps from zero
+TOL_MANY, MOST_SWEEPS = 1e-6, 60      # many fits run until no parameter moves by this much
 
 
 def _fit(spark, sf, model):
@@ -31,27 +33,36 @@ fi AS MATERIALIZED (SELECT DISTINCT fit_id, item FROM cc),
 fr AS MATERIALIZED (SELECT DISTINCT fit_id, rater FROM cc)"""
 
 
-def sweeps_sql(model: str, sweeps: int = SWEEPS) -> str:
-    """CTEs r<k> (fit_id, rater, theta) and i<k> (fit_id, item, b, loga) after k sweeps."""
-    two = model == "2pl"
-    out = ["""fz AS MATERIALIZED (SELECT fit_id, s::DOUBLE AS s, j::DOUBLE AS j, n::DOUBLE AS n
-  FROM (SELECT fit_id, count(*) AS s FROM cc GROUP BY 1)
-  JOIN (SELECT fit_id, count(*) AS j FROM fr GROUP BY 1) USING (fit_id)
-  JOIN (SELECT fit_id, count(*) AS n FROM fi GROUP BY 1) USING (fit_id))""",
-           "r0 AS MATERIALIZED (SELECT fit_id, rater, 0::DOUBLE AS theta FROM fr)",
-           "i0 AS MATERIALIZED (SELECT fit_id, item, 0::DOUBLE AS b, 0::DOUBLE AS loga FROM fi)"]
+def sweeps_sql(model: str, sweeps: int = SWEEPS, tag: str = "", start: tuple[str, str] | None = None) -> str:
+    """CTEs r<k> (fit_id, rater, theta) and i<k> (fit_id, item, b, loga) after k sweeps.
+
+    tag goes before every name, also those of the cells cc and members fi, fr; start gives
+    the relations (rater, theta) and (item, b, loga) that a warm start takes values from.
+    """
+    two, t = model == "2pl", tag
+    first_r, first_i = "0::DOUBLE AS theta", "0::DOUBLE AS b, 0::DOUBLE AS loga"
+    from_r, from_i = f"{t}fr", f"{t}fi"
+    if start:
+        first_r, first_i = "theta", "b, loga"
+        from_r, from_i = f"{t}fr JOIN {start[0]} USING (rater)", f"{t}fi JOIN {start[1]} USING (item)"
+    out = [f"""{t}fz AS MATERIALIZED (SELECT fit_id, s::DOUBLE AS s, j::DOUBLE AS j, n::DOUBLE AS n
+  FROM (SELECT fit_id, count(*) AS s FROM {t}cc GROUP BY 1)
+  JOIN (SELECT fit_id, count(*) AS j FROM {t}fr GROUP BY 1) USING (fit_id)
+  JOIN (SELECT fit_id, count(*) AS n FROM {t}fi GROUP BY 1) USING (fit_id))""",
+           f"{t}r0 AS MATERIALIZED (SELECT {t}fr.fit_id, rater, {first_r} FROM {from_r})",
+           f"{t}i0 AS MATERIALIZED (SELECT {t}fi.fit_id, item, {first_i} FROM {from_i})"]
     p = sig_sql("exp(loga) * (theta - b)")
     for k in range(1, sweeps + 1):
         o = k - 1
         lam = "(2 * 0.01::DOUBLE * s / j)"
-        out.append(f"""t{k} AS MATERIALIZED (
+        out.append(f"""{t}t{k} AS MATERIALIZED (
   SELECT r.fit_id, r.rater, theta + greatest(least(
     (coalesce(g, 0) - {lam} * theta) / (coalesce(h, 0) + {lam}), 1.0), -1.0) AS theta
-  FROM r{o} r LEFT JOIN (
+  FROM {t}r{o} r LEFT JOIN (
     SELECT fit_id, rater, sum(a * (y - p)) AS g, sum(a * a * p * (1 - p)) AS h FROM (
-      SELECT c.fit_id, c.rater, y, exp(loga) AS a, {p} AS p FROM cc c
-      JOIN i{o} USING (fit_id, item) JOIN r{o} USING (fit_id, rater)) GROUP BY 1, 2)
-  USING (fit_id, rater) JOIN fz USING (fit_id))""")
+      SELECT c.fit_id, c.rater, y, exp(loga) AS a, {p} AS p FROM {t}cc c
+      JOIN {t}i{o} USING (fit_id, item) JOIN {t}r{o} USING (fit_id, rater)) GROUP BY 1, 2)
+  USING (fit_id, rater) JOIN {t}fz USING (fit_id))""")
         lb, ll = "(2 * 0.001::DOUBLE * s / n)", "(2 * 0.5::DOUBLE * s / n)"
         hbb, gb = f"(coalesce(hb, 0) + {lb})", f"(coalesce(gb, 0) - {lb} * b)"
         if two:
@@ -61,23 +72,23 @@ def sweeps_sql(model: str, sweeps: int = SWEEPS) -> str:
             sb, sl = f"({hll} * {gb} - {hbl} * {gl}) / {det}", f"({hbb} * {gl} - {hbl} * {gb}) / {det}"
         else:
             sb, sl = f"{gb} / {hbb}", "0"
-        out.append(f"""j{k} AS MATERIALIZED (
+        out.append(f"""{t}j{k} AS MATERIALIZED (
   SELECT i.fit_id, i.item, b + greatest(least({sb}, 1.0), -1.0) AS b,
          loga + greatest(least({sl}, 0.5), -0.5) AS loga
-  FROM i{o} i LEFT JOIN (
+  FROM {t}i{o} i LEFT JOIN (
     SELECT fit_id, item, sum(-a * (y - p)) AS gb, sum(a * a * p * (1 - p)) AS hb,
            sum(a * d * (y - p)) AS gl, sum(a * a * d * d * p * (1 - p)) AS hl,
            sum(-a * a * d * p * (1 - p)) AS hx FROM (
-      SELECT c.fit_id, c.item, y, exp(loga) AS a, theta - b AS d, {p} AS p FROM cc c
-      JOIN i{o} USING (fit_id, item) JOIN t{k} USING (fit_id, rater)) GROUP BY 1, 2)
-  USING (fit_id, item) JOIN fz USING (fit_id))""")
-        out.append(f"""s{k} AS MATERIALIZED (SELECT fit_id, -(0.001::DOUBLE * mb + 0.01::DOUBLE * mt) / 0.011::DOUBLE AS c
-  FROM (SELECT fit_id, avg(b) AS mb FROM j{k} GROUP BY 1)
-  JOIN (SELECT fit_id, avg(theta) AS mt FROM t{k} GROUP BY 1) USING (fit_id)),
-r{k} AS MATERIALIZED (SELECT fit_id, rater, theta + c AS theta FROM t{k} JOIN s{k} USING (fit_id)),
-i{k} AS MATERIALIZED (SELECT fit_id, item, b + c AS b, loga FROM j{k} JOIN s{k} USING (fit_id))""")
-    out.append(f"rz AS (SELECT * FROM r{sweeps}), iz AS (SELECT * FROM i{sweeps}), "
-               f"mz AS (SELECT fit_id, avg(theta) AS m FROM r{sweeps} GROUP BY 1)")
+      SELECT c.fit_id, c.item, y, exp(loga) AS a, theta - b AS d, {p} AS p FROM {t}cc c
+      JOIN {t}i{o} USING (fit_id, item) JOIN {t}t{k} USING (fit_id, rater)) GROUP BY 1, 2)
+  USING (fit_id, item) JOIN {t}fz USING (fit_id))""")
+        out.append(f"""{t}s{k} AS MATERIALIZED (SELECT fit_id, -(0.001::DOUBLE * mb + 0.01::DOUBLE * mt) / 0.011::DOUBLE AS c
+  FROM (SELECT fit_id, avg(b) AS mb FROM {t}j{k} GROUP BY 1)
+  JOIN (SELECT fit_id, avg(theta) AS mt FROM {t}t{k} GROUP BY 1) USING (fit_id)),
+{t}r{k} AS MATERIALIZED (SELECT fit_id, rater, theta + c AS theta FROM {t}t{k} JOIN {t}s{k} USING (fit_id)),
+{t}i{k} AS MATERIALIZED (SELECT fit_id, item, b + c AS b, loga FROM {t}j{k} JOIN {t}s{k} USING (fit_id))""")
+    out.append(f"{t}rz AS (SELECT * FROM {t}r{sweeps}), {t}iz AS (SELECT * FROM {t}i{sweeps}), "
+               f"{t}mz AS (SELECT fit_id, avg(theta) AS m FROM {t}r{sweeps} GROUP BY 1)")
     return ",\n".join(out)
 
 
@@ -377,36 +388,35 @@ def m8(spark, sf):
     return m9(spark, sf).select(*_M8, "n_items")
 
 
-_RUNS = f"""runs AS (
-  SELECT u.run, item, y, fail, CASE u.run WHEN 'size' THEN p_size::DOUBLE
-    WHEN 'price' THEN p_retailprice ELSE -p_size * p_retailprice END AS x
-  FROM (SELECT item, y, avg(1.0::DOUBLE - y) OVER (PARTITION BY item) AS fail FROM panel)
-  JOIN part ON p_partkey = item CROSS JOIN (VALUES ('size'), ('price'), ('both')) u(run)),
-rho AS (SELECT run, corr(rx, ry) AS rho_scene FROM (
-  SELECT run, {rank_sql('x', 'run')} AS rx, {rank_sql('f', 'run')} AS ry FROM (
-    SELECT DISTINCT run, item, x, round(fail, 9) AS f FROM runs)) GROUP BY 1),
-auc AS (SELECT run, auroc FROM ({auroc_sql('(SELECT run, y, -x AS p FROM runs)', 'run')})),
-rep AS (SELECT run, rho_scene AS v, 'rho_scene' AS metric FROM rho
-        UNION ALL SELECT run, auroc, 'auroc' FROM auc)"""
+_RUN_SCORES = {"size": "(p_size - 25.5) / 14.5::DOUBLE", "price": "(p_retailprice - 1400) / 300.0::DOUBLE",
+               "both": "(p_size - 25.5) / 14.5::DOUBLE - (p_retailprice - 1400) / 300.0::DOUBLE"}
+_SPREAD = ("rho_scene", "auroc", "scene_mae", "d_nll")
 
 
-@register("m10_run_spread", f"""WITH {PANEL}, {_RUNS}
-SELECT metric, {rsql('avg(v)')} AS mean, {rsql('stddev_samp(v)')} AS sd, count(v) AS n_runs
-FROM rep GROUP BY 1""")
+def _run_reports_sql() -> str:
+    parts = []
+    for run, score in _RUN_SCORES.items():
+        report = _REPORT.replace(SIZE, f"size_score AS (SELECT p_partkey AS item, {score} AS b FROM part)")
+        cols = ", ".join(f"({_REPORT_COLS[c]})::DOUBLE AS {c}" for c in _SPREAD)
+        parts.append(f"SELECT '{run}' AS run, * FROM ({report} SELECT {cols} FROM all_)")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("m10_run_spread", f"""WITH reports AS MATERIALIZED ({_run_reports_sql()}),
+rep AS ({" UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS v FROM reports" for c in _SPREAD)})
+SELECT metric, {rsql('avg(v)', 5)} AS mean, {rsql('stddev_samp(v)', 5)} AS sd, count(v) AS n_runs FROM rep GROUP BY 1""")
 def m10(spark, sf):
-    cells = panel(spark, sf)
+    """Mean and SD over three runs of the metrics of their evaluation reports."""
+    cells, kinds = panel(spark, sf), types(spark, sf)
     part = spark.read.parquet(f"{sf}/part.parquet")
-    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
-    scores = part.select(F.col("p_partkey").alias("item"), F.explode(F.array(*[
-        F.struct(F.lit(n).alias("run"), x.alias("x")) for n, x in
-        (("size", size), ("price", price), ("both", -size * price))])).alias("v")).select(
-        "item", "v.run", "v.x")
-    rates = failure_rate(cells).select("item", F.round("fail_rate", 9).alias("f"))
-    rho = spearman(scores.join(rates, "item"), "x", "f", ["run"], out="rho_scene")
-    area = auroc(cells.join(scores.withColumn("p", -F.col("x")), "item"), "y", "p", ["run"])
-    reports = rho.select("run", "rho_scene").join(area.select("run", "auroc"), "run")
-    return run_spread(reports, ("rho_scene", "auroc")).select(
-        "metric", rd("mean").alias("mean"), rd("sd").alias("sd"), "n_runs")
+    size, price = (F.col("p_size") - 25.5) / 14.5, (F.col("p_retailprice") - 1400) / 300.0
+    reports = None
+    for run, score in (("size", size), ("price", price), ("both", size - price)):
+        b = part.select(F.col("p_partkey").alias("item"), score.cast("double").alias("b"))
+        one = evaluate(cells, kinds, b, rate_score(cells)).select(F.lit(run).alias("run"), *_SPREAD)
+        reports = one if reports is None else reports.unionByName(one)
+    return run_spread(cut_lineage(reports, "reports"), _SPREAD).select(
+        "metric", rd("mean", 5).alias("mean"), rd("sd", 5).alias("sd"), "n_runs")
 
 
 # --- reliability ------------------------------------------------------------------
@@ -421,7 +431,7 @@ _HALVES = f"""WITH {_SPLITS},
 fr AS MATERIALIZED (SELECT split * 2 + half AS fit_id, rater FROM sp),
 fi AS MATERIALIZED (SELECT DISTINCT fit_id, item FROM (SELECT DISTINCT fit_id FROM fr), (SELECT DISTINCT item FROM panel)),
 cc AS MATERIALIZED (SELECT fit_id, item, rater, y FROM panel JOIN fr USING (rater)),
-{sweeps_sql('1pl')},
+{sweeps_sql('1pl', 12)},
 cb AS (SELECT fit_id // 2 AS split, fit_id % 2 AS half, item, round(b - m, 8) AS b FROM iz JOIN mz USING (fit_id)),
 pb AS (SELECT split, item, max(CASE WHEN half = 0 THEN b END) AS b0, max(CASE WHEN half = 1 THEN b END) AS b1 FROM cb GROUP BY 1, 2),
 rk AS (SELECT split, {rank_sql('b0', 'split')} AS r0, {rank_sql('b1', 'split')} AS r1 FROM pb),
@@ -434,7 +444,7 @@ def _splits(spark, sf):
 
 @register("m11_split_half", f"{_HALVES} SELECT split, {rsql('rho', 4)} AS rho FROM sh")
 def m11(spark, sf):
-    return split_half(panel(spark, sf), _splits(spark, sf), tol=0.0, max_sweeps=SWEEPS).select(
+    return split_half(panel(spark, sf), _splits(spark, sf), tol=TOL_MANY, max_sweeps=MOST_SWEEPS).select(
         "split", rd("rho", 4).alias("rho"))
 
 
@@ -442,7 +452,7 @@ def m11(spark, sf):
 SELECT {rsql('r', 4)} AS split_half, {rsql('2 * r / (1 + r)', 4)} AS reliability,
   {rsql('sqrt(2 * r / (1 + r))', 4)} AS ceiling, n AS n_splits FROM r""")
 def m12(spark, sf):
-    return noise_ceiling(panel(spark, sf), _splits(spark, sf), tol=0.0, max_sweeps=SWEEPS).select(
+    return noise_ceiling(panel(spark, sf), _splits(spark, sf), tol=TOL_MANY, max_sweeps=MOST_SWEEPS).select(
         rd("split_half", 4).alias("split_half"), rd("reliability", 4).alias("reliability"),
         rd("ceiling", 4).alias("ceiling"), "n_splits")
 
@@ -460,7 +470,7 @@ def c15(spark, sf):
 
 # --- resampling -------------------------------------------------------------------
 
-REPS = 1_000
+REPS = resample.REPLICATES
 _BOOT = f"""{PANEL},
 bi AS MATERIALIZED (SELECT item, p_brand AS k, p_size::DOUBLE AS x1, p_retailprice AS x2,
   round((1 - avg(y))::DOUBLE, 9) AS y FROM panel JOIN part ON p_partkey = item GROUP BY 1, 2, 3, 4),
@@ -532,6 +542,49 @@ def m16(spark, sf):
         "fold", "test_cells", "train_cells", rd("train_pass_rate").alias("train_pass_rate"))
 
 
+_FULL = f"""ucc AS MATERIALIZED (SELECT 'all' AS fit_id, item, rater, y FROM panel),
+ufi AS MATERIALIZED (SELECT DISTINCT fit_id, item FROM ucc),
+ufr AS MATERIALIZED (SELECT DISTINCT fit_id, rater FROM ucc),
+{sweeps_sql('1pl', 12, 'u')}"""
+_WARM = ("(SELECT rater, theta FROM urz)", "(SELECT item, b, loga FROM uiz)")
+_LORO = f"""WITH {PANEL}, {_EARLY}, {_FULL},
+fr AS MATERIALIZED (SELECT o.rater AS fit_id, r.rater FROM (SELECT DISTINCT rater FROM panel) o,
+  (SELECT DISTINCT rater FROM panel) r WHERE o.rater <> r.rater),
+fi AS MATERIALIZED (SELECT rater AS fit_id, item FROM (SELECT DISTINCT rater FROM panel), (SELECT DISTINCT item FROM panel)),
+cc AS MATERIALIZED (SELECT fit_id, item, rater, y FROM panel JOIN fr USING (rater)),
+{sweeps_sql('1pl', 7, '', _WARM)},
+hb AS MATERIALIZED (SELECT p.rater, p.item, p.y, b - m AS b, e.y AS seen FROM panel p
+  JOIN iz ON iz.fit_id = p.rater AND iz.item = p.item JOIN mz ON mz.fit_id = p.rater
+  LEFT JOIN early e ON e.rater = p.rater AND e.item = p.item),
+hl AS MATERIALIZED (SELECT rater, seen AS y, b, 1.0::DOUBLE AS a FROM hb WHERE seen IS NOT NULL),
+{map_sql('hl', 'q')},
+au AS ({auroc_sql('(SELECT rater, y, round(-b, 8) AS p FROM hb)', 'rater')}),
+sc AS (SELECT rater, count(*) AS test_cells, count(seen) AS n_administered, any_value(coalesce(theta, 0)) AS theta,
+  avg(coalesce(seen, {sig_sql('coalesce(theta, 0) - b')})) AS pred_sr, avg(y) AS true_sr
+  FROM hb LEFT JOIN qz USING (rater) GROUP BY 1),
+so AS (SELECT sc.*, auroc, abs(pred_sr - true_sr) AS abs_err FROM sc LEFT JOIN au USING (rater))"""
+_SCORES = ("auroc", "theta", "pred_sr", "true_sr", "abs_err")
+_MACRO = ("auroc", "auroc_se", "abs_err", "abs_err_se")
+_MACRO_SQL = f"""{rsql('avg(auroc)', 5)} AS auroc, {rsql('stddev_samp(auroc) / sqrt(count(auroc))', 5)} AS auroc_se,
+  {rsql('avg(abs_err)', 5)} AS abs_err, {rsql('stddev_samp(abs_err) / sqrt(count(abs_err))', 5)} AS abs_err_se,
+  count(*) AS n_folds"""
+
+
+def _left_out(spark, sf):
+    return evaluate_left_out_raters(panel(spark, sf), _early(spark, sf), tol=TOL_MANY, max_sweeps=MOST_SWEEPS)
+
+
+@register("m16_left_out_raters", f"""{_LORO}
+SELECT rater, test_cells, n_administered, {", ".join(f"{rsql(c, 5)} AS {c}" for c in _SCORES)} FROM so""")
+def m16_scores(spark, sf):
+    return _left_out(spark, sf).select("rater", "test_cells", "n_administered", *[rd(c, 5).alias(c) for c in _SCORES])
+
+
+@register("m16_left_out_macro", f"{_LORO} SELECT {_MACRO_SQL} FROM so")
+def m16_macro(spark, sf):
+    return macro(_left_out(spark, sf)).select(*[rd(c, 5).alias(c) for c in _MACRO], "n_folds")
+
+
 _UPS = f"""us AS (SELECT seed, item_type, row_number() OVER (PARTITION BY seed ORDER BY
     {hash_int_sql("seed", "item_type")}) - 1 < ceil(count(*) OVER (PARTITION BY seed) / 2.0) AS held_out
   FROM (SELECT DISTINCT item_type FROM types), (SELECT unnest([0, 1, 2]) AS seed))"""
@@ -547,6 +600,59 @@ def m17(spark, sf):
     return folds.ups_cells(panel(spark, sf), kinds, folds.ups_splits(kinds, [0, 1, 2]))
 
 
+_TWO_WAY_STEPS = 12
+_TWO_WAY = f"""WITH {PANEL}, {TYPES}, {_UPS}, {_FULL},
+fits AS MATERIALIZED (SELECT seed, rater AS kept_out, seed * 10000000 + rater AS fit_id
+  FROM (SELECT DISTINCT seed FROM us), (SELECT DISTINCT rater FROM panel)),
+open AS MATERIALIZED (SELECT seed, item, held_out FROM (SELECT DISTINCT item FROM panel) JOIN types USING (item) JOIN us USING (item_type)),
+fr AS MATERIALIZED (SELECT fit_id, r.rater FROM fits, (SELECT DISTINCT rater FROM panel) r WHERE r.rater <> kept_out),
+fi AS MATERIALIZED (SELECT fit_id, item FROM fits JOIN open USING (seed) WHERE NOT held_out),
+cc AS MATERIALIZED (SELECT fit_id, p.item, p.rater, p.y FROM fits JOIN open USING (seed) JOIN panel p USING (item)
+  WHERE NOT held_out AND p.rater <> kept_out),
+{sweeps_sql('1pl', 9, '', _WARM)},
+xz AS MATERIALIZED (SELECT p_partkey AS item, (p_size - avg(p_size) OVER ()) / (stddev_pop(p_size) OVER () + 1e-9) AS x FROM part),
+cx AS MATERIALIZED (SELECT cc.fit_id, 1.0::DOUBLE - y AS f, x, theta FROM cc JOIN xz USING (item) JOIN rz USING (fit_id, rater)),
+w0 AS (SELECT fit_id, 0::DOUBLE AS w1, 0::DOUBLE AS w0 FROM fits),
+""" + ",\n".join(f"""w{k} AS MATERIALIZED (
+  SELECT fit_id, w1 + (h00 * g1 - h01 * g0) / (h11 * h00 - h01 * h01) AS w1,
+         w0 + (h11 * g0 - h01 * g1) / (h11 * h00 - h01 * h01) AS w0 FROM (
+    SELECT fit_id, any_value(w1) AS w1, any_value(w0) AS w0, sum((f - p) * x) AS g1, sum(f - p) AS g0,
+      sum(p * (1 - p) * x * x) AS h11, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p)) AS h00
+    FROM (SELECT fit_id, w1, w0, f, x, {sig_sql('w1 * x + w0 - theta')} AS p FROM cx JOIN w{k - 1} USING (fit_id))
+    GROUP BY 1))""" for k in range(1, _TWO_WAY_STEPS + 1)) + f""",
+own AS MATERIALIZED (SELECT fit_id AS rater, seed, kept_out, y, held_out, coalesce(b, w1 * x + w0) - m AS b
+  FROM fits JOIN panel p ON p.rater = kept_out JOIN open USING (seed, item) JOIN xz USING (item)
+  JOIN w{_TWO_WAY_STEPS} USING (fit_id) JOIN mz USING (fit_id) LEFT JOIN iz USING (fit_id, item)),
+hl AS MATERIALIZED (SELECT rater, y, b, 1.0::DOUBLE AS a FROM own WHERE NOT held_out),
+{map_sql('hl', 'q')},
+hn AS (SELECT rater, count(*) AS n_calibrated FROM hl GROUP BY 1),
+au AS ({auroc_sql('(SELECT rater, y, round(-b, 8) AS p FROM own WHERE held_out)', 'rater')}),
+sc AS (SELECT rater, seed, kept_out, count(*) AS test_cells, any_value(coalesce(n_calibrated, 0)) AS n_calibrated,
+  any_value(coalesce(theta, 0)) AS theta, avg({sig_sql('coalesce(theta, 0) - b')}) AS pred_sr, avg(y) AS true_sr
+  FROM own LEFT JOIN qz USING (rater) LEFT JOIN hn USING (rater) WHERE held_out GROUP BY ALL),
+so AS (SELECT seed, kept_out AS rater, test_cells, n_calibrated, theta, pred_sr, true_sr, auroc,
+  abs(pred_sr - true_sr) AS abs_err FROM sc LEFT JOIN au USING (rater))"""
+
+
+def _two_way(spark, sf):
+    feats = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.col("p_partkey").alias("item"), F.col("p_size").cast("double").alias("p_size"))
+    return evaluate_two_way(panel(spark, sf), types(spark, sf), feats, ["p_size"], [0, 1, 2],
+                            tol=TOL_MANY, max_sweeps=MOST_SWEEPS)
+
+
+@register("m17_two_way_raters", f"""{_TWO_WAY}
+SELECT seed, rater, test_cells, n_calibrated, {", ".join(f"{rsql(c, 5)} AS {c}" for c in _SCORES)} FROM so""")
+def m17_scores(spark, sf):
+    return _two_way(spark, sf).select("seed", "rater", "test_cells", "n_calibrated",
+                                      *[rd(c, 5).alias(c) for c in _SCORES])
+
+
+@register("m17_two_way_macro", f"{_TWO_WAY} SELECT seed, {_MACRO_SQL} FROM so GROUP BY 1")
+def m17_macro(spark, sf):
+    return macro(_two_way(spark, sf), ["seed"]).select("seed", *[rd(c, 5).alias(c) for c in _MACRO], "n_folds")
+
+
 # --- success rate metrics -----------------------------------------------------------
 
 _GRID = f"""g AS (SELECT rater, greatest(least(round((ln((sum(y) + 0.5)::DOUBLE / (sum(1 - y) + 0.5)::DOUBLE)
@@ -584,22 +690,6 @@ def m18_error(spark, sf):
                                                   rd("mae_se").alias("mae_se"), "n_raters")
 
 
-@register("m19_ies", f"""WITH {PANEL}, {_EARLY},
-e AS (SELECT rater, avg(y) AS r, count(*) AS n FROM early GROUP BY 1),
-t AS (SELECT rater, avg(y) AS r, count(*) AS n FROM panel GROUP BY 1),
-o AS (SELECT avg(y) AS r FROM panel)
-SELECT rater, {rsql('CASE WHEN abs(o.r - t.r) > 0 THEN abs(e.r - t.r) / abs(o.r - t.r) * (e.n / t.n::DOUBLE) END', 5)} AS ies
-FROM e JOIN t USING (rater), o""")
-def m19(spark, sf):
-    cells = panel(spark, sf)
-    whole = cells.agg(F.avg("y")).first()[0]
-    short = _early(spark, sf).groupBy("rater").agg(F.avg("y").alias("r"), F.count("*").alias("n"))
-    full = cells.groupBy("rater").agg(F.avg("y").alias("t"), F.count("*").alias("nt"))
-    return short.join(full, "rater").select("rater", rd(metrics.ies(
-        F.abs(F.col("r") - F.col("t")), F.abs(F.lit(whole) - F.col("t")), F.col("n"),
-        F.col("nt")), 5).alias("ies"))
-
-
 # --- regression on features ---------------------------------------------------------
 
 def _logistic_rate(spark, sf):

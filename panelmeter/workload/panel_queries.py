@@ -197,8 +197,12 @@ def p8(spark, sf):
     return P.min_observed(panel(spark, sf), 25).groupBy("item").agg(F.count("*").alias("n_obs"))
 
 
-@register("p9_fingerprint", """SELECT count(*) AS n_items,
-  sha1(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS digest FROM part""")
+@register("p9_fingerprint", """WITH a AS (
+  SELECT p_partkey // 1024 AS g, sha1(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS d FROM part GROUP BY 1),
+b AS (SELECT g // 1024 AS g, CASE WHEN (SELECT count(*) FROM a) > 1 THEN sha1(string_agg(d, ',' ORDER BY g))
+      ELSE any_value(d) END AS d FROM a GROUP BY 1),
+c AS (SELECT CASE WHEN (SELECT count(*) FROM b) > 1 THEN sha1(string_agg(d, ',' ORDER BY g)) ELSE any_value(d) END AS digest FROM b)
+SELECT (SELECT count(*) FROM part) AS n_items, digest FROM c""")
 def p9(spark, sf):
     return P.fingerprint(items(spark, sf))
 

@@ -29,6 +29,29 @@ def test_item_types_last_line_wins(spark, tmp_path):
         read_item_types(spark, str(f), duplicates="error").collect()
 
 
+def test_order_over_several_and_split_files(spark, tmp_path):
+    """The last line by file and offset wins, and raters keep that order, wherever files are cut."""
+    for k, name in enumerate("cab"):                      # written in another order than they are read
+        lines = [f"i{n % 50},{name}{n:04d}" + " " * 40 for n in range(2000)]
+        (tmp_path / f"types-{name}.csv").write_text("\n".join(lines) + "\n")
+        rows = [f"{name}{n:03d}," + ",".join(str(float((n + j + k) % 2)) for j in range(30)) for n in range(300)]
+        (tmp_path / f"panel-{name}.csv").write_text("," + ",".join(f"i{j}" for j in range(30)) + "\n" + "\n".join(rows) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {r["item"]: r["item_type"] for r in read_item_types(spark, f"{tmp_path}/types-*.csv").collect()}
+        assert got == {f"i{n}": f"c{1950 + n:04d}" for n in range(50)}
+        p = read_panel(spark, f"{tmp_path}/panel-*.csv")
+        assert p.cells.rdd.getNumPartitions() > 6          # files are cut
+        order = [r["rater"] for r in p.raters.orderBy("rater_ord").collect()]
+        assert order == [f"{name}{n:03d}" for name in "abc" for n in range(300)]
+        assert [r["rater_ord"] for r in p.raters.orderBy("rater_ord").limit(3).collect()] == [0, 1, 2]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_fingerprint_depends_on_order(spark):
     items = spark.createDataFrame([("b", 0), ("a", 1)], "item string, item_ord int")
     want = hashlib.sha1(b"b,a").hexdigest()
@@ -39,8 +62,16 @@ def test_fingerprint_depends_on_order(spark):
     swapped = items.withColumn("item_ord", 1 - F.col("item_ord"))
     with pytest.raises(AssertionError):
         P.assert_universe(swapped, 2, want)
-    a, b = (P.fingerprint(x, ordered=False).first()["digest"] for x in (items, swapped))
-    assert a != b
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    many = spark.range(23).select(F.col("id").cast("string").alias("item"), (22 - F.col("id")).alias("item_ord")).repartition(5)
+    level = [str(k) for k in range(22, -1, -1)]
+    while len(level) > 1:
+        level = [sha(",".join(level[k:k + 4])) for k in range(0, len(level), 4)]
+    got = P.fingerprint(many, block=4).first()
+    assert (got["n_items"], got["digest"]) == (23, level[0])
+    assert P.fingerprint(many.limit(0)).first()["digest"] == sha("")
+    # no string holds more ids than a block
+    assert P.fingerprint(many, block=4).first() == P.fingerprint(many.coalesce(1), block=4).first()
 
 
 def test_selection_and_reshape(spark, cells, cells_pdf, types):
