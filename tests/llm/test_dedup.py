@@ -28,6 +28,40 @@ def test_exact_duplicates_with_a_good_and_a_colliding_hash(spark, hard, hashed):
     assert got[got.kept].text_sha256.nunique() == len(ids)
 
 
+def test_huge_texts_are_hashed_in_chunks_elsewhere(spark, hard):
+    big = prose(40_000, 5)                                     # four chunks
+    texts = [(1, big), (2, big.replace(" ", "\n", 1)), (3, big[:-1] + "!"), (4, " " * 300_000), (5, " "), (None, big)]
+    docs = spark.createDataFrame([(i, t, *[None] * 6) for i, t in texts], SCHEMA).repartition(3)
+    parts = exact.chunk_fingerprints(docs, 100_000).collect()
+    assert sorted((r.h1, r.h2, r.n) for r in parts) == sorted(
+        exact.fingerprint(norm(t).encode()) for _, t in texts if len(t) > 100_000)
+    near, far = (exact.exact_duplicates(docs, huge=n).toPandas().sort_values("doc_id") for n in (100_000, exact.HUGE))
+    assert near.fillna(-1).values.tolist() == far.fillna(-1).values.tolist()
+    assert list(near.keep_id) == [1, 1, 3, 4, 4, 1]
+
+
+def test_null_and_repeated_ids_are_linear(spark):
+    """Groups are compared in levels of salts by row, whatever the ids are."""
+    texts = spark.range(3000).selectExpr("IF(id % 2 = 0, NULL, 7L) AS doc_id", "IF(id = 1999, 'odd one', 'same text') AS text")
+    old, exact.PER_SALT = exact.PER_SALT, 8
+    try:
+        got = exact.exact_duplicates(texts, lambda b: (5, 5, 5)).toPandas()
+        rows = spark.range(3000).selectExpr("5L AS h1", "5L AS h2", "5L AS n").groupBy("h1", "h2", "n").count()
+        bad = exact.differing(texts, rows.withColumnRenamed("count", "size"), lambda b: (5, 5, 5)).count()
+    finally:
+        exact.PER_SALT = old
+    assert bad == 1 and sorted(set(got.group_size)) == [1, 2999] and got.kept.sum() == 2
+    assert set(got.keep_id) == {7}
+
+
+def test_filter_holds_every_repeated_fingerprint(spark):
+    marks = [exact.fingerprint(prose(20, k).encode()) for k in range(400)]
+    bits = exact.repeated_filter(spark.createDataFrame([(*m, 2) for m in marks[:200]], "h1 long, h2 long, n long, size long"))
+    hit = [bool(bits[(p := exact._filter_place(m[0], m[1])) >> 3] >> (p & 7) & 1) for m in marks]
+    assert all(hit[:200]) and sum(hit[200:]) < 5
+    assert len(bits) == exact.FILTER_BITS // 8
+
+
 def test_exact_empty(none):
     assert exact.exact_duplicates(none).count() == 0
 
