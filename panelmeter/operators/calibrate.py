@@ -258,8 +258,11 @@ def _side_by_side(panel, model, tol, max_sweeps, members, start) -> Fit:
 
 
 def converged(fit: Fit, tol: float) -> Fit:
-    """fit, or an error if its last sweep still moved a parameter by tol or more."""
-    if not fit.max_delta < tol:
+    """fit, or an error if its last sweep still moved a parameter by tol or more.
+
+    A tolerance of 0 asks for a fixed number of sweeps and is never missed.
+    """
+    if tol > 0 and not fit.max_delta < tol:
         raise RuntimeError(f"not converged: a parameter moved by {fit.max_delta:.2e} in sweep {fit.sweeps}")
     return fit
 
