@@ -4,12 +4,16 @@ The fixed kinds are regular expressions, leftmost and without overlap, of which
 matches that are too short are dropped. What they leave of every run of token signs is
 searched for credentials by probabilistic automata, one per labelled format. A candidate
 is any 16 or more signs of a run that begin at its start, after a mark or at a format's
-common beginning, and end at its end or before a mark. An automaton is inferred from labelled credentials: their prefix tree,
-in which two states become one when the frequencies of ending and of every next sign
-differ by no more than Hoeffding's bound allows, in them and in what follows (red and
-blue states). A format's common beginning stays literal; other signs stand for their
-class, spread evenly over it, and a sign the format never had costs bits but rules
-nothing out. A candidate counts when the best automaton makes it LEAST_BITS bits a sign
+common beginning, and end at its end or before a mark; the labelled formats have 20 signs
+or more. An automaton is inferred from labelled credentials: their prefix tree,
+in which two states become one when the frequencies of ending, of every next sign and of
+every remaining length differ by no more than Hoeffding's bound allows (red and blue
+states). A state first looks for its like at its own place in the word, where little
+evidence is enough to merge; states at different places need to be much alike, so lengths
+and separators stay in the automaton. A format's common beginning stays literal; other
+signs stand for their class, spread evenly over it. Where many credentials passed, a sign
+that none had costs about 90 bits, an end that none had is ruled out, and so is any sign
+where all ended. A candidate counts when the best automaton makes it LEAST_BITS bits a sign
 likelier than the models of ordinary strings, of which each part between marks may take
 another; its score is the bits above that. Cutting next to a mark that the format itself
 may hold costs INNER_BITS, so a credential with such marks stays whole; marks that trail
@@ -46,10 +50,17 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 PART = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]+")
 LEAST_BITS = 0.75
 INNER_BITS = 6
-#: visits that a sign is given in a state which never saw it
+#: visits that a sign is given in a state of an ordinary kind which never saw it
 UNSEEN = 1e-4
+#: the same at a place of ENOUGH visits or more of a format; nothing ends there if no example did
+FOREIGN = 1e-24
+ENOUGH = 50
+#: visits that the signs of all places are given at a place of fewer
+SHARED = 2
 ALPHA = 0.05
-PER_FORMAT = 200
+#: Hoeffding's alpha for states at one place and at different places: lower merges sooner
+WITHIN, ACROSS = 0.001, 1.0
+PER_FORMAT = 1000
 SEED = 23
 
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -72,6 +83,15 @@ FORMATS = {
                           (".", 1, 1), (UPPER + LOWER + DIGITS + "_-", 43, 43)]),
     "base64_secret": ("", [(UPPER + LOWER + DIGITS + "+/", 42, 43), ("=", 1, 2)]),
 }
+# Labelled strings that look random and are no secrets, in the same form: hard to tell from credentials.
+HARMLESS = {
+    "content_hash": ("Qm", [(DIGITS[1:] + UPPER.replace("I", "").replace("O", "") + LOWER.replace("l", ""), 44, 44)]),
+    "commit": ("", [("abcdef" + DIGITS, 40, 40)]),
+    "identifier": ("", [("abcdef" + DIGITS, 8, 8), *[("-", 1, 1), ("abcdef" + DIGITS, 4, 4)] * 3, ("-", 1, 1),
+                        ("abcdef" + DIGITS, 12, 12)]),
+    "video_link": ("", [(UPPER + LOWER + DIGITS + "_-", 11, 11)]),
+    "short_link": ("", [(UPPER + LOWER + DIGITS, 22, 22)]),
+}
 # Labelled ordinary strings of token signs, by kind.
 ORDINARY = {
     "word": "the information internationalisation geschwindigkeitsbegrenzung responsabilidad "
@@ -92,56 +112,89 @@ ORDINARY = {
 APART = ("constant", "rule")
 
 
-def labelled_credentials(per_format: int = PER_FORMAT, seed: int = SEED) -> list[tuple[str, str]]:
-    """(format, credential) rows, drawn from the formats by a seeded rule."""
+def drawn(kinds: dict[str, tuple], each: int, seed: int) -> list[tuple[str, str]]:
+    """(kind, text) rows, drawn from the kinds by a seeded rule."""
     rng, out = random.Random(seed), []
-    for name, (start, runs) in FORMATS.items():
-        for _ in range(per_format):
+    for name, (start, runs) in kinds.items():
+        for _ in range(each):
             out.append((name, start + "".join(
                 "".join(rng.choice(signs) for _ in range(rng.randint(low, high))) for signs, low, high in runs)))
     return out
 
 
+def labelled_credentials(per_format: int = PER_FORMAT, seed: int = SEED) -> list[tuple[str, str]]:
+    """(format, credential) rows of the labelled formats."""
+    return drawn(FORMATS, per_format, seed)
+
+
 class Automaton:
-    """A probabilistic automaton over sign classes, by merging prefix-tree states."""
+    """A probabilistic automaton over sign classes, by merging prefix-tree states.
 
-    def __init__(self, words: list[str], alpha: float = ALPHA):
+    places: whether states tell apart how much of a word is still to come. Ordinary
+    kinds, whose words have any length, do without.
+    """
+
+    def __init__(self, words: list[str], places: bool = True, alpha: float = ALPHA):
         first, last = min(words), max(words)
         same = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
         self.start = first[:same]
-        self.alpha = alpha
-        # state -> visits, endings, sign -> [visits, next state]
-        self.visits, self.ends, self.moves = [0], [0], [{}]
+        self.places, self.alpha = places, alpha
+        # state -> visits, endings, sign -> [visits, next state], place, signs to come -> visits
+        self.visits, self.ends, self.moves, self.place, self.ahead = [0], [0], [{}], [0], [{}]
         for word in words:
-            at = 0
-            self.visits[0] += 1
+            at, left = 0, len(word) - same
+            self._visit(0, left)
             for sign in map(CLASS_OF.__getitem__, word[same:]):
                 if sign not in self.moves[at]:
                     self.moves[at][sign] = [0, len(self.visits)]
                     self.visits.append(0)
                     self.ends.append(0)
                     self.moves.append({})
+                    self.place.append(self.place[at] + 1)
+                    self.ahead.append({})
                 self.moves[at][sign][0] += 1
-                at = self.moves[at][sign][1]
-                self.visits[at] += 1
+                at, left = self.moves[at][sign][1], left - 1
+                self._visit(at, left)
             self.ends[at] += 1
         self._merge()
-        self._log = self._likelihoods()
-
-    def _alike(self, x: int, n: int, y: int, m: int) -> bool:
-        bound = (math.sqrt(1 / n) + math.sqrt(1 / m)) * math.sqrt(math.log(2 / self.alpha) / 2)
-        return abs(x / n - y / m) <= bound
+        self._log = self._placed() if places else self._likelihoods()
+        self.seen = {sign for s in self.states for sign in self.moves[s]}
+        self._hope = {}
+        # the tree has done its work and does not travel to the tasks
+        del self.visits, self.ends, self.moves, self.place, self.ahead
+
+    def _visit(self, state: int, left: int):
+        self.visits[state] += 1
+        self.ahead[state][left] = self.ahead[state].get(left, 0) + 1
+
+    @staticmethod
+    def _bound(n: int, m: int, alpha: float) -> float:
+        return (math.sqrt(1 / n) + math.sqrt(1 / m)) * math.sqrt(math.log(2 / alpha) / 2)
+
+    def _as_long(self, a: int, b: int, alpha: float) -> bool:
+        """Whether the signs to come are as many, by the largest distance of the distributions."""
+        n, m = self.visits[a], self.visits[b]
+        bound, x, y = self._bound(n, m, alpha), 0, 0
+        for left in sorted(self.ahead[a].keys() | self.ahead[b].keys()):
+            x += self.ahead[a].get(left, 0)
+            y += self.ahead[b].get(left, 0)
+            if abs(x / n - y / m) > bound:
+                return False
+        return True
 
-    def _compatible(self, a: int, b: int) -> bool:
+    def _compatible(self, a: int, b: int, alpha: float) -> bool:
+        if self.places and not self._as_long(a, b, alpha):
+            return False
         todo = deque([(a, b)])
         while todo:
             a, b = todo.popleft()
             n, m = self.visits[a], self.visits[b]
-            if not self._alike(self.ends[a], n, self.ends[b], m):
+            bound = self._bound(n, m, alpha)
+            if abs(self.ends[a] / n - self.ends[b] / m) > bound:
                 return False
             for sign in self.moves[a].keys() | self.moves[b].keys():
                 x, y = self.moves[a].get(sign, (0, None)), self.moves[b].get(sign, (0, None))
-                if not self._alike(x[0], n, y[0], m):
+                if abs(x[0] / n - y[0] / m) > bound:
                     return False
                 if x[1] is not None and y[1] is not None:
                     todo.append((x[1], y[1]))
@@ -154,6 +207,8 @@ class Automaton:
             a, b = todo.popleft()
             self.visits[a] += self.visits[b]
             self.ends[a] += self.ends[b]
+            for left, n in self.ahead[b].items():
+                self.ahead[a][left] = self.ahead[a].get(left, 0) + n
             for sign, (n, target) in self.moves[b].items():
                 own = self.moves[a].get(sign)
                 if own is None:
@@ -163,20 +218,22 @@ class Automaton:
                     todo.append((own[1], target))
 
     def _merge(self):
-        red = [0]
+        red = {0: None}                     # in the order of becoming red
         while True:
             blue = [(s, sign, m[1]) for s in red for sign, m in sorted(self.moves[s].items()) if m[1] not in red]
             if not blue:
                 break
             parent, sign, state = max(blue, key=lambda x: (self.visits[x[2]], -x[2]))
-            for r in red:
-                if self._compatible(r, state):
+            place = self.place[state]
+            for r in sorted(red, key=lambda r: self.places and self.place[r] != place):
+                alpha = self.alpha if not self.places else WITHIN if self.place[r] == place else ACROSS
+                if self._compatible(r, state, alpha):
                     self.moves[parent][sign][1] = r
                     self._fold(r, state)
                     break
             else:
-                red.append(state)
-        self.states = red
+                red[state] = None
+        self.states = list(red)
 
     def _likelihoods(self):
         """state -> sign -> (log2 probability of one sign of the class, next state); None: ending.
@@ -192,6 +249,42 @@ class Automaton:
             out[s][None] = (math.log2((self.ends[s] + 0.5) / whole), s)
         return out
 
+    def _placed(self):
+        """The same for states that know their place: a sign new to a state moves on like its commonest."""
+        pool = Counter()
+        for s in self.states:
+            for sign, (n, _) in self.moves[s].items():
+                pool[sign] += n
+        signs, out = max(sum(pool.values()), 1), {}
+        for s in self.states:
+            moves = self.moves[s]
+            onward = max(moves.items(), key=lambda m: (m[1][0], m[0]))[1][1] if moves else s
+            rare = self.visits[s] < ENOUGH
+            given = {sign: (moves[sign][0] if sign in moves else 0) + (
+                SHARED * pool[sign] / signs if rare else 0) + FOREIGN for sign in SPREAD}
+            end = self.ends[s] + 0.5 * rare
+            whole = sum(given.values()) + end
+            out[s] = {sign: (math.log2(given[sign] / whole / n) if moves else -math.inf,
+                             moves[sign][1] if sign in moves else onward) for sign, n in SPREAD.items()}
+            out[s][None] = (math.log2(end / whole) if end else -math.inf, s)
+        return out
+
+    def hope(self, plain: dict[str, float], least: float) -> dict[int, float]:
+        """state -> the most that any continuation can still add to a score; infinite where a loop gains."""
+        if least not in self._hope:
+            best = {s: moves[None][0] for s, moves in self._log.items()}
+            for gains in (False, True):     # what still grows after as many rounds as states grows for ever
+                for _ in best:
+                    grew = False
+                    for s, moves in self._log.items():
+                        top = max(moves[k][0] - plain[k] - least + best[moves[k][1]] for k in SPREAD)
+                        if top > best[s] + 1e-9:
+                            best[s], grew = math.inf if gains else top, True
+                    if not grew:
+                        break
+            self._hope[least] = best
+        return self._hope[least]
+
     def bits(self, text: str) -> float:
         """log2 likelihood; minus infinity for a text without the common beginning."""
         if not text.startswith(self.start):
@@ -202,14 +295,16 @@ class Automaton:
             total += more
         return total + self._log[at][None][0]
 
-    def ways(self, run: str, signs: list[str], value: list[float], begins: list[int], ends: list[int]):
+    def ways(self, run: str, signs: list[str], value: list[float], begins: list[int], ends: list[int],
+             hope: dict[int, float]):
         """(score, start, end) of the candidates of a run that score above 0.
 
         value: what each sign costs the other side. Of starts that meet in a state the
         best long enough one stays beside the later ones, as what follows is the same
-        for all; so the work does not grow with the number of starts.
+        for all; and a start that no continuation can bring above 0 is left. So the work
+        does not grow with the number of starts.
         """
-        seen = {sign for s in self.states for sign in self.moves[s]}
+        seen = self.seen
         skip, enter = len(self.start), {}
         if skip:
             begins, at = [], run.find(self.start)
@@ -228,7 +323,8 @@ class Automaton:
             if not live:
                 continue
             cost, log = value[p], self._log
-            live = [(b, log[s][sign][1], x + log[s][sign][0] - cost) for b, s, x in live]
+            live = [way for b, s, x in live
+                    if (way := (b, log[s][sign][1], x + log[s][sign][0] - cost))[2] + hope[way[1]] > 0]
             if len(live) > 1:
                 best, young = {}, []
                 for way in live:
@@ -247,15 +343,19 @@ class Automaton:
 
 
 class Formats:
-    """Automata of all labelled formats, beside those of ordinary kinds and one of single signs."""
+    """Automata of all labelled formats, beside those of ordinary and of harmless kinds and one of single signs."""
 
     def __init__(self, credentials: list[tuple[str, str]], ordinary: dict[str, list[str]] = ORDINARY,
-                 alpha: float = ALPHA):
+                 harmless: list[tuple[str, str]] | None = None):
         by = defaultdict(list)
         for name, text in credentials:
             by[name].append(text)
-        self.automata = {name: Automaton(words, alpha) for name, words in by.items()}
-        self.ordinary = [Automaton(words, alpha) for words in ordinary.values()]
+        self.automata = {name: Automaton(words) for name, words in by.items()}
+        by = defaultdict(list)
+        for name, text in drawn(HARMLESS, PER_FORMAT, SEED) if harmless is None else harmless:
+            by[name].append(text)
+        self.ordinary = [Automaton(words, places=False) for words in ordinary.values()]
+        self.ordinary += [Automaton(words) for words in by.values()]
         # words all in capitals and rules are kinds of their own: in with the others they would hide mixed tokens
         signs = Counter(CLASS_OF[c] for name, words in ordinary.items() if name not in APART
                         for word in words for c in word)
@@ -282,7 +382,7 @@ class Formats:
         ends = [i for i in range(SHORTEST, len(run)) if signs[i] in MARKS] + [len(run)]
         found = {}
         for a in self.automata.values():
-            for x, b, e in a.ways(run, signs, value, begins, ends):
+            for x, b, e in a.ways(run, signs, value, begins, ends, a.hope(self.plain, least)):
                 found[b, e] = max(x, found.get((b, e), x))
         # best[i]: highest sum over the spans that end at or before the i-th end
         stops = sorted({e for _, e in found})

@@ -164,6 +164,65 @@ def test_ordinary_runs_are_no_credentials_and_long_runs_end():
         assert formats.spans(run) == [], run[:60]
 
 
+def test_formats_keep_length_and_separators():
+    import math
+    import random
+    formats, rng = secrets.Formats(secrets.labelled_credentials()), random.Random(7)
+    signs = secrets.UPPER + secrets.LOWER + secrets.DIGITS
+
+    def token(start, n):
+        return start + "".join(rng.choice(signs) for _ in range(n))
+
+    def found(start, n):
+        return sum(formats.spans(x) == [(0, len(x))] for x in (token(start, n) for _ in range(40)))
+    assert found("ghp_", 36) == 40 and found("sk-", 44) == 40
+    for start, n in (("ghp_", 20), ("ghp_", 35), ("ghp_", 37), ("ghp_", 60), ("ghp_", 100), ("sk-", 20), ("sk-", 60), ("Qm", 44),
+                     ("", 22), ("", 30), ("", 46)):
+        assert not any(formats.spans(token(start, n)) for _ in range(40)), (start, n)
+    for x in (token("xoxb-", 37), "commit-" + "0a1b2c3d4e" * 4, "0a1b2c3d-4e5f-6a7b-8c9d-0e1f2a3b4c5d"):
+        assert formats.spans(x) == [], x
+    # where every credential has one length, only the last place ends
+    for name, (start, runs) in secrets.FORMATS.items():
+        if all(low == high for _, low, high in runs):
+            log = formats.automata[name]._log
+            assert sum(moves[None][0] > -math.inf for moves in log.values()) == 1, name
+            assert len(log) == sum(low for _, low, _ in runs) + 1, name
+
+
+def test_spans_against_every_candidate_scored_alone():
+    import random
+    formats, rng = secrets.Formats(secrets.labelled_credentials(300)), random.Random(11)
+    unseen, plain = [t for _, t in secrets.labelled_credentials(4, seed=5)], VOCAB + ["Page2.html", "en/12", "a1", "X" * 20, "Zq8"]
+
+    def best(run):
+        """Highest sum over sets of candidates without overlap."""
+        value = formats.beside(run, [secrets.CLASS_OF[c] for c in run], secrets.LEAST_BITS)
+        begins = {0} | {i for i in range(1, len(run)) if run[i - 1] in secrets.MARKS}
+        ends = {i for i in range(len(run)) if run[i] in secrets.MARKS} | {len(run)}
+        score = {}
+        for a in formats.automata.values():
+            own = begins if not a.start else {i for i in range(len(run)) if run.startswith(a.start, i)}
+            for b in own:
+                for e in ends:
+                    if e - b >= secrets.SHORTEST:
+                        x = a.bits(run[b:e]) - sum(value[b:e])
+                        before, after = run[b - 1:b], run[e:e + 1]
+                        x -= secrets.INNER_BITS * bool(b and (before not in secrets.MARKS or before in a.seen))
+                        x -= secrets.INNER_BITS * bool(e < len(run.rstrip(secrets.MARKS)) and secrets.CLASS_OF[after] in a.seen)
+                        score[b, e] = max(x, score.get((b, e), 0))
+        top = [0.0] * (len(run) + 1)
+        for e in range(1, len(run) + 1):
+            top[e] = max([top[e - 1]] + [top[b] + x for (b, f), x in score.items() if f == e])
+        return top[-1], score
+    for _ in range(150):
+        run = "".join(rng.choice(unseen if rng.random() < 0.4 else plain) + rng.choice([".", "=", "/", "_", "-", ""])
+                      for _ in range(rng.randint(1, 5)))
+        want, score = best(run)
+        got = formats.spans(run)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        assert abs(sum(score[s] for s in got) - want) < 1e-6, run
+
+
 def test_secrets_of_hard_rows(hard, none):
     assert secrets.find_secrets(hard).count() == hard.count()
     assert secrets.find_secrets(none).count() == 0
