@@ -262,6 +262,39 @@ def test_url_model_on_unseen_hosts(spark):
     assert list(got) == ["block"] * 4 + ["allow"] * 4
 
 
+def test_url_grams_against_slices(spark):
+    from pyspark.sql import functions as F
+    rows = [("a.b", "/en/12"), ("", ""), ("x", "/"), ("\U0001f600é-host.org", "/\U0001f600\n/9"), ("h", "/" + "ab/1" * 20_000)]
+    got = urls._featured(spark.createDataFrame(rows, "host string, path string")).withColumn(
+        "grams", F.array_sort("grams")).select("grams").collect()
+    for (host, path), r in zip(rows, got):
+        name, place = f"^{host}$", re.sub("[0-9]", "0", path)
+        want = {m + t[i:i + n] for m, t in (("h:", name), ("p:", place)) for n in urls.GRAMS for i in range(len(t) - n + 1)}
+        assert set(r.grams) == want and len(r.grams) == len(want)
+
+
+def test_url_model_on_words_left_out(spark):
+    """Every fourth word is left out of the fit in turn; none of its rows, nor pairs with it, were seen."""
+    table = [(r.url, r.label, r.word) for r in urls.labelled(spark).collect()]
+    words = sorted({w for *_, w in table})
+    caught = marked = blocked = 0
+    for turn in range(4):
+        out = set(words[turn::4])
+
+        def touched(url):
+            return out & set(re.split("[./-]", url))
+        seen = [r for r in table if not touched(r[0]) and r[2] not in out]
+        unseen = [(k, u, y) for k, (u, y, w) in enumerate(table) if w in out]
+        pages = spark.createDataFrame(unseen, "page_id long, url string, label double")
+        fit = urls.judge(pages, spark.createDataFrame(seen, "url string, label double, word string"), rules=[])
+        verdict = {r.page_id: r.verdict for r in fit.collect()}
+        blocked += sum(y == 1 for _, _, y in unseen)
+        marked += sum(v == "block" for v in verdict.values())
+        caught += sum(verdict[k] == "block" and y == 1 for k, _, y in unseen)
+    print("precision", caught / marked, "recall", caught / blocked)
+    assert caught >= 0.6 * marked and caught >= 0.5 * blocked
+
+
 def test_features_ignore_everything_but_text():
     row, term = toxicity.terms(pa.array(["a b", None, "A, b!"]))
     assert set(term[row == 0]) == set(term[row == 2]) and not (row == 1).any()
