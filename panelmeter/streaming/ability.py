@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -91,3 +92,47 @@ def outcome_changes(responses: DataFrame, order: str = "ord") -> DataFrame:
     return keyed.groupBy("rater", "item").transformWithStateInPandas(
         statefulProcessor=_LastOutcome(), outputStructType=schema, outputMode="Append",
         timeMode="None")
+
+
+class _Answered(StatefulProcessor):
+    """All items of a rater with their last outcomes; told whole when the rater answers."""
+
+    CHUNK = 10_000
+
+    def __init__(self, item_type: str):
+        self.item_type = item_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", f"item {self.item_type}", "y int, ord bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values
+                        ) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            newest = pdf.sort_values("ord", kind="stable").drop_duplicates("item", keep="last")
+            for item, y, order in zip(newest["item"].tolist(), newest["y"].tolist(), newest["ord"].tolist()):
+                old = self.last.getValue((item,)) if self.last.containsKey((item,)) else None
+                if old is None or order >= old[1]:
+                    self.last.updateValue((item,), (y, order))
+        told = self.last.iterator()
+        while part := [(k[0], v[0]) for k, v in islice(told, self.CHUNK)]:
+            yield pd.DataFrame({"rater": [key[0]] * len(part), "item": [p[0] for p in part],
+                                "y": [p[1] for p in part]})
+
+    def close(self) -> None:
+        pass
+
+
+def answered_so_far(responses: DataFrame, order: str = "ord") -> DataFrame:
+    """(rater, item, y): the last outcomes of every rater who answers in a micro-batch, old and new.
+
+    State is one map item -> outcome per rater, so both the rater's ability and what is
+    left to ask follow from a batch alone, and nothing that arrives later can be known.
+    A map has at most one entry per item of the bank. Responses without rater, item or y
+    are left out; an outcome that arrives late does not undo a later one.
+    """
+    keyed = responses.where("rater IS NOT NULL AND item IS NOT NULL AND y IS NOT NULL").select(
+        "rater", "item", F.col("y").cast("int").alias("y"), F.col(order).cast("bigint").alias("ord"))
+    schema = T.StructType([keyed.schema["rater"], keyed.schema["item"], T.StructField("y", T.IntegerType())])
+    return keyed.groupBy("rater").transformWithStateInPandas(
+        statefulProcessor=_Answered(keyed.schema["item"].dataType.simpleString()), outputStructType=schema,
+        outputMode="Append", timeMode="None")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.posterior import theta_posterior
 from ..operators.selection import next_item
 from ..session import scratch_path
 
@@ -38,7 +39,16 @@ def latest_per_key(written: DataFrame, keys: Sequence[str]) -> DataFrame:
             .drop("_n", "batch"))
 
 
-def next_item_writer(curves: DataFrame, administered: Callable[[], DataFrame], path: str,
-                     k: int = 1):
-    """foreachBatch function: next items of every rater whose posterior moved."""
-    return _batch_writer(path, lambda posts: next_item(posts, curves, administered(), k))
+def next_item_writer(curves: DataFrame, path: str, k: int = 1):
+    """foreachBatch function over answered_so_far: next items of every rater of the batch.
+
+    Writes (rater, rank, item) per batch below `path`/batch=<id>. The outcomes of the batch
+    are written first, as they are read twice: for the posterior and for what is left.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        told = f"{path}-told/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(told)
+        known = batch.sparkSession.read.schema(batch.schema).parquet(told)
+        posts = theta_posterior(known, curves)
+        next_item(posts, curves, known, k).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write

@@ -13,7 +13,7 @@ from ..operators.regression import standardise
 from ..plans.adaptive import REFERENCE_ITEMS, ies_report
 from ..session import cut_lineage, parallelism, scratch_path
 from ..sources import read_commands, read_frames, write_windows
-from ..streaming import (drain, event_windows, latest_per_key, next_item_writer, outcome_changes,
+from ..streaming import (answered_so_far, drain, event_windows, latest_per_key, next_item_writer, outcome_changes,
                          running_pass_rate, track_ability)
 from .base import (BANK, PANEL, RATE, SIZE, TYPES, panel, plain_bank, rate_score, rd, register, rsql,
                    sig_sql, size_score, types)
@@ -600,11 +600,11 @@ _ARRIVALS = 3
 
 
 def _stream(spark, sf):
-    """The events as a source that arrives in order of time, a third of the files a batch."""
+    """The events as a source that arrives in order of time, a third of the time a batch."""
     source = spark.read.parquet(f"{sf}/events.parquet")
     stamp = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = source.select(stamp.alias("t")).approxQuantile(
-        "t", [k / _ARRIVALS for k in range(1, _ARRIVALS)], 0.01)
+    low, high = source.select(F.min(stamp), F.max(stamp)).first()
+    cuts = [] if low is None else [low + (high - low) * k // _ARRIVALS for k in range(1, _ARRIVALS)]
     part = sum((F.when(stamp > c, 1).otherwise(0) for c in cuts), F.lit(0))
     path, files = scratch_path(spark, "arrivals"), parallelism(spark)
     for k in range(_ARRIVALS):
@@ -644,20 +644,26 @@ def x2(spark, sf):
         F.sum("weight").cast("bigint").alias("weight"))
 
 
-_LEFT = "(SELECT DISTINCT rater, item FROM resp)"
+# Batch by batch: a rater as of a batch is a rater of its own, known by what arrived until then.
+_REPLAY = f"""lim AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM resp),
+arr AS MATERIALIZED (SELECT rater, item, y, ord, {" + ".join(
+    f"(epoch_us(ts) > lo + (hi - lo) * {k} // {_ARRIVALS})::INTEGER" for k in range(1, _ARRIVALS))} AS k FROM resp, lim),
+act AS (SELECT DISTINCT rater, k AS batch FROM arr),
+early AS MATERIALIZED (SELECT a.rater * {_ARRIVALS} + batch AS rater, item, arg_max(y, ord) AS y
+  FROM act JOIN arr a ON a.rater = act.rater AND k <= batch GROUP BY a.rater, batch, item)"""
 
 
-@register("x3_next_item_stream", f"""WITH {_RESP}, {_EV_BANK}, {_CURVES}, {_post_sql('resp')}, early AS {_LEFT}, {_EIG}
-SELECT rater, rank, item FROM top WHERE rank <= 2""")
+@register("x3_next_item_stream", f"""WITH {_RESP}, {_EV_BANK}, {_CURVES}, {_REPLAY}, {_post_sql('early')}, {_EIG}
+SELECT rater // {_ARRIVALS} AS rater, rater % {_ARRIVALS} AS batch, rank, item FROM top WHERE rank <= 2""")
 def x3(spark, sf):
+    # items after every batch, from the outcomes that have arrived by then
     curves = _event_curves(spark, sf)
-    seen = _responses(spark.read.parquet(f"{sf}/events.parquet")).select("rater", "item").distinct()
     path, state = scratch_path(spark, "next"), scratch_path(spark, "next-state")
-    query = (track_ability(_stream(spark, sf), curves).writeStream.outputMode("update")
+    query = (answered_so_far(_stream(spark, sf)).writeStream.outputMode("append")
              .trigger(availableNow=True).option("checkpointLocation", state)
-             .foreachBatch(next_item_writer(curves, lambda: seen, path, 2)).start())
+             .foreachBatch(next_item_writer(curves, path, 2)).start())
     query.awaitTermination()
-    return latest_per_key(spark.read.parquet(path), ["rater", "rank"]).select("rater", "rank", "item")
+    return spark.read.parquet(path).select("rater", F.col("batch").cast("bigint").alias("batch"), "rank", "item")
 
 
 @register("x4_event_windows", f"""WITH {_RESP},

@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmeter.operators import posterior as B, tracks as T
+from panelmeter.operators.selection import next_item
 from panelmeter.session import cut_lineage, scratch_path
 from panelmeter.sources.frames import BOX_TYPE
-from panelmeter.streaming import (drain, event_windows, latest_per_key, outcome_changes,
-                                  running_pass_rate, track_ability)
+from panelmeter.streaming import (answered_so_far, drain, event_windows, latest_per_key, next_item_writer,
+                                  outcome_changes, running_pass_rate, track_ability)
 
 
 def box(cls, id_, x, y, yaw=0.0, speed=1.0, extent=(2.0, 1.0)):
@@ -149,6 +150,36 @@ def test_stream_equals_batch(spark, log):
     assert rate.agg(F.sum("n_obs")).first()[0] == 120
 
 
+def test_next_items_know_only_what_has_arrived(spark):
+    """Three batches: an outcome that arrives late, repeated and null rows, a rater who answers the whole bank."""
+    schema = "rater string, item bigint, y int, ord bigint"
+    parts = [[("r", 1, 1, 10), ("r", 2, 0, 11), ("s", 1, 0, 12), (None, 1, 1, 13), ("r", None, 1, 14), ("r", 3, None, 15)],
+             [("r", 2, 1, 5), ("r", 3, 1, 20), ("r", 3, 1, 20), ("r", 1, 0, 21)],
+             [("s", k, k % 2, 30 + k) for k in (2, 3, 4)]]
+    bank = spark.createDataFrame([(k, k - 2.5, 1.0, 0.3) for k in range(1, 5)], "item bigint, b double, a double, s double")
+    curves = cut_lineage(B.item_curves(bank), "curves")
+    path, out, state = scratch_path(spark, "in"), scratch_path(spark, "next"), scratch_path(spark, "state")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    told = {(r.batch, r.rater, r.item): r.y for r in drain(answered_so_far(stream()), "append", "told").collect()}
+    assert told == {(0, "r", 1): 1, (0, "r", 2): 0, (0, "s", 1): 0, (1, "r", 1): 0, (1, "r", 2): 0, (1, "r", 3): 1,
+                    (2, "s", 1): 0, (2, "s", 2): 0, (2, "s", 3): 1, (2, "s", 4): 0}
+    (answered_so_far(stream()).writeStream.trigger(availableNow=True).option("checkpointLocation", state)
+     .foreachBatch(next_item_writer(curves, out, 2)).start().awaitTermination())
+    got = {(r.batch, r.rater, r["rank"]): r.item for r in spark.read.parquet(out).collect()}
+    want = {}
+    for k in range(3):
+        known = spark.createDataFrame([(x, i, y) for (b, x, i), y in told.items() if b == k], "rater string, item bigint, y int")
+        for r in next_item(B.theta_posterior(known, curves), curves, known, 2).collect():
+            want[k, r.rater, r["rank"]] = r.item
+    assert got == want
+    assert {k[:2] for k in got} == {(0, "r"), (0, "s"), (1, "r")} and got[1, "r", 1] == 4
+
+
 def test_late_records_are_dropped(spark):
     rows = [("s", 100 + k, 1.0) for k in range(20)]
     late = [("s", 5, 9.0)]
