@@ -389,20 +389,32 @@ def calibrate_failures(panel: DataFrame, *, tol: float, max_sweeps: int,
                        **kw) -> tuple[DataFrame, DataFrame]:
     """1PL on failure-coded cells, P(fail) = sigmoid(b - theta), both centred."""
     coded = panel.select("item", "rater", (1 - F.col("fail")).alias("y"))
-    return center_both(calibrate_many(coded, model="1pl", tol=tol, max_sweeps=max_sweeps, **kw))
+    fit = calibrate_many(coded, model="1pl", tol=tol, max_sweeps=max_sweeps, **kw)
+    return center_both(converged(fit, tol))
 
 
 def reference_difficulty(panel: DataFrame, *, tol: float, max_sweeps: int) -> DataFrame:
-    """(item, b) of a 1PL fit over the whole panel, centred on mean ability."""
-    return center_b(calibrate(panel, model="1pl", tol=tol, max_sweeps=max_sweeps)
-                    ).select("item", "b")
+    """(item, b) of a 1PL fit over the whole panel, centred on mean ability.
+
+    An error if max_sweeps do not reach the tolerance; so for every table below that is made of a fit.
+    """
+    fit = calibrate(panel, model="1pl", tol=tol, max_sweeps=max_sweeps)
+    return center_b(converged(fit, tol)).select("item", "b")
 
 
 def difficulty_sd(panel: DataFrame, fit: Fit, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(fit_id, item, s) with s = 1/sqrt(sum a^2 p(1-p) + 0.01)."""
+    """(fit_id, item, s) with s = 1/sqrt(sum a^2 p(1-p) + 0.01).
+
+    Parameters reach the cells as in a sweep: broadcast once their rows are counted,
+    else by item-blocks x rater-blocks. An item without a cell keeps the ridge.
+    """
     items = fit.items.select("fit_id", "item", "b", F.exp("loga").alias("a"))
     p = sig(F.col("a") * (F.col("theta") - F.col("b")))
-    info = (panel.join(items, "item").join(fit.raters, ["fit_id", "rater"])
+    size = fit.meta.agg(F.sum("n_items").alias("items"), F.sum("n_raters").alias("raters")).first()
+    partitions = parallelism(panel.sparkSession)
+    layout = _layout(size["items"] or 0, size["raters"] or 0, broadcast_rows, partitions)
+    cells = layout.join_items(layout.place_cells(panel.select("item", "rater"), partitions), items, ["item"])
+    info = (layout.join_raters(cells, fit.raters, ["fit_id", "rater"])
             .withColumn("p", p).groupBy("fit_id", "item")
             .agg(F.sum(F.col("a") ** 2 * F.col("p") * (1 - F.col("p"))).alias("info")))
     return items.select("fit_id", "item").join(info, ["fit_id", "item"], "left").select(
@@ -412,7 +424,7 @@ def difficulty_sd(panel: DataFrame, fit: Fit, broadcast_rows: int = BROADCAST_RO
 
 def calibrated_bank(panel: DataFrame, *, tol: float, max_sweeps: int) -> DataFrame:
     """(item, b, a, s) of a 2PL fit, centred, with the SD of each difficulty."""
-    fit = calibrate(panel, model="2pl", tol=tol, max_sweeps=max_sweeps)
+    fit = converged(calibrate(panel, model="2pl", tol=tol, max_sweeps=max_sweeps), tol)
     _, items = center_both(fit)
     sd = difficulty_sd(panel, fit)
     return (items.join(sd, ["fit_id", "item"])

@@ -17,12 +17,14 @@ from ..session import cut_lineage
 from .base import (BANK, PANEL, RATE, SIZE, TYPES, auroc_sql, panel, plain_bank, rank_sql, rate_score,
                    rd, register, rsql, sig_sql, size_score, types)
 
-SWEEPS = 8          # both engines take exactly these sweeps from zero
-TOL_MANY, MOST_SWEEPS = 1e-6, 60      # many fits run until no parameter moves by this much
+# Fits run until no parameter moves by the tolerance, and fail if that takes too many sweeps.
+TOL, TOL_MANY, MOST_SWEEPS = 1e-11, 1e-6, 60
+SWEEPS = {"1pl": 12, "2pl": 15}       # sweeps of the SQL, past that tolerance on these tables
 
 
 def _fit(spark, sf, model):
-    return C.calibrate(panel(spark, sf), model=model, tol=0.0, max_sweeps=SWEEPS)
+    fit = C.calibrate(panel(spark, sf), model=model, tol=TOL, max_sweeps=MOST_SWEEPS)
+    return C.converged(fit, TOL)
 
 
 # --- the same sweeps in SQL -------------------------------------------------------
@@ -33,13 +35,13 @@ fi AS MATERIALIZED (SELECT DISTINCT fit_id, item FROM cc),
 fr AS MATERIALIZED (SELECT DISTINCT fit_id, rater FROM cc)"""
 
 
-def sweeps_sql(model: str, sweeps: int = SWEEPS, tag: str = "", start: tuple[str, str] | None = None) -> str:
+def sweeps_sql(model: str, sweeps: int | None = None, tag: str = "", start: tuple[str, str] | None = None) -> str:
     """CTEs r<k> (fit_id, rater, theta) and i<k> (fit_id, item, b, loga) after k sweeps.
 
     tag goes before every name, also those of the cells cc and members fi, fr; start gives
     the relations (rater, theta) and (item, b, loga) that a warm start takes values from.
     """
-    two, t = model == "2pl", tag
+    two, t, sweeps = model == "2pl", tag, sweeps or SWEEPS[model]
     first_r, first_i = "0::DOUBLE AS theta", "0::DOUBLE AS b, 0::DOUBLE AS loga"
     from_r, from_i = f"{t}fr", f"{t}fi"
     if start:
@@ -155,19 +157,19 @@ fr AS MATERIALIZED (SELECT DISTINCT fit_id, rater FROM cc),
 def c8(spark, sf):
     mask = spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal > 0").select(
         F.col("s_suppkey").alias("rater"))
-    fit = C.calibrate_panel(panel(spark, sf), None, mask, model="1pl", tol=0.0, max_sweeps=SWEEPS)
-    return C.center_b(fit).select("item", rd("b").alias("b"))
+    fit = C.calibrate_panel(panel(spark, sf), None, mask, model="1pl", tol=TOL, max_sweeps=MOST_SWEEPS)
+    return C.center_b(C.converged(fit, TOL)).select("item", rd("b").alias("b"))
 
 
 @register("c9_calibrate_failures", f"{FIT1} SELECT rater, {rsql('theta - m')} AS theta FROM rz JOIN mz USING (fit_id)")
 def c9(spark, sf):
-    raters, _ = C.calibrate_failures(as_failure(panel(spark, sf)), tol=0.0, max_sweeps=SWEEPS)
+    raters, _ = C.calibrate_failures(as_failure(panel(spark, sf)), tol=TOL, max_sweeps=MOST_SWEEPS)
     return raters.select("rater", rd("theta").alias("theta"))
 
 
 @register("c10_reference_difficulty", f"{FIT1} SELECT item, {rsql('b - m')} AS b FROM iz JOIN mz USING (fit_id)")
 def c10(spark, sf):
-    return C.reference_difficulty(panel(spark, sf), tol=0.0, max_sweeps=SWEEPS).select(
+    return C.reference_difficulty(panel(spark, sf), tol=TOL, max_sweeps=MOST_SWEEPS).select(
         "item", rd("b").alias("b"))
 
 
@@ -186,7 +188,7 @@ def c11(spark, sf):
 SELECT item, {rsql('b - m')} AS b, {rsql('exp(loga)')} AS a, {rsql('s')} AS s
 FROM iz JOIN mz USING (fit_id) JOIN sd USING (item)""")
 def c12(spark, sf):
-    bank = C.calibrated_bank(panel(spark, sf), tol=0.0, max_sweeps=SWEEPS)
+    bank = C.calibrated_bank(panel(spark, sf), tol=TOL, max_sweeps=MOST_SWEEPS)
     return bank.select("item", *[rd(c).alias(c) for c in ("b", "a", "s")])
 
 
