@@ -1,9 +1,20 @@
-"""Ability posterior on a grid and the success rate it implies."""
+"""Ability posterior on a grid and the success rate it implies.
+
+What a rater's responses add up to is asked for in one of two ways. From a bank
+(item, b, a, s), responses carry three parameters each, are ordered by rater and
+item over equal ranges, and the curves are made where they are summed: a range
+sends one vector per rater in it, however many responses that rater has, and a
+rater with a third of all responses is simply many ranges. From ready curves
+(item, m), for curves of another kind, each response is joined to its vector.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -17,6 +28,7 @@ from ..session import cut_lineage, parallelism
 
 INTERVAL = (0.025, 0.975)     # fixed value: 95 % interval
 CURVE_CHUNK = 256             # items whose node table is in memory at once
+CURVES_KEPT = 32_768          # curves a task remembers (64 MB); more are made again
 STEP_BLOCK = 1_000            # steps of one rater that are accumulated in one group
 
 
@@ -24,22 +36,26 @@ def _np_sig(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -SIG_BOUND, SIG_BOUND)))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _curve(b: pd.Series, a: pd.Series, s: pd.Series) -> pd.Series:
+def _curve_rows(b: np.ndarray, a: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """One row of grid chances per item."""
     grid = ability_grid()
     x, w = difficulty_nodes()
-    out = []
+    out = np.empty((len(b), GRID_SIZE))
     for k in range(0, len(b), CURVE_CHUNK):
-        bb, aa, ss = (v.iloc[k:k + CURVE_CHUNK].to_numpy(dtype=float)[:, None]
-                      for v in (b, a, s))
+        bb, aa, ss = (v[k:k + CURVE_CHUNK, None] for v in (b, a, s))
         plain = _np_sig(aa * (grid[None, :] - bb))
         wide = ss[:, 0] > 0
         if wide.any():
             drawn = bb[wide] + ss[wide] * x[None, :]
             z = aa[wide][:, :, None] * (grid[None, :, None] - drawn[:, None, :])
             plain[wide] = _np_sig(z) @ w
-        out.extend(plain)
-    return pd.Series(out)
+        out[k:k + CURVE_CHUNK] = plain
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _curve(b: pd.Series, a: pd.Series, s: pd.Series) -> pd.Series:
+    return pd.Series(list(_curve_rows(*(v.to_numpy(dtype=float) for v in (b, a, s)))))
 
 
 def item_curves(bank: DataFrame, marginalise: bool = True) -> DataFrame:
@@ -76,6 +92,110 @@ def _item_vectors(curves: DataFrame, moments: bool = False) -> DataFrame:
                                    array_to_vector("f").alias("v_fail")), "itemvectors")
 
 
+class _Curves:
+    """Curves by parameters; a bounded number is remembered within a task."""
+
+    def __init__(self, kept: int = CURVES_KEPT):
+        self.kept, self.n = kept, 0
+        self.place: dict[tuple, int] = {}
+        self.rows = np.empty((0, GRID_SIZE))
+
+    def of(self, params: np.ndarray) -> np.ndarray:
+        """(rows, grid) for rows of b, a, s."""
+        own, at = np.unique(params, axis=0, return_inverse=True)
+        keys = list(map(tuple, own.tolist()))
+        new = [k for k, key in enumerate(keys) if key not in self.place]
+        if self.n + len(new) > self.kept:
+            self.place, self.n, new = {}, 0, list(range(len(keys)))
+        if self.n + len(new) > len(self.rows):
+            more = np.empty((max(self.n + len(new), min(2 * len(self.rows), self.kept)), GRID_SIZE))
+            more[:self.n] = self.rows[:self.n]
+            self.rows = more
+        self.rows[self.n:self.n + len(new)] = _curve_rows(*own[new].T)
+        self.place.update((keys[k], self.n + i) for i, k in enumerate(new))
+        self.n += len(new)
+        return self.rows[np.array([self.place[key] for key in keys], dtype=int)[at.reshape(-1)]]
+
+
+def _outcome_sums(moments: bool) -> Callable:
+    """Sums of what responses add, per rater of a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        curves = _Curves()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, a, s, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "a", "s", "y"))
+            m = curves.of(np.stack([b, a, s], axis=1))
+            parts = [np.log(np.where(y[:, None] == 1, m, 1 - m) + LIKELIHOOD_FLOOR)]
+            if moments:
+                spread = m * (1 - m)
+                parts += [m, spread, spread * (1 - 2 * m)]
+            # dictionary codes keep ids of any type as they are, also null ones
+            raters = batch.column("rater").dictionary_encode(null_encoding="encode")
+            code = raters.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            v = np.hstack([np.add.reduceat(part[order], first, axis=0) for part in parts])
+            offsets = np.arange(0, v.size + 1, v.shape[1], dtype="int32")
+            passed = np.add.reduceat(np.nan_to_num(y)[order], first)
+            yield pa.RecordBatch.from_arrays(
+                [raters.dictionary, pa.ListArray.from_arrays(offsets, v.reshape(-1)), pa.array(passed),
+                 pa.array(np.diff(np.r_[first, len(y)]), pa.int64())], ["rater", "v", "passed", "n"])
+    return run
+
+
+def _bank_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cumulants of the outcomes of all items of a batch."""
+    for pdf in batches:
+        if len(pdf):
+            m = _curve_rows(*pdf[["b", "a", "s"]].to_numpy(dtype=float).T)
+            spread = m * (1 - m)
+            v = np.hstack([m.sum(0), spread.sum(0), (spread * (1 - 2 * m)).sum(0)])
+            yield pd.DataFrame({"v": [v], "n": [len(pdf)]})
+
+
+def _parameters(bank: DataFrame) -> DataFrame:
+    return bank.select("item", *[F.col(c).cast("double").alias(c) for c in ("b", "a", "s")])
+
+
+def response_sums(responses: DataFrame, bank: DataFrame, moments: bool = False) -> DataFrame:
+    """(rater, v, passed, n_administered) for settled responses.
+
+    v is the log-likelihood at every grid point, with moments followed by the three
+    cumulants of the outcome. bank is (item, b, a, s) or (item, m), see above. Items
+    outside the bank are ignored.
+    """
+    if "m" in bank.columns:
+        parts = responses.join(_item_vectors(bank, moments), "item").select(
+            "rater", F.expr("IF(y = 1, v_pass, v_fail)").alias("v"),
+            F.col("y").cast("double").alias("passed"), F.lit(1).alias("n"))
+    else:
+        known = responses.select("rater", "item", F.col("y").cast("double").alias("y")).join(
+            _parameters(bank), "item")
+        # item is part of the key, so one rater may fill many ranges
+        placed = known.repartitionByRange(parallelism(responses.sparkSession), "rater", "item").sortWithinPartitions(
+            "rater")
+        kind = responses.schema["rater"].dataType.simpleString()
+        parts = placed.select("rater", "y", "b", "a", "s").mapInArrow(
+            _outcome_sums(moments), f"rater {kind}, v array<double>, passed double, n bigint").select(
+                "rater", array_to_vector("v").alias("v"), "passed", "n")
+    return parts.groupBy("rater").agg(
+        vector_to_array(Summarizer.sum(F.col("v"))).alias("v"), F.sum("passed").alias("passed"),
+        F.sum("n").alias("n_administered"))
+
+
+def _bank_totals(bank: DataFrame) -> tuple[list[float], int]:
+    """Cumulants over the whole bank at every grid point, and its number of items."""
+    if "m" in bank.columns:
+        parts = bank.select(F.expr(f"concat({', '.join(_cumulants())})").alias("v"), F.lit(1).alias("n"))
+    else:
+        spread = _parameters(bank).repartition(parallelism(bank.sparkSession), "item")
+        parts = spread.mapInPandas(_bank_sums, "v array<double>, n bigint")
+    whole = parts.agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"),
+                      F.sum("n").alias("n")).first()
+    return (list(whole["v"]), whole["n"]) if whole["n"] else ([0.0] * (3 * GRID_SIZE), 0)
+
+
 def last_outcome(responses: DataFrame, order: str = "step") -> DataFrame:
     """The last outcome per (rater, item), as a mapping from item to outcome keeps it."""
     return responses.groupBy("rater", "item").agg(F.max_by("y", order).alias("y"))
@@ -101,20 +221,18 @@ def posterior_from_loglik(sums: DataFrame, ll: str = "ll", keep=("rater",)) -> D
             .selectExpr(*keep, "transform(q, v -> v / total) AS post"))
 
 
-def theta_posterior(responses: DataFrame, curves: DataFrame,
+def theta_posterior(responses: DataFrame, bank: DataFrame,
                     raters: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """(rater, post, n_administered). Raters without a usable response get the prior.
 
-    Of repeated outcomes the last counts, see `settled`.
+    bank is (item, b, a, s) or curves (item, m). Of repeated outcomes the last counts,
+    see `settled`.
 
     Log-likelihoods add up, so each rater is one vector sum with partial sums on
     the map side: nothing is gathered per rater, however long its log.
     """
-    each = settled(responses, order).join(_item_vectors(curves), "item").select(
-        "rater", F.expr("IF(y = 1, v_pass, v_fail)").alias("v"))
-    sums = each.groupBy("rater").agg(
-        Summarizer.sum(F.col("v")).alias("v"), F.count("*").alias("n_administered"))
-    sums = sums.select("rater", vector_to_array("v").alias("ll"), "n_administered")
+    sums = response_sums(settled(responses, order), bank).select(
+        "rater", F.col("v").alias("ll"), "n_administered")
     if raters is not None:
         sums = raters.select("rater").join(sums, "rater", "left")
     sums = sums.withColumn("n_administered", F.coalesce("n_administered", F.lit(0)))
@@ -185,11 +303,12 @@ def _cumulants(m: str = "m") -> list[str]:
             f"transform({m}, x -> x * (1 - x) * (1 - 2 * x))"]
 
 
-def success_rate(responses: DataFrame, curves: DataFrame,
+def success_rate(responses: DataFrame, bank: DataFrame,
                  raters: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Posterior and success rate over the bank, all raters in one job.
 
-    Of repeated outcomes the last counts, see `settled`.
+    bank is (item, b, a, s) or curves (item, m). Of repeated outcomes the last counts,
+    see `settled`.
 
     Observed outcomes count as they are, the others follow their curves. Per
     grid point the number of passes among unanswered items is a sum of
@@ -198,21 +317,15 @@ def success_rate(responses: DataFrame, curves: DataFrame,
     interval inverts the mixture of these counts.
     Returns rater, post, n_administered, n_bank, sr_mean, sr_se, sr_lo, sr_hi.
     """
-    items = _item_vectors(curves, moments=True)
-    whole = items.agg(vector_to_array(Summarizer.sum(F.col("v_pass"))).alias("bank_c"),
-                      F.count("*").alias("n_bank")).first()
-    each = settled(responses, order).join(items, "item").selectExpr(
-        "rater", "y", "IF(y = 1, v_pass, v_fail) AS v")
-    sums = each.groupBy("rater").agg(
-        vector_to_array(Summarizer.sum(F.col("v"))).alias("v"),
-        F.sum(F.col("y").cast("double")).alias("passed"), F.count("*").alias("n_administered"))
+    totals, n_bank = _bank_totals(bank)
+    sums = response_sums(settled(responses, order), bank, moments=True)
     if raters is not None:
         sums = raters.select("rater").join(sums, "rater", "left")
     n = GRID_SIZE
-    bank_c = F.array(*[F.lit(float(x)) for x in whole["bank_c"][n:]])
+    bank_c = F.array(*[F.lit(float(x)) for x in totals])
     sums = (sums.withColumn("n_administered", F.coalesce("n_administered", F.lit(0)))
             .withColumn("passed", F.coalesce("passed", F.lit(0.0)))
-            .withColumn("n_bank", F.lit(whole["n_bank"]).cast("bigint")).withColumn("bank_c", bank_c)
+            .withColumn("n_bank", F.lit(n_bank).cast("bigint")).withColumn("bank_c", bank_c)
             .selectExpr("rater", "passed", "n_administered", "n_bank", f"slice(v, 1, {n}) AS ll",
                         f"IF(v IS NULL, bank_c, zip_with(bank_c, slice(v, {n + 1}, {3 * n}), "
                         "(x, y) -> x - y)) AS c"))
@@ -233,13 +346,13 @@ def success_rate(responses: DataFrame, curves: DataFrame,
         "ci.lo AS sr_lo", "ci.hi AS sr_hi")
 
 
-def estimate_raters(responses: DataFrame, curves: DataFrame,
+def estimate_raters(responses: DataFrame, bank: DataFrame,
                     raters: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Ability and success rate of every rater; items outside the bank are ignored.
 
     theta_sd belongs to theta and sr_se to the success rate; they are two columns.
     """
-    return posterior_mode(success_rate(responses, curves, raters, order)).select(
+    return posterior_mode(success_rate(responses, bank, raters, order)).select(
         "rater", "theta", "theta_sd", "sr_mean", "sr_lo", "sr_hi", "sr_se",
         "n_administered", "n_bank")
 

@@ -72,7 +72,7 @@ def b3(spark, sf):
 @register("b4_theta_posterior", f"""WITH {PANEL}, {BANK}, {_CURVES}, {_post_sql('panel')}
 SELECT rater, {rsql('sum(q * t)')} AS mean, {rsql('sum(q * q)')} AS sq FROM post GROUP BY 1""")
 def b4(spark, sf):
-    post = B.theta_posterior(panel(spark, sf), _curves(spark, sf))
+    post = B.theta_posterior(panel(spark, sf), plain_bank(spark, sf))
     step = f"({GRID_LOW}D + {GRID_STEP}D * g)"
     return post.select(
         "rater",
@@ -85,7 +85,7 @@ def b4(spark, sf):
 SELECT rater, {rsql('arg_min(t, (-q, g))')} AS theta,
   {rsql('sqrt(sum(q * t * t) - sum(q * t) ** 2)')} AS theta_sd FROM post GROUP BY 1""")
 def b5(spark, sf):
-    post = B.posterior_mode(B.theta_posterior(panel(spark, sf), _curves(spark, sf)))
+    post = B.posterior_mode(B.theta_posterior(panel(spark, sf), plain_bank(spark, sf)))
     return post.select("rater", rd("theta").alias("theta"), rd("theta_sd").alias("theta_sd"))
 
 
@@ -101,7 +101,7 @@ rs AS (SELECT rater, any_value(n) AS n, any_value(obs) AS obs, sum(q * (tot.s -
 SELECT rater, n AS n_administered, nb AS n_bank, {rsql('(obs + e1) / nb')} AS sr_mean,
   {rsql('sqrt(e2 - e1 * e1) / nb')} AS sr_se FROM rs""")
 def b6(spark, sf):
-    out = B.success_rate(_early(spark, sf), _curves(spark, sf))
+    out = B.success_rate(_early(spark, sf), plain_bank(spark, sf))
     return out.select("rater", "n_administered", "n_bank", rd("sr_mean").alias("sr_mean"),
                       rd("sr_se").alias("sr_se"))
 
@@ -110,7 +110,7 @@ def b6(spark, sf):
 SELECT rater, {rsql('theta')} AS theta, {rsql('(obs + e1) / nb')} AS sr_mean,
   {rsql('sqrt(e2 - e1 * e1) / nb')} AS sr_se, n AS n_administered, nb AS n_bank FROM rs""")
 def b10(spark, sf):
-    out = B.estimate_raters(_early(spark, sf), _curves(spark, sf))
+    out = B.estimate_raters(_early(spark, sf), plain_bank(spark, sf))
     return out.select("rater", rd("theta").alias("theta"), rd("sr_mean").alias("sr_mean"),
                       rd("sr_se").alias("sr_se"), "n_administered", "n_bank")
 
@@ -150,7 +150,7 @@ SELECT rater, {rsql('(any_value(obs) + min(high)) / any_value(nb)')} AS sr_lo,
   {rsql('(any_value(obs) + any_value(e1)) / any_value(nb)')} AS sr_mean,
   {rsql('(any_value(obs) + max(high)) / any_value(nb)')} AS sr_hi FROM b{_BISECTIONS} JOIN rs USING (rater) GROUP BY 1""")
 def b10_intervals(spark, sf):
-    out = B.estimate_raters(_early(spark, sf), _curves(spark, sf))
+    out = B.estimate_raters(_early(spark, sf), plain_bank(spark, sf))
     return out.select("rater", rd("sr_lo").alias("sr_lo"), rd("sr_mean").alias("sr_mean"),
                       rd("sr_hi").alias("sr_hi"))
 
@@ -164,7 +164,7 @@ SELECT {rsql('avg(CASE WHEN r BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END)')}
 FROM iv JOIN tr USING (rater)""")
 def m21(spark, sf):
     """How often the estimator's own interval holds the rate over all answered items."""
-    est = B.estimate_raters(_early(spark, sf), _curves(spark, sf)).select(
+    est = B.estimate_raters(_early(spark, sf), plain_bank(spark, sf)).select(
         "rater", F.col("sr_lo").alias("lo"), F.col("sr_hi").alias("hi"))
     truth = panel(spark, sf).groupBy("rater").agg(F.avg("y").alias("true_sr"))
     return metrics.coverage(est, truth).select(rd("coverage").alias("coverage"), "n_raters")
@@ -181,8 +181,7 @@ _PICK = f"WITH {PANEL}, {BANK}, {_EARLY}, {_CURVES}, {_post_sql('early')}"
 
 
 def _posts(spark, sf):
-    curves = _curves(spark, sf)
-    return B.theta_posterior(_early(spark, sf), curves), curves
+    return B.theta_posterior(_early(spark, sf), plain_bank(spark, sf)), _curves(spark, sf)
 
 
 @register("b8_information_gain", f"{_PICK}, {_EIG} SELECT rater, rank, {rsql('gain', 8)} AS gain FROM top WHERE rank <= 10")

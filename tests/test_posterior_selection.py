@@ -172,3 +172,48 @@ def test_last_outcome(spark):
     log = spark.createDataFrame([("r", "a", 1, 0), ("r", "a", 2, 1)],
                                 "rater string, item string, step int, y int")
     assert B.last_outcome(log).first()["y"] == 1
+
+
+def test_bank_and_curves_give_the_same_sums(spark, responses, bank, curves):
+    who = spark.createDataFrame([("x",), ("new",)], "rater string")
+    for use in (B.theta_posterior, B.success_rate):
+        for raters in (None, who):
+            a, b = ({r["rater"]: r.asDict() for r in use(responses, given, raters).collect()} for given in (bank, curves))
+            assert a.keys() == b.keys()
+            for rater, row in a.items():
+                for c, v in row.items():
+                    assert v == pytest.approx(b[rater][c], abs=1e-9), (rater, c)
+
+
+def test_bank_sums_of_a_hot_rater_and_of_odd_ids(spark):
+    """A rater with most responses, ids beyond 2^53, a null id, a null outcome, items outside the bank."""
+    bank = [(i, (i % 41 - 20) / 8, 0.5 + i % 7 / 5, i % 3 * 0.3) for i in range(600)]
+    big = 2 ** 60 + 1
+    rows = [(big, i, i % 2) for i in range(600)] + [(big + 1, 5, 1), (None, 5, 1), (None, 6, None), (7, 10 ** 9, 1)]
+    df = spark.createDataFrame(rows, "rater bigint, item bigint, y int").repartition(4)
+    got = {r["rater"]: r for r in B.response_sums(
+        df, spark.createDataFrame(bank, "item bigint, b double, a double, s double"), moments=True).collect()}
+    assert set(got) == {big, big + 1, None}
+    assert got[big]["n_administered"] == 600 and got[big]["passed"] == 300 and got[None]["passed"] == 1
+    m = np.array([brute_curve(*p[1:]) for p in bank])
+    y = np.arange(600)[:, None] % 2
+    want = np.r_[np.log(np.where(y == 1, m, 1 - m) + 1e-12).sum(0), m.sum(0), (m * (1 - m)).sum(0),
+                 (m * (1 - m) * (1 - 2 * m)).sum(0)]
+    assert np.allclose(got[big]["v"], want, atol=1e-9)
+    empty = B.response_sums(df.limit(0), spark.createDataFrame(bank, "item bigint, b double, a double, s double"))
+    assert empty.count() == 0
+
+
+def test_curves_forgotten_and_made_again():
+    keep = B._Curves(kept=4)
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        params = rng.integers(1, 4, (6, 3)).astype(float)
+        assert np.allclose(keep.of(params), [brute_curve(*p) for p in params])
+        assert len(keep.place) <= 6
+
+
+def test_no_vector_per_response_is_shuffled(spark, responses, bank):
+    plan = B.response_sums(responses, bank)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "rangepartitioning(rater" in below and "array" not in below[below.index("rangepartitioning"):]
