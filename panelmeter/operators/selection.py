@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.logistic import ENTROPY_FLOOR
 from ..session import cut_lineage, parallelism
-from .posterior import _np_sig
+from .posterior import _curve_rows, _np_sig
 from .rank import text_index
 
-# A task scores one block of items against one chunk of raters: at most
-# 4096 x 241 and 1024 x 241 doubles, and no pair ever becomes a row.
-ITEM_BLOCK, RATER_CHUNK, SCORE_ROWS = 4_096, 1_024, 256
+# Items that score alike are one kind. A task scores one block of kinds against one chunk
+# of raters, KIND_ROWS x SCORE_ROWS at a time, and no pair ever becomes a row.
+ITEM_BLOCK, RATER_CHUNK, KIND_ROWS, SCORE_ROWS = 16_384, 4_096, 4_096, 256
 PROBIT_LOGIT = 2.9           # fixed value: constant of the shrunk information
 GAIN_DIGITS = 12             # equal gains are equal only after rounding float noise
 
@@ -26,75 +26,123 @@ def _entropy(p: np.ndarray) -> np.ndarray:
     return -(q * np.log(q) + (1 - q) * np.log(1 - q))
 
 
-def _eig_score(raters: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
-    m = np.vstack(items["m"].to_numpy())
-    post = np.vstack(raters["post"].to_numpy())
-    return _entropy(post @ m.T) - post @ _entropy(m).T
+def _eig_score(raters: pd.DataFrame, items: pd.DataFrame) -> Callable:
+    m = (np.vstack(items["m"].to_numpy()) if "m" in items else
+         _curve_rows(*items[["b", "a", "s"]].to_numpy(dtype=float).T))
+    h = _entropy(m).T
 
+    def score(part: slice) -> np.ndarray:
+        post = np.vstack(raters["post"].iloc[part].to_numpy())
+        return _entropy(post @ m.T) - post @ h
+    return score
 
-def _fisher_score(raters: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
+
+def _fisher_score(raters: pd.DataFrame, items: pd.DataFrame) -> Callable:
     a, b = items["a"].to_numpy(dtype=float), items["b"].to_numpy(dtype=float)
-    p = _np_sig(a[None, :] * (raters["theta"].to_numpy(dtype=float)[:, None] - b[None, :]))
-    return a[None, :] ** 2 * p * (1 - p)
+    theta = raters["theta"].to_numpy(dtype=float)
+
+    def score(part: slice) -> np.ndarray:
+        p = _np_sig(a[None, :] * (theta[part, None] - b[None, :]))
+        return a[None, :] ** 2 * p * (1 - p)
+    return score
 
 
-def _shrunk_score(raters: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
+def _shrunk_score(raters: pd.DataFrame, items: pd.DataFrame) -> Callable:
     b, s2 = items["b"].to_numpy(dtype=float), items["s2"].to_numpy(dtype=float)
-    z = raters["theta"].to_numpy(dtype=float)[:, None] - b[None, :]
-    p = _np_sig(z / np.sqrt(1 + s2[None, :] / PROBIT_LOGIT))
-    return p * (1 - p)
+    theta = raters["theta"].to_numpy(dtype=float)
+
+    def score(part: slice) -> np.ndarray:
+        p = _np_sig((theta[part, None] - b[None, :]) / np.sqrt(1 + s2[None, :] / PROBIT_LOGIT))
+        return p * (1 - p)
+    return score
 
 
 def _block_scorer(score: Callable, k: int) -> Callable:
-    def run(raters: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        out = {"rater": [], "bank_ord": [], "gain": []}
-        items = items.sort_values("bank_ord", ignore_index=True)
-        where = pd.Series(np.arange(len(items)), index=items["bank_ord"].to_numpy())
-        for lo in range(0, len(raters) if len(items) else 0, SCORE_ROWS):
-            part = raters.iloc[lo:lo + SCORE_ROWS]
-            gain = np.round(score(part, items), GAIN_DIGITS)
-            for row, done in enumerate(part["done"]):
-                if done is not None and len(done):
-                    gain[row, where.loc[list(done)].to_numpy()] = -np.inf
-            # stable order: the larger gain first, then the smaller item
-            best = np.argsort(-gain, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(gain, best, 1)
-            keep = np.isfinite(top)
-            owner = np.broadcast_to(np.arange(len(part))[:, None], best.shape)
-            out["rater"].append(part["rater"].to_numpy()[owner[keep]])
-            out["bank_ord"].append(items["bank_ord"].to_numpy()[best[keep]])
-            out["gain"].append(top[keep])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+    def run(raters: pd.DataFrame, kinds: pd.DataFrame) -> pd.DataFrame:
+        out = {"rater": [np.empty(0, dtype=object)], "bank_ord": [np.empty(0, dtype="int64")], "gain": [np.empty(0)]}
+        ids = raters["rater"].to_numpy(dtype=object)
+        for lo in range(0, len(kinds), KIND_ROWS):
+            some = kinds.iloc[lo:lo + KIND_ROWS]
+            members = some["members"].to_numpy()
+            size = some["size"].to_numpy()
+            where = {kind: at for at, kind in enumerate(some["kind"].tolist())}
+            scored = score(raters, some)
+            for at in range(0, len(raters), SCORE_ROWS):
+                part = slice(at, at + SCORE_ROWS)
+                gain = np.round(scored(part), GAIN_DIGITS)
+                gain[~np.isfinite(gain)] = -np.inf
+                answered = [_by_kind(done, where) for done in raters["done"].iloc[part]]
+                for row, seen in enumerate(answered):
+                    for kind, own in seen.items():
+                        if len(own) == size[kind]:
+                            gain[row, kind] = -np.inf
+                # the k best items are of kinds that gain no less than the k-th best kind
+                kth = min(k, gain.shape[1])
+                least = np.partition(gain, gain.shape[1] - kth, axis=1)[:, gain.shape[1] - kth]
+                rows, best = np.nonzero((gain >= least[:, None]) & (gain > -np.inf))
+                for row, found in zip(np.unique(rows), np.split(best, np.flatnonzero(np.diff(rows)) + 1)):
+                    seen = answered[row]
+                    left = [[i for i in members[kind] if i not in seen[kind]][:k] if kind in seen
+                            else members[kind][:k] for kind in found.tolist()]
+                    ords = np.concatenate(left).astype("int64")
+                    own = np.repeat(gain[row, found], [len(x) for x in left])
+                    first = np.lexsort((ords, -own))[:k]      # the larger gain, then the smaller item
+                    out["rater"].append(np.repeat(ids[at + row:at + row + 1], len(first)))
+                    out["bank_ord"].append(ords[first])
+                    out["gain"].append(own[first])
+        return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
     return run
 
 
+def _by_kind(done, where: dict) -> dict[int, set]:
+    """Answered items of a rater by the place of their kind."""
+    found: dict[int, set] = {}
+    for one in done if done is not None else ():
+        if one["kind"] in where:
+            found.setdefault(where[one["kind"]], set()).add(one["bank_ord"])
+    return found
+
+
 def _best_items(raters: DataFrame, items: DataFrame, administered: DataFrame, k: int,
                 score: Callable) -> DataFrame:
     """Top k items per rater among those the rater has not answered.
 
-    raters and items meet in blocks: a rater row is copied once per item block,
-    an item row once per rater chunk, and each meeting returns k rows per rater.
-    Answered items are removed inside the block by position.
+    Items with the same parameters gain the same, so a rater is scored against each
+    distinct set of parameters once: a kind, known by its first item. A kind carries its
+    first items, k more than any rater has answered of one kind. raters and kinds meet in
+    blocks: a rater row is copied once per block of kinds, a kind once per rater chunk,
+    and each meeting returns k rows per rater and KIND_ROWS kinds.
     """
-    placed = cut_lineage(text_index(items, "item", "bank_ord").withColumn(
-        "block", F.floor(F.col("bank_ord") / ITEM_BLOCK).cast("int")), "bank")
+    params = [c for c in items.columns if c != "item"]
+    placed = cut_lineage(text_index(items, "item", "bank_ord"), "bank")
     raters = cut_lineage(raters, "candidates")
-    n_blocks = -(-placed.count() // ITEM_BLOCK)
-    n_chunks = -(-raters.count() // RATER_CHUNK)
-    if not n_blocks or not n_chunks:
+    kinds = placed.groupBy(*params).agg(F.min("bank_ord").alias("kind"), F.count("*").alias("size"))
+    kinds = cut_lineage(kinds, "kinds")
+    n_kinds, n_raters, n = kinds.count(), raters.count(), parallelism(raters.sparkSession)
+    n_blocks = -(-n_kinds // ITEM_BLOCK)
+    if not n_blocks or not n_raters:
         empty = raters.limit(0).select("rater")
         return empty.withColumn("rank", F.lit(1)).withColumn("item", F.lit(None)).withColumn(
             "gain", F.lit(0.0))
-    done = (administered.select("rater", "item").distinct()
-            .join(placed.select("item", "bank_ord", "block"), "item")
-            .groupBy("rater", "block").agg(F.collect_list("bank_ord").alias("done")))
+    # more chunks cost copies of parameters only, so there is work for every task
+    n_chunks = max(-(-n_raters // RATER_CHUNK), min(n_raters, -(-n // n_blocks)))
+    block = F.pmod(F.xxhash64("kind"), F.lit(n_blocks)).cast("int").alias("block")
+    same = [placed[c].eqNullSafe(kinds[c]) for c in params]
+    members = cut_lineage(placed.join(kinds, same).select("item", "bank_ord", "kind", block), "members")
+    done = (administered.select("rater", "item").distinct().join(members, "item")
+            .groupBy("rater", "block").agg(F.collect_list(F.struct("kind", "bank_ord")).alias("done")))
+    done = cut_lineage(done, "done")
+    most = done.select("rater", F.explode("done.kind").alias("kind")).groupBy("rater", "kind").count().agg(
+        F.max("count")).first()[0] or 0
+    first = Window.partitionBy("kind").orderBy("bank_ord")
+    lists = (members.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + most)
+             .groupBy("kind").agg(F.sort_array(F.collect_list("bank_ord")).alias("members")))
     chunk = F.pmod(F.xxhash64("rater"), F.lit(n_chunks)).cast("int").alias("chunk")
     left = raters.select(
         "*", chunk, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     left = left.join(done, ["rater", "block"], "left")
-    right = placed.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
-    n = parallelism(raters.sparkSession)
+    right = kinds.join(lists, "kind").select(
+        "*", block, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
     left, right = (side.repartition(n, "block", "chunk") for side in (left, right))
     kind = raters.schema["rater"].dataType.simpleString()
     scored = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(
@@ -105,15 +153,17 @@ def _best_items(raters: DataFrame, items: DataFrame, administered: DataFrame, k:
         "rater", "rank", "item", "gain")
 
 
-def next_item(posts: DataFrame, curves: DataFrame, administered: DataFrame,
+def next_item(posts: DataFrame, bank: DataFrame, administered: DataFrame,
               k: int = 1) -> DataFrame:
     """Items with the largest expected information gain about ability.
 
     gain = h(E m) - E h(m) over the rater's posterior, difficulty integrated out
     inside m. Equal gains go to the smaller item. A rater who has answered the
-    whole bank has no row. posts (rater, post), curves (item, m).
+    whole bank has no row. posts (rater, post); bank (item, b, a, s), whose curves are
+    made where they are scored, or ready curves (item, m).
     """
-    return _best_items(posts.select("rater", "post"), curves.select("item", "m"),
+    params = ["m"] if "m" in bank.columns else [F.col(c).cast("double").alias(c) for c in ("b", "a", "s")]
+    return _best_items(posts.select("rater", "post"), bank.select("item", *params),
                        administered, k, _eig_score)
 
 

@@ -217,3 +217,38 @@ def test_no_vector_per_response_is_shuffled(spark, responses, bank):
     plan = B.response_sums(responses, bank)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInArrow"):]
     assert "rangepartitioning(rater" in below and "array" not in below[below.index("rangepartitioning"):]
+
+
+def test_items_of_one_kind_are_scored_once(spark, monkeypatch):
+    """Copies of items, answered ones among them, give what scoring every pair gives."""
+    rng = np.random.default_rng(5)
+    sets = [(float(b), float(a), float(s)) for b, a, s in zip(rng.normal(size=7), rng.uniform(0.5, 2, 7), [0.0, 0.4] * 4)]
+    bank_rows = [(i, *sets[int(k)]) for i, k in enumerate(rng.integers(0, 7, 60))]
+    bank = spark.createDataFrame(bank_rows, "item bigint, b double, a double, s double")
+    resp = [(r, int(i), int(rng.random() < 0.5)) for r in range(6) for i in rng.choice(60, 9 * r + 5, replace=False)]
+    resp += [(9, i, 1) for i in range(60)]
+    responses = spark.createDataFrame(resp, "rater bigint, item bigint, y int")
+    posts = B.theta_posterior(responses, bank)
+    m = np.array([brute_curve(*r[1:]) for r in bank_rows])
+    h = lambda p: -(p * np.log(p) + (1 - p) * np.log(1 - p))
+    want = {}
+    for r in posts.collect():
+        q, done = np.array(r["post"]), {i for o, i, _ in resp if o == r["rater"]}
+        gain = np.round(h(m @ q) - h(m) @ q, 12)
+        for rank, i in enumerate(sorted(set(range(60)) - done, key=lambda i: (-gain[i], i))[:9], 1):
+            want[r["rater"], rank] = i
+    for blocks in (S.ITEM_BLOCK, 2):
+        monkeypatch.setattr(S, "ITEM_BLOCK", blocks)
+        for given in (bank, B.item_curves(bank)):
+            top = S.next_item(posts, given, responses, 9)
+            assert {(r["rater"], r["rank"]): r["item"] for r in top.collect()} == want
+
+
+def test_copies_of_items_do_not_add_to_the_scoring(spark, monkeypatch):
+    def counted(raters, items):
+        assert len(items) == 3
+        return lambda part: np.tile(items["b"].to_numpy(dtype=float), (len(raters.iloc[part]), 1))
+    bank = spark.createDataFrame([(i, float(i % 3)) for i in range(300)], "item bigint, b double")
+    raters = spark.createDataFrame([(1,), (2,)], "rater bigint")
+    top = S._best_items(raters, bank, spark.createDataFrame([(1, 2), (1, 8)], "rater bigint, item bigint"), 2, counted)
+    assert {(r["rater"], r["rank"], r["item"]) for r in top.collect()} == {(1, 1, 5), (1, 2, 11), (2, 1, 2), (2, 2, 5)}
