@@ -93,28 +93,33 @@ def _item_vectors(curves: DataFrame, moments: bool = False) -> DataFrame:
 
 
 class _Curves:
-    """Curves by parameters; a bounded number is remembered within a task."""
+    """Curves by parameters, or what else is made of them; a bounded number is remembered within a task."""
 
-    def __init__(self, kept: int = CURVES_KEPT):
-        self.kept, self.n = kept, 0
+    def __init__(self, kept: int = CURVES_KEPT, make: Callable | None = None, shape: tuple = (GRID_SIZE,)):
+        self.kept, self.n, self.make, self.shape = kept, 0, make or _curve_rows, shape
         self.place: dict[tuple, int] = {}
-        self.rows = np.empty((0, GRID_SIZE))
+        self.rows = np.empty((0, *shape))
 
     def of(self, params: np.ndarray) -> np.ndarray:
         """(rows, grid) for rows of b, a, s."""
+        at = self.at(params)
+        return self.rows[at]
+
+    def at(self, params: np.ndarray) -> np.ndarray:
+        """Places in self.rows for rows of b, a, s, good until the next call."""
         own, at = np.unique(params, axis=0, return_inverse=True)
         keys = list(map(tuple, own.tolist()))
         new = [k for k, key in enumerate(keys) if key not in self.place]
         if self.n + len(new) > self.kept:
             self.place, self.n, new = {}, 0, list(range(len(keys)))
         if self.n + len(new) > len(self.rows):
-            more = np.empty((max(self.n + len(new), min(2 * len(self.rows), self.kept)), GRID_SIZE))
+            more = np.empty((max(self.n + len(new), min(2 * len(self.rows), self.kept)), *self.shape))
             more[:self.n] = self.rows[:self.n]
             self.rows = more
-        self.rows[self.n:self.n + len(new)] = _curve_rows(*own[new].T)
+        self.rows[self.n:self.n + len(new)] = self.make(*own[new].T)
         self.place.update((keys[k], self.n + i) for i, k in enumerate(new))
         self.n += len(new)
-        return self.rows[np.array([self.place[key] for key in keys], dtype=int)[at.reshape(-1)]]
+        return np.array([self.place[key] for key in keys], dtype=int)[at.reshape(-1)]
 
 
 def _outcome_sums(moments: bool) -> Callable:
@@ -359,48 +364,52 @@ def estimate_raters(responses: DataFrame, bank: DataFrame,
 
 # --- precision after every step --------------------------------------------------
 
-def _block_vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood and information of every row at every grid point."""
-    grid = ability_grid()
-    x, w = difficulty_nodes()
-    b, a, s, y = (pdf[c].to_numpy(dtype=float)[:, None] for c in ("b", "a", "s", "y"))
-    plain = _np_sig(a * (grid[None, :] - b))
-    curve = plain.copy()
-    wide = s[:, 0] > 0
-    for rows in np.array_split(np.flatnonzero(wide), max(1, -(-wide.sum() // CURVE_CHUNK))):
-        drawn = b[rows] + s[rows] * x[None, :]
-        curve[rows] = _np_sig(a[rows][:, :, None]
-                              * (grid[None, :, None] - drawn[:, None, :])) @ w
-    ll = np.where(y == 1, np.log(curve + LIKELIHOOD_FLOOR), np.log(1 - curve + LIKELIHOOD_FLOOR))
-    return ll, a * a * plain * (1 - plain)
-
-
-def _block_total(pdf: pd.DataFrame) -> pd.DataFrame:
-    ll, info = _block_vectors(pdf)
-    return pd.DataFrame({"rater": pdf["rater"].iloc[:1].to_list(),
-                         "block": pdf["block"].iloc[:1].to_list(),
-                         "t": [np.concatenate([ll.sum(0), info.sum(0)])]})
-
-
-def _running_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    grid, prior = ability_grid(), ability_prior()
-    carry = pdf.loc[pdf["carry"].notna(), "carry"]
-    steps = pdf[pdf["step"].notna()].sort_values("step")
-    if steps.empty:
-        return pd.DataFrame({c: [] for c in ("rater", "step", "theta", "theta_sd", "se")})
-    ll, info = _block_vectors(steps)
-    ll, info = ll.cumsum(0), info.cumsum(0)
-    if len(carry):
-        start = np.asarray(carry.iloc[0], dtype=float)
-        ll, info = ll + start[:GRID_SIZE], info + start[GRID_SIZE:]
-    q = np.exp(ll - ll.max(1, keepdims=True)) * prior
-    q /= q.sum(1, keepdims=True)
-    mode = q.argmax(1)
-    mean = q @ grid
-    return pd.DataFrame({
-        "rater": steps["rater"].to_numpy(), "step": steps["step"].astype("int64").to_numpy(),
-        "theta": grid[mode], "theta_sd": np.sqrt(np.maximum(q @ grid ** 2 - mean ** 2, 0.0)),
-        "se": 1.0 / np.sqrt(info[np.arange(len(q)), mode] + 1.0)})
+def _step_rows(b: np.ndarray, a: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Log-likelihood of a failure and of a pass, and information, of each item at every grid point."""
+    m, p = _curve_rows(b, a, s), _curve_rows(b, a, np.zeros_like(s))
+    return np.stack([np.log(1 - m + LIKELIHOOD_FLOOR), np.log(m + LIKELIHOOD_FLOOR), (a * a)[:, None] * p * (1 - p)], axis=1)
+
+
+class _Steps:
+    """Log-likelihood and information of responses; a task makes those of an item once."""
+
+    def __init__(self):
+        self.items = _Curves(make=_step_rows, shape=(3, GRID_SIZE))
+
+    def of(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Both for every row at every grid point."""
+        at = self.items.at(pdf[["b", "a", "s"]].to_numpy(dtype=float))
+        return self.items.rows[at, (pdf["y"].to_numpy(dtype=float) == 1).astype(int)], self.items.rows[at, 2]
+
+    def total(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        ll, info = self.of(pdf)
+        return pd.DataFrame({"rater": pdf["rater"].iloc[:1].to_list(),
+                             "block": pdf["block"].iloc[:1].to_list(),
+                             "t": [np.concatenate([ll.sum(0), info.sum(0)])]})
+
+    def running(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, prior = ability_grid(), ability_prior()
+        carry = pdf.loc[pdf["carry"].notna(), "carry"]
+        steps = pdf[pdf["step"].notna()].sort_values("step")
+        if steps.empty:
+            return pd.DataFrame({c: [] for c in ("rater", "step", "theta", "theta_sd", "se")})
+        ll, info = self.of(steps)
+        if len(carry):
+            start = np.asarray(carry.iloc[0], dtype=float)
+            ll[0] += start[:GRID_SIZE]
+            info[0] += start[GRID_SIZE:]
+        np.cumsum(ll, axis=0, out=ll)
+        np.cumsum(info, axis=0, out=info)
+        ll -= ll.max(1, keepdims=True)
+        q = np.exp(ll, out=ll)
+        q *= prior
+        q /= q.sum(1, keepdims=True)
+        mode = q.argmax(1)
+        mean = q @ grid
+        return pd.DataFrame({
+            "rater": steps["rater"].to_numpy(), "step": steps["step"].astype("int64").to_numpy(),
+            "theta": grid[mode], "theta_sd": np.sqrt(np.maximum(q @ grid ** 2 - mean ** 2, 0.0)),
+            "se": 1.0 / np.sqrt(info[np.arange(len(q)), mode] + 1.0)})
 
 
 def precision_by_step(log: DataFrame, bank: DataFrame, marginalise: bool = True) -> DataFrame:
@@ -409,36 +418,39 @@ def precision_by_step(log: DataFrame, bank: DataFrame, marginalise: bool = True)
     theta is the running posterior mode, se = 1/sqrt(sum a^2 p(1-p) + 1) there.
     Steps are unique within a rater. A log is cut into blocks of steps; for logs
     longer than a block the block totals are summed first and carried in, so one
-    very long log is worked on in many places. Only item parameters travel, the
-    curves are computed inside the block.
+    very long log is worked on in many places. The log with its parameters is written
+    once, as it is read for the ends, the totals and the steps. Only item parameters
+    travel; a curve is computed once by each task that meets it.
     """
     s = F.col("s").cast("double") if marginalise else F.lit(0.0)
     params = bank.select("item", F.col("b").cast("double").alias("b"),
                          F.col("a").cast("double").alias("a"), s.alias("s"))
-    known = log.join(params, "item").select(
+    known = cut_lineage(log.join(params, "item").select(
         "rater", F.col("step").cast("bigint").alias("step"),
         F.floor(F.col("step") / STEP_BLOCK).cast("bigint").alias("block"),
-        F.col("y").cast("double").alias("y"), "b", "a", "s")
-    last = known.groupBy("rater").agg(F.max("block").alias("_last"), F.min("block").alias("_first"))
-    earlier = (known.join(last.where(F.col("_last") > F.col("_first")), "rater")
-               .where(F.col("block") < F.col("_last")).select(*known.columns))
+        F.col("y").cast("double").alias("y"), "b", "a", "s"), "steplog")
     kind = known.schema["rater"].dataType.simpleString()
-    totals = earlier.groupBy("rater", "block").applyInPandas(
-        _block_total, f"rater {kind}, block bigint, t array<double>")
-    # totals of all blocks before the next one, element by element
-    upto = Window.partitionBy("rater", "g").orderBy("block")
-    carry = (totals.select("rater", "block", F.posexplode("t").alias("g", "v"))
-             .select("rater", (F.col("block") + 1).alias("block"), "g",
-                     F.sum("v").over(upto).alias("v"))
-             .groupBy("rater", "block")
-             .agg(F.sort_array(F.collect_list(F.struct("g", "v"))).getField("v").alias("carry")))
-    none = F.lit(None)
-    rows = known.withColumn("carry", none.cast("array<double>")).unionByName(
-        carry.select("rater", none.cast("bigint").alias("step"), "block",
-                     *[none.cast("double").alias(c) for c in ("y", "b", "a", "s")], "carry"))
+    none, steps = F.lit(None), _Steps()
+    rows = known.withColumn("carry", none.cast("array<double>"))
+    last = cut_lineage(known.groupBy("rater").agg(F.max("block").alias("_last"), F.min("block").alias("_first"))
+                       .where(F.col("_last") > F.col("_first")), "longlogs")
+    if last.limit(1).count():
+        earlier = (known.join(last, "rater").where(F.col("block") < F.col("_last")).select(*known.columns))
+        totals = earlier.groupBy("rater", "block").applyInPandas(
+            lambda pdf: steps.total(pdf), f"rater {kind}, block bigint, t array<double>")
+        # totals of all blocks before the next one, element by element
+        upto = Window.partitionBy("rater", "g").orderBy("block")
+        carry = (totals.select("rater", "block", F.posexplode("t").alias("g", "v"))
+                 .select("rater", (F.col("block") + 1).alias("block"), "g",
+                         F.sum("v").over(upto).alias("v"))
+                 .groupBy("rater", "block")
+                 .agg(F.sort_array(F.collect_list(F.struct("g", "v"))).getField("v").alias("carry")))
+        rows = rows.unionByName(
+            carry.select("rater", none.cast("bigint").alias("step"), "block",
+                         *[none.cast("double").alias(c) for c in ("y", "b", "a", "s")], "carry"))
     rows = rows.repartition(parallelism(log.sparkSession), "rater", "block")
     return rows.groupBy("rater", "block").applyInPandas(
-        _running_block, f"rater {kind}, step bigint, theta double, theta_sd double, se double")
+        lambda pdf: steps.running(pdf), f"rater {kind}, step bigint, theta double, theta_sd double, se double")
 
 
 def rollouts_to_precision(steps: DataFrame, tau: float = 0.35) -> DataFrame:

@@ -252,3 +252,32 @@ def test_copies_of_items_do_not_add_to_the_scoring(spark, monkeypatch):
     raters = spark.createDataFrame([(1,), (2,)], "rater bigint")
     top = S._best_items(raters, bank, spark.createDataFrame([(1, 2), (1, 8)], "rater bigint, item bigint"), 2, counted)
     assert {(r["rater"], r["rank"], r["item"]) for r in top.collect()} == {(1, 1, 5), (1, 2, 11), (2, 1, 2), (2, 2, 5)}
+
+
+def test_steps_make_each_curve_once(monkeypatch):
+    """However many responses a task meets, its curves follow the distinct items."""
+    made = []
+    monkeypatch.setattr(B, "_curve_rows", lambda b, a, s, make=B._curve_rows: made.append(len(b)) or make(b, a, s))
+    steps = B._Steps()
+    for rater in range(5):
+        pdf = pd.DataFrame({"rater": rater, "step": range(40), "block": 0, "y": np.arange(40) % 2, "b": np.arange(40) % 4 - 1.5,
+                            "a": 1.2, "s": 0.3, "carry": None})
+        ll, info = steps.of(pdf)
+        m = np.array([brute_curve(*r) for r in pdf[["b", "a", "s"]].to_numpy()])
+        assert np.allclose(ll, np.log(np.where(pdf["y"].to_numpy()[:, None] == 1, m, 1 - m) + 1e-12), atol=1e-9)
+        p = np.array([sigm(1.2 * (ability_grid() - b)) for b in pdf["b"]])
+        assert np.allclose(info, 1.44 * p * (1 - p)) and len(steps.running(pdf)) == 40
+    assert sum(made) == 8
+
+
+def test_logs_are_solved_in_bounded_slices(monkeypatch):
+    from panelmeter.operators import ability as A
+    rng = np.random.default_rng(1)
+    sizes = [0, 3, 500, 1, 40, 0, 7]
+    a, y = (pd.Series([f(n) for n in sizes]) for f in (lambda n: rng.uniform(0.5, 2, n), lambda n: rng.integers(0, 2, n)))
+    b = pd.Series([rng.normal(size=n) for n in sizes])
+    whole, taken = A._map_of_log.func(b, a, y, pd.Series([30] * 7)), []
+    monkeypatch.setattr(A, "LOG_ROWS", 45)
+    monkeypatch.setattr(A, "_solved_logs", lambda b, *r, make=A._solved_logs: taken.append(len(b)) or make(b, *r))
+    assert np.array_equal(whole, A._map_of_log.func(b, a, y, pd.Series([30] * 7)))
+    assert sum(taken) == 7 and len(taken) > 2
