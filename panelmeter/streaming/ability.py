@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -44,30 +45,52 @@ def running_pass_rate(responses: DataFrame) -> DataFrame:
         F.avg("y").alias("pass_rate"))
 
 
-class _LastOutcome(StatefulProcessor):
-    """One value per (rater, item): the outcome with the largest order so far."""
+STATE_BUCKETS = 1_024       # fixed value: states of a stream are bound to their keys
+
+
+def _read_table(state) -> pd.DataFrame | None:
+    return pa.ipc.open_stream(state.get()[0]).read_pandas() if state.exists() else None
+
+
+def _write_table(state, known: pd.DataFrame) -> None:
+    table, sink = pa.Table.from_pandas(known, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
+
+
+def _bucketed(keyed: DataFrame, *keys: str) -> DataFrame:
+    """keyed by a hash of the keys; rows with a null key have states of their own, so ids keep their type."""
+    null = sum((F.col(k).isNull().cast("int") * 2 ** n for n, k in enumerate(("rater", "item"))), F.lit(0))
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(STATE_BUCKETS)) * 4 + null).groupBy("bucket")
+
+
+class _LastOutcomes(StatefulProcessor):
+    """The outcomes with the largest order so far of all (rater, item) of a bucket."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "y int, ord bigint")
+        self.last = handle.getValueState("last", "known binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values
                         ) -> Iterator[pd.DataFrame]:
-        old = self.last.get() if self.last.exists() else None
-        best_y, best_ord = (old[0], old[1]) if old is not None else (None, None)
-        for pdf in rows:
-            top = pdf.loc[pdf["ord"].idxmax()]
-            if best_ord is None or int(top["ord"]) >= best_ord:
-                best_y, best_ord = int(top["y"]), int(top["ord"])
-        if old is None or (best_y, best_ord) != (old[0], old[1]):
-            self.last.update((best_y, best_ord))
-        changes = []
-        if old is not None and old[0] != best_y:
-            changes.append((old[0], -1))
-        if old is None or old[0] != best_y:
-            changes.append((best_y, 1))
-        if changes:
-            yield pd.DataFrame({"rater": [key[0]] * len(changes), "item": [key[1]] * len(changes),
-                                "y": [c[0] for c in changes], "weight": [c[1] for c in changes]})
+        pair, old = ["rater", "item"], _read_table(self.last)
+        # of equal orders the first of a batch counts, and a batch before what is known
+        new = pd.concat(list(rows))[[*pair, "y", "ord"]].sort_values("ord", ascending=False, kind="stable").drop_duplicates(pair)
+        new = new.astype({"y": "int64", "ord": "int64"})
+        if old is None:
+            _write_table(self.last, new)
+            yield new[[*pair, "y"]].assign(weight=1)
+            return
+        known = pd.concat([new, old]).sort_values("ord", ascending=False, kind="stable").drop_duplicates(pair)
+        _write_table(self.last, known)
+        now = new[pair].merge(known[[*pair, "y"]], on=pair, how="left")
+        before = new[pair].merge(old[[*pair, "y"]], on=pair, how="left")["y"]
+        changed = (before.to_numpy() != now["y"].to_numpy())
+        undone = changed & before.notna().to_numpy()
+        added = pd.concat([now[undone][pair].assign(y=before[undone].astype("int64"), weight=-1),
+                           now[changed].assign(weight=1)])
+        if len(added):
+            yield added
 
     def close(self) -> None:
         pass
@@ -78,9 +101,11 @@ def outcome_changes(responses: DataFrame, order: str = "ord") -> DataFrame:
 
     A first outcome is emitted with weight 1; when a later one differs, the old
     outcome is emitted with weight -1 and the new one with weight 1, so sums over
-    the result always equal sums over last outcomes. State is keyed by (rater,
-    item): one small value each, evenly spread however active a rater is. Write
-    the result to a table and feed that to track_ability.
+    the result always equal sums over last outcomes. (rater, item) are dealt over
+    STATE_BUCKETS states, evenly however active a rater is; a state is one Arrow table,
+    read and written once per batch that touches it, where a state per pair cost some
+    calls to the store for every response. Write the result to a table and feed that
+    to track_ability.
 
     dropDuplicatesWithinWatermark would be cheaper but keeps the first outcome.
     """
@@ -89,34 +114,30 @@ def outcome_changes(responses: DataFrame, order: str = "ord") -> DataFrame:
     schema = T.StructType([keyed.schema["rater"], keyed.schema["item"],
                            T.StructField("y", T.IntegerType()),
                            T.StructField("weight", T.IntegerType())])
-    return keyed.groupBy("rater", "item").transformWithStateInPandas(
-        statefulProcessor=_LastOutcome(), outputStructType=schema, outputMode="Append",
+    return _bucketed(keyed, "rater", "item").transformWithStateInPandas(
+        statefulProcessor=_LastOutcomes(), outputStructType=schema, outputMode="Append",
         timeMode="None")
 
 
 class _Answered(StatefulProcessor):
-    """All items of a rater with their last outcomes; told whole when the rater answers."""
-
-    CHUNK = 10_000
+    """All items of the raters of a bucket with their last outcomes; a rater's are told whole when the rater answers."""
 
-    def __init__(self, item_type: str):
-        self.item_type = item_type
+    CHUNK = 100_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", f"item {self.item_type}", "y int, ord bigint")
+        self.last = handle.getValueState("last", "known binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values
                         ) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            newest = pdf.sort_values("ord", kind="stable").drop_duplicates("item", keep="last")
-            for item, y, order in zip(newest["item"].tolist(), newest["y"].tolist(), newest["ord"].tolist()):
-                old = self.last.getValue((item,)) if self.last.containsKey((item,)) else None
-                if old is None or order >= old[1]:
-                    self.last.updateValue((item,), (y, order))
-        told = self.last.iterator()
-        while part := [(k[0], v[0]) for k, v in islice(told, self.CHUNK)]:
-            yield pd.DataFrame({"rater": [key[0]] * len(part), "item": [p[0] for p in part],
-                                "y": [p[1] for p in part]})
+        old = _read_table(self.last)
+        new = pd.concat(list(rows))[["rater", "item", "y", "ord"]]
+        # of equal orders the one that came last counts
+        known = (new if old is None else pd.concat([old, new])).sort_values("ord", kind="stable").drop_duplicates(
+            ["rater", "item"], keep="last")
+        _write_table(self.last, known)
+        told = known[known["rater"].isin(new["rater"].unique())][["rater", "item", "y"]]
+        for at in range(0, len(told), self.CHUNK):
+            yield told.iloc[at:at + self.CHUNK]
 
     def close(self) -> None:
         pass
@@ -125,14 +146,14 @@ class _Answered(StatefulProcessor):
 def answered_so_far(responses: DataFrame, order: str = "ord") -> DataFrame:
     """(rater, item, y): the last outcomes of every rater who answers in a micro-batch, old and new.
 
-    State is one map item -> outcome per rater, so both the rater's ability and what is
-    left to ask follow from a batch alone, and nothing that arrives later can be known.
-    A map has at most one entry per item of the bank. Responses without rater, item or y
+    Both the rater's ability and what is left to ask follow from a batch alone, and nothing
+    that arrives later can be known. Raters are dealt over STATE_BUCKETS states, each one
+    Arrow table with at most an entry per rater and item of the bank, read and written once
+    per batch that touches it. Responses without rater, item or y
     are left out; an outcome that arrives late does not undo a later one.
     """
     keyed = responses.where("rater IS NOT NULL AND item IS NOT NULL AND y IS NOT NULL").select(
         "rater", "item", F.col("y").cast("int").alias("y"), F.col(order).cast("bigint").alias("ord"))
     schema = T.StructType([keyed.schema["rater"], keyed.schema["item"], T.StructField("y", T.IntegerType())])
-    return keyed.groupBy("rater").transformWithStateInPandas(
-        statefulProcessor=_Answered(keyed.schema["item"].dataType.simpleString()), outputStructType=schema,
-        outputMode="Append", timeMode="None")
+    return _bucketed(keyed, "rater").transformWithStateInPandas(
+        statefulProcessor=_Answered(), outputStructType=schema, outputMode="Append", timeMode="None")

@@ -1,6 +1,8 @@
 import math
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,39 @@ def test_late_records_are_dropped(spark):
     out = drain(event_windows(stream, "v"), "append", "w")
     assert out.where("max_value = 9.0").count() == 0
     assert out.where(F.unix_seconds("start") == 110).first()["n"] == 6
+
+
+def test_a_bucket_of_outcomes_is_read_and_written_once():
+    """Many pairs of odd ids in one state: signed changes as from one state per pair, one write a batch."""
+    from panelmeter.streaming import ability as S
+
+    class Held:
+        value, writes = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.writes = value, self.writes + 1
+    rng = np.random.default_rng(0)
+    big = 2 ** 60 + 1
+    last, seen, net, told_by = S._LastOutcomes(), {}, {}, S._Answered()
+    last.last, told_by.last = Held(), Held()
+    for batch in range(4):
+        pdf = pd.DataFrame({"rater": big + rng.integers(0, 9, 300), "item": rng.integers(0, 40, 300),
+                            "y": rng.integers(0, 2, 300), "ord": big + rng.permutation(1000)[:300]})
+        for r in pdf.sort_values("ord").itertuples():
+            if r.ord >= seen.get((r.rater, r.item), (0, 0))[0]:
+                seen[r.rater, r.item] = (r.ord, r.y)
+        for out in last.handleInputRows((0,), iter([pdf[:100], pdf[100:]]), None):
+            for r in out.itertuples():
+                n, s = net.get((r.rater, r.item), (0, 0))
+                net[r.rater, r.item] = (n + r.weight, s + r.y * r.weight)
+        assert net == {k: (1, y) for k, (_, y) in seen.items()}
+        told = pd.concat(list(told_by.handleInputRows((0,), iter([pdf]), None)))
+        assert {(r.rater, r.item): r.y for r in told.itertuples()} == {
+            k: y for k, (_, y) in seen.items() if k[0] in set(pdf["rater"])}
+    assert last.last.writes == told_by.last.writes == 4
