@@ -39,3 +39,22 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if not any_row(step.filter("label <> was")):
             return labels
     raise RuntimeError(f"labels still move after {rounds} rounds")
+
+
+def extended(labels: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """labels (node, label) of components after more edges.
+
+    A known class counts as one node: an edge inside it is left out, and of many edges
+    between two classes one is walked.
+    """
+    met = edges.select("a", "b")
+    for side in ("a", "b"):
+        named = labels.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}"))
+        met = met.join(named, side, "left")
+    met = cut_lineage(met.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+                      .filter("a <> b").distinct(), "between")
+    moved = components(met, rounds)
+    old = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select(
+        "node", F.coalesce("now", "label").alias("label"))
+    new = moved.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return cut_lineage(old.unionByName(new), "labels")

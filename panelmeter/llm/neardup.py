@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words as W
-from .graph import components
+from .graph import extended
 from .tables import any_row, at, cut_lineage, pick, shielded
 
 WORDS = 5
@@ -334,8 +334,9 @@ def links(docs: DataFrame, units: DataFrame, similarity: float = SIMILARITY) ->
                 & (F.array_min(F.array_intersect("all", "all2")) == F.col("bucket"))).select(
                 F.col("unit").alias("a"), F.col("unit2").alias("b"))
         sims = cut_lineage(similarities(cut_lineage(pairs.distinct(), "pairs"), texts), "sims")
-        found = found.unionByName(sims.filter(F.col("sim") >= similarity))
-        labels = components(found)
+        linked = sims.filter(F.col("sim") >= similarity)
+        found = found.unionByName(linked)
+        labels = extended(labels, linked)
         if step == HUB_ROUNDS:
             break
         # of distance d to the hub: linked d <= t, unlinked but near d <= 2t, far. A link joins

@@ -92,6 +92,24 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_known_classes_are_walked_as_single_nodes(spark, monkeypatch):
+    first = [(0, k) for k in range(1, 30)] + [(50, k) for k in range(51, 80)]
+    more = [(k, k + 1) for k in range(28)] + [(5, 60 + k) for k in range(10)] + [(90, 91), (91, 50), (100, 101)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    known, walked, cut = graph.components(frame(first)), [], graph.cut_lineage
+
+    def counted(df, tag):
+        out = cut(df, tag)
+        walked.extend([out.count()] if tag == "edges" else [])
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    got = {tuple(r) for r in graph.extended(known, frame(more)).collect()}
+    assert walked == [2 * 4]           # 0-50, 90-91, 91-50, 100-101
+    assert got == {tuple(r) for r in graph.components(frame(first + more)).collect()}
+    assert {tuple(r) for r in graph.extended(known, frame([(3, 4)])).collect()} == {tuple(r) for r in known.collect()}
+
+
 def test_darts_estimate_weighted_jaccard():
     rng = np.random.RandomState(0)
     sets = [{int(x): 1 + (x % 4) for x in rng.randint(0, 1 << 60, 200)}]
