@@ -163,3 +163,12 @@ def test_runs_and_windows_sinks(spark, tmp_path):
     good, bad = write_windows(w, str(tmp_path / "w"))
     assert [r["scene"] for r in spark.read.parquet(good).collect()] == ["s1"]
     assert [tuple(r) for r in spark.read.parquet(bad).collect()] == [("s2", "bad file")]
+
+
+def test_item_tables_are_not_sent_to_the_driver(spark):
+    """A table of several runs is read from one row per item, so its size is taken for far too small."""
+    part = spark.range(50).select(F.col("id").alias("item"))
+    runs = part.select("item", F.explode(F.array(*[F.lit(k) for k in range(9)])).alias("run"))
+    kept = P.item_universe(part, runs, part.where("item < 20"))
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert {r["item"] for r in kept.collect()} == set(range(20)) and kept.count() == 20
