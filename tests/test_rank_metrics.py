@@ -3,8 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelmeter.operators import metrics, resample
+from panelmeter.operators import metrics, rank, resample
 from panelmeter.operators.rank import auroc, dense_index, macro_auroc, spearman, text_index
+from panelmeter.session import cut_lineage
 
 
 def brute_auroc(y, p):
@@ -86,3 +87,13 @@ def test_bootstrap_forms_agree_and_repeat(spark):
     assert both[both.rep == 5].u_x.iloc[0] == pytest.approx(want, abs=1e-9)
     d = resample.paired_difference(spark.createDataFrame(cubic), "u", "v").first()
     assert d["n_reps"] == 40 and d["lo"] <= d["mean"] <= d["hi"]
+
+
+def test_offsets_of_ranks_have_no_place_of_their_own(spark, monkeypatch):
+    """They are read back, so they do not have the rows dealt by group alone."""
+    tags = []
+    monkeypatch.setattr(rank, "cut_lineage", lambda df, tag: tags.append(tag) or cut_lineage(df, tag))
+    dist = spark.range(400).select((F.col("id") % 2).alias("g"), (F.col("id") * 1.0).alias("v"), F.lit(1).alias("n"))
+    rows = rank.running_before(dist, "v", ["n"], ["g"], 16).collect()
+    assert tags == ["offsets"] and len(rows) == 400
+    assert all(r["before_n"] == r["v"] // 2 and r["total_n"] == 200 for r in rows)
